@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "flow_jobs",
+    "threat_jobs",
 ]
 
 

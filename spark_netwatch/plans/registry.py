@@ -30,3 +30,14 @@ def v(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def w(*names: str) -> str:
     return duck_with(*names)
+
+
+def ts_text(col):
+    """Timestamp as text with microseconds: identical in both engines' results."""
+    from pyspark.sql import functions as F
+    c = F.col(col) if isinstance(col, str) else col
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def duck_ts(col: str) -> str:
+    return f"strftime({col}, '%Y-%m-%d %H:%M:%S.%f')"
