@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "flow_jobs",
     "threat_jobs",
+    "dpi_jobs",
 ]
 
 
