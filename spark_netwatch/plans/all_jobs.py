@@ -8,6 +8,7 @@ MODULES = [
     "flow_jobs",
     "threat_jobs",
     "dpi_jobs",
+    "intel_jobs",
 ]
 
 

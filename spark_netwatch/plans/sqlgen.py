@@ -87,3 +87,24 @@ def dpi_sql(src: str, text_expr: str, key: str, compat: bool = False) -> str:
   CASE WHEN _hit THEN sig.mitre_technique WHEN _ai THEN COALESCE(x.technique_id, 'T1595') END AS dpi_technique
 FROM (SELECT *, _idx IS NOT NULL AS _hit, (_idx IS NULL AND length(dpi_text) > 10 AND is_threat) AS _ai FROM ({cls})) x
 LEFT JOIN {SIG_VALUES} ON x._idx = sig.sig_order"""
+
+
+def ip_long_sql(col: str) -> str:
+    """DuckDB twin of ``functions.net.ip_long``."""
+    parts = " + ".join(f"TRY_CAST(split_part({col}, '.', {i + 1}) AS BIGINT) * {256 ** (3 - i)}" for i in range(4))
+    return f"(CASE WHEN regexp_matches({col}, {q(C.IPV4_PATTERN)}) THEN {parts} END)"
+
+
+def _ipv(text: str) -> int:
+    a, b, c, d = (int(x) for x in text.split("."))
+    return ((a * 256 + b) * 256 + c) * 256 + d
+
+
+def is_private_sql(col: str) -> str:
+    v = ip_long_sql(col)
+    ranges = " OR ".join(f"{v} BETWEEN {_ipv(lo)} AND {_ipv(hi)}" for lo, hi in C.PRIVATE_RANGES)
+    return f"(CASE WHEN {v} IS NULL THEN true ELSE ({ranges}) END)"
+
+
+def subnet24_sql(col: str) -> str:
+    return f"(CASE WHEN len(string_split({col}, '.')) = 4 THEN split_part({col}, '.', 1) || '.' || split_part({col}, '.', 2) || '.' || split_part({col}, '.', 3) || '.0/24' END)"
