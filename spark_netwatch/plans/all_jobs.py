@@ -9,6 +9,7 @@ MODULES = [
     "threat_jobs",
     "dpi_jobs",
     "intel_jobs",
+    "respond_jobs",
 ]
 
 

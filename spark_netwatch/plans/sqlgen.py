@@ -108,3 +108,14 @@ def is_private_sql(col: str) -> str:
 
 def subnet24_sql(col: str) -> str:
     return f"(CASE WHEN len(string_split({col}, '.')) = 4 THEN split_part({col}, '.', 1) || '.' || split_part({col}, '.', 2) || '.' || split_part({col}, '.', 3) || '.0/24' END)"
+
+
+def greedy_sql(src: str, k: str, t: str, i: str, gap: int, p: str = "g") -> str:
+    """CTEs ``{p}_acc(id)``: greedy acceptance per key (recursive walk over successor pointers).
+
+    The enclosing query must start with ``WITH RECURSIVE``.
+    """
+    return f"""{p}_ev AS (SELECT {k} AS k, {t} AS t, {i} AS id FROM {src}),
+{p}_nx AS (SELECT e.id, arg_min(n.id, (n.t, n.id)) AS nid FROM {p}_ev e JOIN {p}_ev n ON n.k = e.k AND n.t >= e.t + {gap} GROUP BY e.id),
+{p}_heads AS (SELECT arg_min(id, (t, id)) AS id FROM {p}_ev GROUP BY k),
+{p}_acc(id) AS (SELECT id FROM {p}_heads UNION ALL SELECT {p}_nx.nid FROM {p}_acc JOIN {p}_nx ON {p}_acc.id = {p}_nx.id)"""
