@@ -1,7 +1,7 @@
 """Text and byte functions (A6 entropy, F2 NFC, F23 base64 unwrap, F24 decode, F14 units).
 
-Everything except entropy and NFC is a built-in expression. Those two have no
-built-in and run as Arrow-batched pandas UDFs: per-row helpers inside tasks.
+Everything except entropy is a built-in expression; entropy has no built-in
+and runs as an Arrow-batched pandas UDF (a per-row helper inside tasks).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 
@@ -20,7 +21,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _byte_entropy(data: pd.Series) -> pd.Series:
     out = np.zeros(len(data), dtype="float64")
     for i, b in enumerate(data):
@@ -42,15 +43,15 @@ def text_entropy(text) -> Column:
     return byte_entropy(F.encode(_col(text), "UTF-8"))
 
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
-
-
 def nfc(text) -> Column:
-    """F2 NFC step; only non-ASCII values go through Python."""
+    """F2 NFC step, JVM-side: ICU's composer (shipped with Spark) through ``reflect``.
+
+    Only values holding non-ASCII characters are normalised; ASCII text is
+    already in NFC.
+    """
     c = _col(text)
-    return F.when(c.rlike("[^\\x00-\\x7f]"), _nfc(c)).otherwise(c)
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike("[^\\x00-\\x7f]"), composed).otherwise(c)
 
 
 def decode_utf8_ignore(data) -> Column:

@@ -10,6 +10,7 @@ MODULES = [
     "dpi_jobs",
     "intel_jobs",
     "respond_jobs",
+    "clean_jobs",
 ]
 
 

@@ -119,3 +119,107 @@ def greedy_sql(src: str, k: str, t: str, i: str, gap: int, p: str = "g") -> str:
 {p}_nx AS (SELECT e.id, arg_min(n.id, (n.t, n.id)) AS nid FROM {p}_ev e JOIN {p}_ev n ON n.k = e.k AND n.t >= e.t + {gap} GROUP BY e.id),
 {p}_heads AS (SELECT arg_min(id, (t, id)) AS id FROM {p}_ev GROUP BY k),
 {p}_acc(id) AS (SELECT id FROM {p}_heads UNION ALL SELECT {p}_nx.nid FROM {p}_acc JOIN {p}_nx ON {p}_acc.id = {p}_nx.id)"""
+
+
+# ------------------------------------------------------------------ cleaner twin
+def _ws(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _nl(v: str) -> str:
+    inner = _ws(f"COALESCE({v}, '')")
+    return f"(lower({inner}) IN ({', '.join(q(x) for x in C.NULL_LIKE)}))"
+
+
+def _sf(v: str) -> str:
+    d = f"TRY_CAST(regexp_replace({_ws(v)}, '[%,]', '', 'g') AS DOUBLE)"
+    return f"(CASE WHEN isfinite({d}) THEN {d} END)"
+
+
+def _si(v: str) -> str:
+    d = f"TRY_CAST(regexp_replace({_ws(v)}, ',', '', 'g') AS DOUBLE)"
+    return f"(CASE WHEN isfinite({d}) AND abs({d}) < 9.2e18 THEN CAST(trunc({d}) AS BIGINT) END)"
+
+
+_DUCK_FMT = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%d/%m/%Y %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f"]
+
+
+def clean_cell_sql(column: str, v: str, row_id: str, as_of: str) -> tuple[str, str, str]:
+    """(value, missing, invalid) DuckDB expressions for one column, mirroring functions.cleaning."""
+    from ..functions.cleaning import column_class
+    kind = column_class(column)
+    nl = _nl(v)
+    if kind == "timestamp":
+        parsed = "COALESCE(" + ", ".join(f"try_strptime({v}, {q(f)})" for f in _DUCK_FMT) + ")"
+        norm = f"(CASE WHEN {nl} THEN '' WHEN {parsed} IS NOT NULL THEN strftime({parsed}, '%Y-%m-%d %H:%M:%S') ELSE {v} END)"
+        inv = f"(CASE WHEN {norm} <> {v} THEN 1 ELSE 0 END)"
+        if column in C.REQUIRED_FIELDS:
+            fill = _nl(norm)
+            return f"(CASE WHEN {fill} THEN {q(as_of)} ELSE {norm} END)", f"(CASE WHEN {fill} THEN 1 ELSE 0 END)", inv
+        return norm, "0", inv
+    if kind == "boolean":
+        yes, no = ("True", "False") if column in C.TRUE_FALSE_COLUMNS else ("Yes", "No")
+        norm = (f"(CASE WHEN lower({v}) IN ({', '.join(q(x) for x in C.TRUE_WORDS)}) THEN {q(yes)} "
+                f"WHEN lower({v}) IN ({', '.join(q(x) for x in C.FALSE_WORDS)}) THEN {q(no)} ELSE {v} END)")
+        return (f"(CASE WHEN {nl} THEN {q(no)} ELSE {norm} END)", f"(CASE WHEN {nl} THEN 1 ELSE 0 END)",
+                f"(CASE WHEN NOT {nl} AND {norm} <> {v} THEN 1 ELSE 0 END)")
+    if kind == "flag":
+        iv = f"COALESCE({_si(v)}, -1)"
+        bad = f"({iv} NOT IN (0, 1))"
+        val = (f"(CASE WHEN {nl} THEN '0' WHEN {bad} AND lower({v}) IN ('yes', 'true', 'y') THEN '1' "
+               f"WHEN {bad} THEN '0' ELSE CAST({iv} AS VARCHAR) END)")
+        return val, f"(CASE WHEN {nl} THEN 1 ELSE 0 END)", \
+            f"(CASE WHEN NOT {nl} AND ({bad} OR CAST({iv} AS VARCHAR) <> {v}) THEN 1 ELSE 0 END)"
+    if kind == "ip":
+        okip = f"regexp_matches({v}, {q(C.IPV4_PATTERN)})"
+        if column == "Blocked_IP":
+            return f"(CASE WHEN {nl} THEN '' ELSE {v} END)", "0", f"(CASE WHEN NOT {nl} AND NOT {okip} THEN 1 ELSE 0 END)"
+        return (f"(CASE WHEN {nl} THEN '0.0.0.0' ELSE {v} END)", f"(CASE WHEN {nl} THEN 1 ELSE 0 END)",
+                f"(CASE WHEN NOT {nl} AND NOT {okip} THEN 1 ELSE 0 END)")
+    if kind == "port":
+        iv = f"COALESCE({_si(v)}, -1)"
+        val = f"(CASE WHEN {nl} THEN '0' WHEN {iv} > 65535 THEN '65535' WHEN {iv} < 0 THEN '0' ELSE CAST({iv} AS VARCHAR) END)"
+        return val, f"(CASE WHEN {nl} THEN 1 ELSE 0 END)", \
+            f"(CASE WHEN NOT {nl} AND ({iv} < 0 OR {iv} > 65535 OR CAST({iv} AS VARCHAR) <> {v}) THEN 1 ELSE 0 END)"
+    if kind == "confidence":
+        fv = f"COALESCE({_sf(v)}, -1.0)"
+        val = f"(CASE WHEN {nl} THEN '0.0' WHEN {fv} < 0 THEN '0.0' ELSE CAST(round(least({fv}, 100.0), 2) AS VARCHAR) END)"
+        return val, f"(CASE WHEN {nl} THEN 1 ELSE 0 END)", \
+            f"(CASE WHEN NOT {nl} AND ({fv} < 0 OR {fv} > 100) THEN 1 ELSE 0 END)"
+    if kind == "packet_count":
+        iv = f"COALESCE({_si(v)}, -1)"
+        val = f"(CASE WHEN {nl} THEN '0' WHEN {iv} < 0 THEN '0' ELSE CAST({iv} AS VARCHAR) END)"
+        return val, f"(CASE WHEN {nl} THEN 1 ELSE 0 END)", \
+            f"(CASE WHEN NOT {nl} AND ({iv} < 0 OR CAST({iv} AS VARCHAR) <> {v}) THEN 1 ELSE 0 END)"
+    if kind == "numeric":
+        fv = _sf(v)
+        val = (f"(CASE WHEN {nl} THEN '0' WHEN {fv} IS NULL THEN '0' "
+               f"WHEN {fv} = floor({fv}) AND NOT contains({v}, '.') THEN CAST(CAST({fv} AS BIGINT) AS VARCHAR) "
+               f"ELSE CAST(round({fv}, 4) AS VARCHAR) END)")
+        return val, f"(CASE WHEN {nl} THEN 1 ELSE 0 END)", f"(CASE WHEN NOT {nl} AND {fv} IS NULL THEN 1 ELSE 0 END)"
+    if kind == "categorical":
+        canon, default = C.CATEGORICAL_MAP[column]
+        norm = "(CASE " + " ".join(f"WHEN lower({v}) = {q(c.lower())} THEN {q(c)}" for c in canon) + f" ELSE {v} END)"
+        return (f"(CASE WHEN {nl} THEN {q(default)} ELSE {norm} END)", f"(CASE WHEN {nl} THEN 1 ELSE 0 END)",
+                f"(CASE WHEN NOT {nl} AND {norm} <> {v} THEN 1 ELSE 0 END)")
+    if kind == "required":
+        if column == "Event_ID":
+            return (f"(CASE WHEN {nl} THEN 'EVT-RECOVERED-' || CAST({row_id} AS VARCHAR) ELSE {v} END)",
+                    f"(CASE WHEN {nl} THEN 1 ELSE 0 END)", "0")
+        return v, f"(CASE WHEN {nl} THEN 1 ELSE 0 END)", "0"
+    return v, "0", "0"
+
+
+def clean_cells_sql(src: str, cols: list[str], row_id: str, as_of: str) -> str:
+    """SELECT over ``src``: row id, cleaned columns, _missing, _invalid, _dirty."""
+    ctrl = q(C.CONTROL_CHARS)
+    vals = ", ".join(f"nfc_normalize(regexp_replace({_ws(f'COALESCE(CAST({c} AS VARCHAR), {q(str())})')}, {ctrl}, '', 'g')) AS _v_{c}"
+                     for c in cols)
+    origs = ", ".join(f"COALESCE(CAST({c} AS VARCHAR), '') AS _o_{c}" for c in cols)
+    cells = {c: clean_cell_sql(c, f"_v_{c}", row_id, as_of) for c in cols}
+    body = ", ".join(f"{cells[c][0]} AS {c}" for c in cols)
+    miss = " + ".join(cells[c][1] for c in cols)
+    inv = " + ".join(cells[c][2] for c in cols)
+    dirty = " OR ".join(f"{cells[c][0]} <> _o_{c}" for c in cols)
+    return (f"SELECT {row_id}, {body}, CAST({miss} AS INTEGER) AS _missing, CAST({inv} AS INTEGER) AS _invalid, ({dirty}) AS _dirty "
+            f"FROM (SELECT {row_id}, {origs}, {vals} FROM {src})")
