@@ -11,6 +11,7 @@ MODULES = [
     "intel_jobs",
     "respond_jobs",
     "clean_jobs",
+    "verdict_jobs",
 ]
 
 
