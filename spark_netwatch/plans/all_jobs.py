@@ -12,6 +12,7 @@ MODULES = [
     "respond_jobs",
     "clean_jobs",
     "verdict_jobs",
+    "feature_jobs",
 ]
 
 
