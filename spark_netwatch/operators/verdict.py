@@ -64,6 +64,9 @@ def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame
     ueba = ~dpi_hit & (F.col("risk10") > 5)
     vol = ~dpi_hit & ~ueba & ((ports > C.UNIQUE_PORT_THRESHOLD) | (n > C.PACKET_COUNT_THRESHOLD))
 
+    if forest is not None or isolation is not None:
+        from .ml import model_features
+        df = df.select("*", *[c.alias(k) for k, c in model_features(df).items()])
     # step 3: forest (optional model), then the sentence classifier in compat mode
     if forest is not None:
         from .ml import forest_scores

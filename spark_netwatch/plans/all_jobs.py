@@ -13,6 +13,7 @@ MODULES = [
     "clean_jobs",
     "verdict_jobs",
     "feature_jobs",
+    "ml_jobs",
 ]
 
 
