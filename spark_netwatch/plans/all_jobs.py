@@ -14,6 +14,7 @@ MODULES = [
     "verdict_jobs",
     "feature_jobs",
     "ml_jobs",
+    "source_jobs",
 ]
 
 
