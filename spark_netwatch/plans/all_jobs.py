@@ -15,6 +15,7 @@ MODULES = [
     "feature_jobs",
     "ml_jobs",
     "source_jobs",
+    "stream_jobs",
 ]
 
 
