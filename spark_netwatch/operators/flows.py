@@ -43,12 +43,31 @@ def sessionize(packets: DataFrame, key: str = "src_ip", ts: str = "ts_us", tie:
     ).drop("_new")
 
 
-def flow_state(packets: DataFrame) -> DataFrame:
+# A source above this many packets, or above this share of all packets, takes the chunked plan.
+HOT_KEY_ROWS = 5_000_000
+HOT_KEY_SHARE = 0.02
+
+
+def choose_strategy(packets: DataFrame, strategy: str = "auto") -> str:
+    """``window`` (one exchange on src_ip) unless one source is heavy enough to straggle."""
+    if strategy != "auto":
+        return strategy
+    from .flows_chunked import heaviest_share
+    top, total = heaviest_share(packets)
+    return "chunked" if total and (top > HOT_KEY_ROWS or top > HOT_KEY_SHARE * total and top > 100_000) else "window"
+
+
+def flow_state(packets: DataFrame, strategy: str = "auto") -> DataFrame:
     """W1-W4 over sessionised packets: running per-packet flow state.
 
     Adds n, unique_ports, start_us, dur_s, rate, log_rate, risk10, the flag
     totals, byte totals, interval statistics and the size-anomaly flag.
+    ``strategy``: ``window`` (windows on src_ip), ``chunked`` (skew-safe, see
+    ``flows_chunked``) or ``auto`` (chunked only when one source is heavy).
     """
+    if choose_strategy(packets, strategy) == "chunked":
+        from .flows_chunked import flow_state_chunked
+        return flow_state_chunked(packets)
     df = packets
     if "sess" not in df.columns:
         df = sessionize(df)
@@ -106,12 +125,18 @@ def flow_state(packets: DataFrame) -> DataFrame:
     return df.drop("_port_first", "_iv_us", "_iv_sum", "_iv_cnt", "_iv_sd", "_sz_cnt", "_sz_avg", "_inc")
 
 
-def flow_summary(packets: DataFrame) -> DataFrame:
+def flow_summary(packets: DataFrame, strategy: str = "auto") -> DataFrame:
     """A1-A3: one row per (src_ip, sess) with packets, distinct ports, times, flag and byte totals.
 
     Plain aggregate: partial aggregation happens map-side before the shuffle.
     """
-    df = packets if "sess" in packets.columns else sessionize(packets)
+    if "sess" in packets.columns:
+        df = packets
+    elif choose_strategy(packets, strategy) == "chunked":
+        from .flows_chunked import sessionize_chunked
+        df = sessionize_chunked(packets).drop("_chunk")
+    else:
+        df = sessionize(packets)
     flags = decode_flags("tcp_flags")
     agg = df.groupBy("src_ip", "sess").agg(
         F.count(F.lit(1)).alias("packets"),

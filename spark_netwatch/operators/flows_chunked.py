@@ -1,0 +1,138 @@
+"""Skew-safe flow state: the same results as ``flows.sessionize`` / ``flows.flow_state``
+with no window partitioned by the source address alone.
+
+A source holding a large share of all packets would put all of them in one
+window task. Here every per-packet window is partitioned by
+``(src_ip, [sess,] chunk)`` where ``chunk`` is a slice of event time, and what
+crosses a chunk boundary travels through per-chunk summaries:
+
+* running sums = running sum inside the chunk + exclusive prefix of earlier
+  chunk totals (a window over the summary, whose size is bounded by the time
+  span / chunk width, not by the data);
+* the previous packet = previous packet in the chunk, else the last packet of
+  the previous chunk;
+* "first sighting of this port" = a grouped ``min_by`` joined back;
+* the 99-interval and 50-size frames = differences of cumulative sums, the
+  lagged cumulative values fetched by an equi-join on the running index
+  ``(src_ip, sess, n - 99)`` (unique keys, so no skew).
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..functions.net import decode_flags
+
+US = 1_000_000
+DEFAULT_CHUNK_SECONDS = 60
+
+
+def _chunked_running(df: DataFrame, keys: list[str], chunk: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add running sums (inclusive) of ``values`` per ``keys`` in ``order``, chunked by ``chunk``."""
+    staged = df.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
+    local = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    staged = staged.select("*", *[F.sum(f"_v_{n}").over(local).alias(f"_l_{n}") for n in values])
+    totals = staged.groupBy(*keys, chunk).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    prefix = totals.select(*keys, chunk, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in values])
+    out = staged.join(prefix, [*keys, chunk], "left")
+    return out.select(*[c for c in df.columns], *[(F.col(f"_p_{n}") + F.col(f"_l_{n}")).alias(n) for n in values])
+
+
+def sessionize_chunked(packets: DataFrame, key: str = "src_ip", ts: str = "ts_us", tie: str = "packet_id",
+                       idle_seconds: int = C.FLOW_IDLE_SECONDS, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """W0 without a per-source window: ``sess`` and the chunk id ``_chunk``."""
+    ev = packets.withColumn("_chunk", F.floor(F.col(ts) / F.lit(chunk_seconds * US)).cast("bigint"))
+    local = Window.partitionBy(key, "_chunk").orderBy(ts, tie)
+    ev = ev.withColumn("_prev_l", F.lag(ts).over(local))
+    bounds = ev.groupBy(key, "_chunk").agg(F.max(ts).alias("_cmax"))
+    prev_chunk = bounds.select(key, "_chunk", F.lag("_cmax").over(Window.partitionBy(key).orderBy("_chunk")).alias("_prev_c"))
+    ev = ev.join(prev_chunk, [key, "_chunk"], "left")
+    prev = F.coalesce(F.col("_prev_l"), F.col("_prev_c"))
+    ev = ev.withColumn("_new", F.when(F.col(ts) - prev > idle_seconds * US, 1).otherwise(0)).drop("_prev_l", "_prev_c")
+    out = _chunked_running(ev, [key], "_chunk", [ts, tie], {"sess": F.col("_new")})
+    return out.withColumn("sess", F.col("sess").cast("bigint")).drop("_new")
+
+
+def flow_state_chunked(packets: DataFrame, chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """W1-W4 with the columns of ``flows.flow_state``."""
+    df = packets if "sess" in packets.columns and "_chunk" in packets.columns else sessionize_chunked(packets, chunk_seconds=chunk_seconds)
+    base_cols = [c for c in df.columns if c != "_chunk"]
+    keys = ["src_ip", "sess"]
+    order = ["ts_us", "packet_id"]
+    flags = decode_flags("tcp_flags")
+    df = df.select("*", *[c.alias(n) for n, c in flags.items()])
+    # first sighting of each destination port in the session (grouped min, joined back)
+    firsts = df.groupBy(*keys, "dst_port").agg(F.min_by("packet_id", F.struct(*order)).alias("_first_pid"))
+    df = df.join(firsts, [*keys, "dst_port"], "left").withColumn(
+        "_port_first", (F.col("packet_id") == F.col("_first_pid")).cast("long")).drop("_first_pid")
+    # previous packet in the session (for intervals) and the session start
+    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    df = df.withColumn("_prev_l", F.lag("ts_us").over(local))
+    cb = df.groupBy(*keys, "_chunk").agg(F.max("ts_us").alias("_cmax"), F.min("ts_us").alias("_cmin"))
+    ws = Window.partitionBy(*keys).orderBy("_chunk")
+    cb = cb.select(*keys, "_chunk", F.lag("_cmax").over(ws).alias("_prev_c"),
+                   F.min("_cmin").over(Window.partitionBy(*keys)).alias("start_us"))
+    df = df.join(cb, [*keys, "_chunk"], "left")
+    df = df.withColumn("_iv_us", F.col("ts_us") - F.coalesce(F.col("_prev_l"), F.col("_prev_c"))).drop("_prev_l", "_prev_c")
+    iv0 = F.coalesce(F.col("_iv_us"), F.lit(0)).cast("decimal(38,0)")
+    sums = {
+        "n": F.lit(1).cast("long"), "unique_ports": F.col("_port_first"), "bytes": F.col("packet_size").cast("long"),
+        "_m": (F.col("packet_size") > 0).cast("long"), "_iv_c": iv0, "_iv_q": iv0 * iv0,
+        **{f"{n}_count": F.col(f"is_{n}").cast("long") for n in C.TCP_FLAG_BITS},
+    }
+    df = _chunked_running(df, keys, "_chunk", order, sums)
+    # lagged cumulative values by running index: intervals 99 back, sizes 50 sized-rows back
+    k_iv = C.MAX_TIMESTAMPS_PER_FLOW - 1
+    lag_iv = df.select(*keys, (F.col("n") + k_iv).alias("n"), F.col("_iv_c").alias("_iv_c0"), F.col("_iv_q").alias("_iv_q0"))
+    df = df.join(lag_iv, [*keys, "n"], "left")
+    sized = df.filter(F.col("packet_size") > 0).select(*keys, (F.col("_m") + C.SIZE_WINDOW).alias("_m"),
+                                                      F.col("bytes").alias("_b0"))
+    df = df.join(sized, [*keys, "_m"], "left")
+    cnt = F.least(F.col("n") - 1, F.lit(k_iv))
+    s = F.col("_iv_c") - F.coalesce(F.col("_iv_c0"), F.lit(0).cast("decimal(38,0)"))
+    q = F.col("_iv_q") - F.coalesce(F.col("_iv_q0"), F.lit(0).cast("decimal(38,0)"))
+    var = (q * cnt - s * s).cast("double") / (cnt * cnt)
+    sz_cnt = F.least(F.col("_m"), F.lit(C.SIZE_WINDOW))
+    sz_avg = (F.col("bytes") - F.coalesce(F.col("_b0"), F.lit(0))) / sz_cnt
+    dur_us = F.col("ts_us") - F.col("start_us")
+    dur = dur_us / F.lit(float(US))
+    size_anom = ((F.col("packet_size") > 0) & (sz_cnt >= C.SIZE_MIN_SAMPLES)
+                 & (F.col("packet_size") > sz_avg * 3) & (F.col("packet_size") > 1000))
+    u_rate = F.when(dur_us > 1000, F.col("n") / dur).otherwise(F.col("n") * 1000.0)
+    from .flows import round4_seconds
+    df = df.select(
+        "*",
+        dur.alias("dur_s"),
+        F.when(dur_us > 0, F.col("n") / dur).otherwise(F.col("n").cast("double")).alias("rate"),
+        F.round(F.when(dur_us > 0, F.col("n") / dur).otherwise(F.lit(1.0)), 2).alias("log_rate"),
+        F.coalesce(size_anom, F.lit(False)).alias("size_anomaly"),
+        (F.when(u_rate > 150, 1).otherwise(0) + F.when(F.coalesce(size_anom, F.lit(False)), 2).otherwise(0)
+         + F.when(F.col("unique_ports") > 10, 5).otherwise(0)).alias("_inc"),
+        (u_rate > 150).cast("long").alias("_hr"),
+        F.coalesce(size_anom, F.lit(False)).cast("long").alias("_sz"),
+        (F.col("unique_ports") > 10).cast("long").alias("_pt"),
+        round4_seconds(dur_us).alias("duration"),
+        F.when(F.col("n") < 2, 0.0).otherwise(round4_seconds(s.cast("long"), cnt)).alias("connection_interval"),
+        F.when(F.col("n") < 3, 0.0).otherwise(F.round(F.sqrt(F.greatest(var, F.lit(0.0))) / US, 4)).alias("jitter"),
+        F.when(dur_us > 0, F.round(F.col("bytes") / dur, 4)).otherwise(F.col("bytes").cast("double")).alias("byte_rate"),
+    )
+    df = _chunked_running(df, keys, "_chunk", order, {"risk10": F.col("_inc"), "_hr_n": F.col("_hr"),
+                                                      "_sz_n": F.col("_sz"), "_pt_n": F.col("_pt")})
+    out_cols = base_cols + [f"is_{n}" for n in C.TCP_FLAG_BITS] + [
+        "n", "unique_ports", "start_us", "bytes", *[f"{n}_count" for n in C.TCP_FLAG_BITS],
+        "dur_s", "rate", "log_rate", "size_anomaly", "duration", "connection_interval", "jitter", "byte_rate"]
+    return df.select(*out_cols, F.col("risk10").cast("bigint").alias("risk10"),
+                     (F.col("_hr_n") > 0).alias("flag_high_rate"), (F.col("_sz_n") > 0).alias("flag_size"),
+                     (F.col("_pt_n") > 0).alias("flag_ports"))
+
+
+def heaviest_share(packets: DataFrame, key: str = "src_ip") -> tuple[int, int]:
+    """(rows of the heaviest key, all rows) from one map-side-combined aggregate."""
+    per = packets.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    r = per.agg(F.max("_n").alias("top"), F.sum("_n").alias("total")).first()
+    return int(r["top"] or 0), int(r["total"] or 0)

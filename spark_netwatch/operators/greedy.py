@@ -14,13 +14,16 @@ of the rows. The job here is exact and spreads every key over many tasks:
 2. chain: accepted = the chain ``head, nxt(head), nxt(nxt(head)) ...`` from
    each key's first event, marked by pointer doubling: round k joins the
    marked set with the 2^k-jump table and squares the table. Joins are on
-   unique event ids (no skew); rounds = log2(longest chain). Each round is
+   unique event ids (no skew); rounds = log2(longest possible chain), bounded
+   up front by the largest per-key time span / gap. Every third round is
    checkpointed to the session's checkpoint folder, so lineage stays short and
-   a lost executor recomputes one round only.
+   a lost executor recomputes at most three rounds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,20 +63,24 @@ def successors(events: DataFrame, key: str, ts: str, eid: str, gap: int) -> Data
 def greedy_accept(events: DataFrame, key: str, ts: str, eid: str, gap: int) -> DataFrame:
     """``events`` plus boolean ``accepted`` (event ids must be unique)."""
     succ = _checkpoint(successors(events, key, ts, eid, gap))
+    # accepted events are at least ``gap`` apart, so no chain is longer than span / gap + 1:
+    # that bounds the doubling rounds up front (one small aggregate instead of a check per round)
+    span = succ.groupBy("k").agg((F.max("t") - F.min("t")).alias("s")).agg(F.max("s")).first()[0] or 0
+    rounds = max(1, math.ceil(math.log2(span // gap + 2)))
+    if rounds > MAX_ROUNDS:
+        raise RuntimeError("greedy_accept: chain bound too long")
     heads = succ.groupBy("k").agg(F.min_by("id", F.struct("t", "id")).alias("id")).select("id")
-    jump = succ.select("id", "nxt")
-    marked = _checkpoint(heads.withColumn("accepted", F.lit(True)))
-    frontier = marked.select("id")
-    for _ in range(MAX_ROUNDS):
-        step = frontier.join(jump, "id").filter(F.col("nxt").isNotNull()).select(F.col("nxt").alias("id"))
-        step = _checkpoint(step.distinct())
-        if step.isEmpty():
-            break
-        marked = _checkpoint(marked.select("id").unionByName(step).distinct().withColumn("accepted", F.lit(True)))
-        frontier = marked.select("id")
-        j2 = jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.id"), "left")
-        jump = _checkpoint(j2.select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt")).filter(F.col("nxt").isNotNull()))
-    else:
-        raise RuntimeError("greedy_accept: chain longer than 2**64")
+    jump = succ.select("id", "nxt").filter(F.col("nxt").isNotNull())
+    marked = heads
+    for r in range(rounds):
+        # marked holds every chain node within distance < 2**r of its head; one 2**r jump doubles that
+        step = marked.join(jump, "id").select(F.col("nxt").alias("id"))
+        marked = marked.unionByName(step).distinct()
+        if r + 1 < rounds:
+            j2 = jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.id"))
+            jump = j2.select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt"))
+        if (r + 1) % 3 == 0:
+            marked, jump = _checkpoint(marked), _checkpoint(jump)
+    marked = marked.withColumn("accepted", F.lit(True))
     return (events.join(marked.withColumnRenamed("id", eid), eid, "left")
             .withColumn("accepted", F.coalesce(F.col("accepted"), F.lit(False))))

@@ -16,6 +16,7 @@ MODULES = [
     "ml_jobs",
     "source_jobs",
     "stream_jobs",
+    "misc_jobs",
 ]
 
 
