@@ -28,7 +28,8 @@ def mitre_table(spark: SparkSession) -> DataFrame:
         T.StructField("tactic", T.StringType(), True),
         T.StructField("mitre_severity", T.DoubleType(), False),
     ])
-    return spark.createDataFrame(C.MITRE_MAP, schema)
+    from ..sources.fixtures import constant_table
+    return constant_table(spark, C.MITRE_MAP, schema)
 
 
 def with_mitre(df: DataFrame, type_col: str = "threat_type") -> DataFrame:

@@ -59,10 +59,19 @@ def clean_event_log(raw: DataFrame, as_of: str, row_id: str = "row_id", compat:
 
 
 def _dedupe(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:
-    """One row per distinct cleaned content, the earliest by row id (grouped aggregate)."""
-    extra = [c for c in df.columns if c not in cols and c != row_id]
-    agg = df.groupBy(*cols).agg(F.min_by(F.struct(row_id, *extra), F.col(row_id)).alias("_k"))
-    return agg.select(F.col(f"_k.{row_id}").alias(row_id), *cols, *[F.col(f"_k.{c}").alias(c) for c in extra])
+    """One row per distinct cleaned content, the earliest by row id.
+
+    The row id and the two row flags are packed into one long so the grouped
+    ``min`` runs as a hash aggregate with map-side partial aggregation (row ids
+    must be non-negative and below 2**61).
+    """
+    flags = [c for c in ("_dirty", "_suffixed") if c in df.columns]
+    packed = F.col(row_id).cast("long") * 4
+    for bit, f in enumerate(flags):
+        packed = packed + F.col(f).cast("long") * (1 << bit)
+    agg = df.groupBy(*cols).agg(F.min(packed).alias("_k"))
+    return agg.select(F.shiftright("_k", 2).alias(row_id), *cols,
+                      *[(F.col("_k").bitwiseAND(1 << bit) != 0).alias(f) for bit, f in enumerate(flags)])
 
 
 def cleaning_stats(raw: DataFrame, as_of: str, row_id: str = "row_id", compat: bool = False) -> DataFrame:

@@ -35,7 +35,8 @@ SIG_SCHEMA = T.StructType([
 def builtin_signatures(spark: SparkSession) -> DataFrame:
     rows = [(i, sid, name, sev, conf, cwe, tech, refs, pat)
             for i, (sid, name, sev, conf, cwe, tech, refs, pat) in enumerate(C.SIGNATURES)]
-    return spark.createDataFrame(rows, SIG_SCHEMA)
+    from ..sources.fixtures import constant_table
+    return constant_table(spark, rows, SIG_SCHEMA)
 
 
 def load_signatures(spark: SparkSession, path: str | None = None) -> DataFrame:

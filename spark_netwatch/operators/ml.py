@@ -122,7 +122,7 @@ def cross_validate(data: DataFrame, folds: int = 5, seed: int = 42, key: str = "
     pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{c}" for c in FEATURES], outputCol="features"), forest(**kw)])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
                         evaluator=MulticlassClassificationEvaluator(labelCol="Label", metricName="accuracy"),
-                        foldCol="fold", seed=seed)
+                        numFolds=folds, foldCol="fold", seed=seed)
     m = cv.fit(weighted)
     return data.sparkSession.createDataFrame(
         [(float(m.avgMetrics[0]), float(m.stdMetrics[0]) if m.stdMetrics else 0.0, folds)],

@@ -128,8 +128,10 @@ def d3_documents(spark, sf):
     return classify.classify_text(_table(spark, sf, "documents"), "text").select("doc_id", *CLS_COLS)
 
 
-@job("J7_mitre_lookup", f"""SELECT threat_type, technique_id, tactic, severity, CAST(count(*) AS BIGINT) AS texts
-FROM ({classify_sql('documents', 'text', 'doc_id')}) GROUP BY ALL""")
+@job("J7_mitre_lookup", PKT + f"""SELECT threat_type, technique_id, tactic, severity, CAST(count(*) AS BIGINT) AS packets
+FROM ({classify_sql('pk', 'payload_text', 'packet_id')}) GROUP BY ALL""")
 def j7_mitre(spark, sf):
-    c = classify.classify_text(_table(spark, sf, "documents"), "text")
-    return c.groupBy("threat_type", "technique_id", "tactic", "severity").agg(F.count(F.lit(1)).alias("texts"))
+    """Threat type of every packet payload text -> MITRE technique, tactic and severity."""
+    p = packets_with_payload(spark, sf)
+    c = classify.classify_text(p, "payload_text")
+    return c.groupBy("threat_type", "technique_id", "tactic", "severity").agg(F.count(F.lit(1)).alias("packets"))

@@ -180,10 +180,20 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(render(name, "spark"), **args)
 
 
+def constant_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small fixed table built JVM-side (literal structs, no Python round trip per execution)."""
+    def lit(v, dt):
+        if isinstance(dt, T.ArrayType):
+            return F.array(*[F.lit(x) for x in v]).cast(dt) if v else F.array().cast(dt)
+        return F.lit(v).cast(dt)
+    structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def payload_pool(spark: SparkSession) -> DataFrame:
     schema = T.StructType([T.StructField("payload_id", T.LongType(), False),
                            T.StructField("payload_text", T.StringType(), False)])
-    df = spark.createDataFrame(list(enumerate(PAYLOADS)), schema)
+    df = constant_table(spark, list(enumerate(PAYLOADS)), schema)
     return df.withColumn("payload", F.encode("payload_text", "UTF-8"))
 
 
