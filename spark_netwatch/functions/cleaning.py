@@ -26,13 +26,23 @@ def _i(c: Column) -> Column:
     return F.when(c, 1).otherwise(0)
 
 
+# whitespace stripped from both ends (the six ASCII whitespace characters) and the
+# control characters the cleaner deletes, as plain character sets
+_WS = " \t\n\r\x0b\x0c"
+_CONTROL = "".join(chr(c) for c in [*range(0x00, 0x09), 0x0b, 0x0c, *range(0x0e, 0x20), *range(0x7f, 0xa0)])
+
+
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(_WS))
 
 
 def clean_string(raw: Column) -> Column:
-    """F2 (without NFC, applied per row elsewhere): trim whitespace, drop control characters."""
-    return F.regexp_replace(strip_ws(F.coalesce(raw, F.lit(""))), C.CONTROL_CHARS, "")
+    """F2 (without NFC, applied per row elsewhere): trim whitespace, drop control characters.
+
+    Built-in ``trim``/``translate`` instead of regular expressions: the same
+    character sets, without a regex pass per cell.
+    """
+    return F.translate(strip_ws(F.coalesce(raw, F.lit(""))), _CONTROL, "")
 
 
 def null_like(v: Column) -> Column:
@@ -42,20 +52,32 @@ def null_like(v: Column) -> Column:
 
 def safe_float(v: Column) -> Column:
     """strip, drop ``%`` and ``,``, parse; null when unparsable or not finite."""
-    d = F.regexp_replace(strip_ws(v), "[%,]", "").try_cast("double")
+    d = F.translate(strip_ws(v), "%,", "").try_cast("double")
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
 def safe_int(v: Column) -> Column:
     """int(float(text)) with ``,`` removed (``%`` kept); null when unparsable or not finite."""
-    d = F.regexp_replace(strip_ws(v), ",", "").try_cast("double")
+    d = F.translate(strip_ws(v), ",", "").try_cast("double")
     ok = ~F.isnan(d) & (F.abs(d) < 9.2e18)
     return F.when(ok, d.cast("bigint"))
 
 
+def parse_log_timestamp(val: Column) -> Column:
+    """The five log formats, tried in order; only formats whose separators fit the
+    text's shape are attempted (the parser is strict on literals, so the result
+    equals trying all five, without a failed parse per miss)."""
+    iso, iso_t, dmy, mdy, frac = [F.try_to_timestamp(val, F.lit(f)) for f in C.TIMESTAMP_FORMATS]
+    sep10, sep2, sep19 = F.substring(val, 11, 1), F.substring(val, 3, 1), F.substring(val, 20, 1)
+    return (F.when(sep2 == "/", F.coalesce(dmy, mdy))
+            .when(sep10 == "T", iso_t)
+            .when(sep19 == ".", frac)
+            .when(sep10 == " ", iso))
+
+
 def timestamp_cell(val: Column, required: bool, as_of_text: str) -> Cell:
     """five formats in order -> ``yyyy-MM-dd HH:mm:ss``; unparsable kept; required+missing -> as_of."""
-    parsed = F.coalesce(*[F.try_to_timestamp(val, F.lit(f)) for f in C.TIMESTAMP_FORMATS])
+    parsed = parse_log_timestamp(val)
     norm = F.when(null_like(val), F.lit("")).when(parsed.isNotNull(), F.date_format(parsed, "yyyy-MM-dd HH:mm:ss")).otherwise(val)
     invalid = _i(norm != val)
     if required:

@@ -51,7 +51,8 @@ def nfc(text) -> Column:
     """
     c = _col(text)
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
-    return F.when(c.rlike("[^\\x00-\\x7f]"), composed).otherwise(c)
+    non_ascii = F.octet_length(c) != F.length(c)      # UTF-8 bytes differ from characters
+    return F.when(non_ascii, composed).otherwise(c)
 
 
 def decode_utf8_ignore(data) -> Column:

@@ -20,7 +20,8 @@ from ..functions.text import nfc
 def clean_cells(raw: DataFrame, as_of: str, row_id: str = "row_id") -> DataFrame:
     """All rows cleaned, with per-row ``_missing``, ``_invalid`` counts and ``_dirty`` flag."""
     cols = [c for c in raw.columns if c != row_id]
-    staged = raw.select(row_id, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_o_{c}") for c in cols],
+    from ..session import spread
+    staged = spread(raw).select(row_id, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_o_{c}") for c in cols],
                         *[nfc(clean_string(F.col(c).cast("string"))).alias(f"_v_{c}") for c in cols])
     cells = {c: clean_cell(c, F.col(f"_v_{c}"), F.col(row_id), as_of) for c in cols}
     missing = reduce(lambda a, b: a + b, [cells[c].missing for c in cols])

@@ -112,7 +112,8 @@ def dpi_scan(df: DataFrame, payload_col: str = "payload", sigs: DataFrame | None
     is_binary = isinstance(df.schema[payload_col].dataType, T.BinaryType)
     text, b64 = inspect_text(F.col(payload_col), is_binary)
     p = prefix
-    staged = df.select("*", text.alias(p + "text"), b64.alias(p + "base64"))
+    from ..session import spread
+    staged = spread(df).select("*", text.alias(p + "text"), b64.alias(p + "base64"))
     idx = first_match_index(F.col(p + "text"), rules)
     staged = staged.withColumn(p + "_idx", idx)
     ai_text = F.substring(F.col(p + "text"), 1, 100)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spark_netwatch") -> SparkSession:
@@ -25,6 +25,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("NETWATCH_DRIVER_MEMORY", "16g"))
+        # whole-stage codegen for wide rule projections (cleaning, DPI) yields methods above the
+        # JVM's default JIT size limit; let the JIT compile them (clusters: executor options too)
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+        .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -50,3 +54,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame that has fewer partitions than task slots.
+
+    CPU-heavy map stages (regex scans, cleaning rules) on an input read as a
+    handful of splits would otherwise run on a few cores; large inputs already
+    have more splits than slots and pass through unchanged.
+    """
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
