@@ -100,7 +100,7 @@ def inspect_text(payload: Column, is_binary: bool = True) -> tuple[Column, Colum
 
 
 def dpi_scan(df: DataFrame, payload_col: str = "payload", sigs: DataFrame | None = None,
-             compat: bool = False, prefix: str = "dpi_") -> DataFrame:
+             compat: bool = False, prefix: str = "dpi_", spread_input: bool = True) -> DataFrame:
     """The DPI verdict per row as ``dpi_*`` columns.
 
     Signature hit -> that rule. Otherwise, text longer than 10 characters goes
@@ -113,7 +113,7 @@ def dpi_scan(df: DataFrame, payload_col: str = "payload", sigs: DataFrame | None
     text, b64 = inspect_text(F.col(payload_col), is_binary)
     p = prefix
     from ..session import spread
-    staged = spread(df).select("*", text.alias(p + "text"), b64.alias(p + "base64"))
+    staged = (spread(df) if spread_input else df).select("*", text.alias(p + "text"), b64.alias(p + "base64"))
     idx = first_match_index(F.col(p + "text"), rules)
     staged = staged.withColumn(p + "_idx", idx)
     ai_text = F.substring(F.col(p + "text"), 1, 100)

@@ -53,7 +53,7 @@ def choose_strategy(packets: DataFrame, strategy: str = "auto") -> str:
     if strategy != "auto":
         return strategy
     from .flows_chunked import heaviest_share
-    top, total = heaviest_share(packets)
+    top, total = heaviest_share(packets.select("src_ip"))   # key column only: nothing upstream is recomputed
     return "chunked" if total and (top > HOT_KEY_ROWS or top > HOT_KEY_SHARE * total and top > 100_000) else "window"
 
 

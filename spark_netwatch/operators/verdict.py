@@ -57,8 +57,10 @@ def correlation_tactics(ip: str, ts: str, eid: str, tactic: Column, mask: Column
 def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame | None = None,
              compat: bool = False, forest=None, isolation=None) -> DataFrame:
     """One verdict row per packet (``packets`` must carry ``payload`` bytes)."""
-    df = dpi_scan(packets, "payload", compat=compat)
-    df = flow_state(df).withColumn("_rate_log", F.when(F.col("dur_s") > 0, F.col("n") / F.col("dur_s")).otherwise(F.lit(1.0)))
+    # flow state first: its exchange on src_ip also spreads the row-local DPI scan over tasks
+    df = flow_state(packets)
+    df = dpi_scan(df, "payload", compat=compat, spread_input=False)
+    df = df.withColumn("_rate_log", F.when(F.col("dur_s") > 0, F.col("n") / F.col("dur_s")).otherwise(F.lit(1.0)))
     ports, n = F.col("unique_ports"), F.col("n")
     dpi_hit = F.coalesce(F.col("dpi_is_threat"), F.lit(False))
     ueba = ~dpi_hit & (F.col("risk10") > 5)
