@@ -31,16 +31,36 @@ US = 1_000_000
 DEFAULT_CHUNK_SECONDS = 60
 
 
-def _chunked_running(df: DataFrame, keys: list[str], chunk: str, order: list[str], values: dict[str, Column]) -> DataFrame:
-    """Add running sums (inclusive) of ``values`` per ``keys`` in ``order``, chunked by ``chunk``."""
+def _chunked_running(df: DataFrame, keys: list[str], chunk: str, order: list[str], values: dict[str, Column],
+                     how: str = "sum") -> DataFrame:
+    """Add running sums or maxima (inclusive) of ``values`` per ``keys`` in ``order``, chunked by ``chunk``."""
+    agg = F.sum if how == "sum" else F.max
     staged = df.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
     local = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    staged = staged.select("*", *[F.sum(f"_v_{n}").over(local).alias(f"_l_{n}") for n in values])
-    totals = staged.groupBy(*keys, chunk).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    staged = staged.select("*", *[agg(f"_v_{n}").over(local).alias(f"_l_{n}") for n in values])
+    totals = staged.groupBy(*keys, chunk).agg(*[agg(f"_v_{n}").alias(f"_t_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    prefix = totals.select(*keys, chunk, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in values])
+    if how == "sum":
+        prefix_cols = [F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in values]
+    else:
+        prefix_cols = [F.max(f"_t_{n}").over(before).alias(f"_p_{n}") for n in values]
+    prefix = totals.select(*keys, chunk, *prefix_cols)
     out = staged.join(prefix, [*keys, chunk], "left")
-    return out.select(*[c for c in df.columns], *[(F.col(f"_p_{n}") + F.col(f"_l_{n}")).alias(n) for n in values])
+    combine = ((lambda n: F.col(f"_p_{n}") + F.col(f"_l_{n}")) if how == "sum"
+               else (lambda n: F.greatest(F.col(f"_p_{n}"), F.col(f"_l_{n}"))))   # greatest skips nulls
+    return out.select(*[c for c in df.columns], *[combine(n).alias(n) for n in values])
+
+
+def correlation_tactics_chunked(df: DataFrame, ip: str, ts: str, eid: str, tactic: Column, mask: Column,
+                                vocab: list[str], window_s: int = C.CORRELATION_WINDOW_SECONDS,
+                                chunk_seconds: int = DEFAULT_CHUNK_SECONDS, out: str = "corr_tactics") -> DataFrame:
+    """W5 (as in ``verdict.correlation_tactics``) with the per-tactic running maxima chunked by event time."""
+    staged = df.withColumn("_cc", F.floor(F.col(ts) / F.lit(chunk_seconds * US)).cast("bigint"))
+    last = {f"_last{i}": F.when(mask & (tactic == t), F.col(ts)) for i, t in enumerate(vocab)}
+    staged = _chunked_running(staged, [ip], "_cc", [ts, eid], last, how="max")
+    win = window_s * US
+    seen = [F.when(F.col(f"_last{i}") >= F.col(ts) - win, F.lit(t)) for i, t in enumerate(vocab)]
+    return staged.withColumn(out, F.when(mask, F.array_compact(F.array(*seen)))).drop("_cc", *last)
 
 
 def sessionize_chunked(packets: DataFrame, key: str = "src_ip", ts: str = "ts_us", tie: str = "packet_id",

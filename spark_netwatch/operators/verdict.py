@@ -55,10 +55,16 @@ def correlation_tactics(ip: str, ts: str, eid: str, tactic: Column, mask: Column
 
 
 def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame | None = None,
-             compat: bool = False, forest=None, isolation=None) -> DataFrame:
-    """One verdict row per packet (``packets`` must carry ``payload`` bytes)."""
+             compat: bool = False, forest=None, isolation=None, strategy: str = "auto") -> DataFrame:
+    """One verdict row per packet (``packets`` must carry ``payload`` bytes).
+
+    ``strategy`` as in ``flows.flow_state``; with ``chunked`` the correlation
+    window is chunked by event time too, so no window is keyed by source alone.
+    """
+    from .flows import choose_strategy
+    strategy = choose_strategy(packets, strategy)
     # flow state first: its exchange on src_ip also spreads the row-local DPI scan over tasks
-    df = flow_state(packets)
+    df = flow_state(packets, strategy=strategy)
     df = dpi_scan(df, "payload", compat=compat, spread_input=False)
     df = df.withColumn("_rate_log", F.when(F.col("dur_s") > 0, F.col("n") / F.col("dur_s")).otherwise(F.lit(1.0)))
     ports, n = F.col("unique_ports"), F.col("n")
@@ -149,7 +155,11 @@ def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame
     # step 5: correlation over events with severity > 0 from a non-loopback source
     tac_in = F.coalesce(F.col("_ta2"), F.lit("Unknown"))
     mask = (F.col("_v2") != 0) & F.col("src_ip").isNotNull() & (F.col("src_ip") != "") & (F.col("src_ip") != "127.0.0.1")
-    df = df.withColumn("corr_tactics", correlation_tactics("src_ip", "ts_us", "packet_id", tac_in, mask, CASCADE_TACTICS))
+    if strategy == "chunked":
+        from .flows_chunked import correlation_tactics_chunked
+        df = correlation_tactics_chunked(df, "src_ip", "ts_us", "packet_id", tac_in, mask, CASCADE_TACTICS)
+    else:
+        df = df.withColumn("corr_tactics", correlation_tactics("src_ip", "ts_us", "packet_id", tac_in, mask, CASCADE_TACTICS))
     k = F.coalesce(F.size("corr_tactics"), F.lit(0))
     esc = k >= C.CORRELATION_MIN_STAGES
     corr_tac = F.concat(F.lit("Multi-Stage: "), F.array_join("corr_tactics", ", "))

@@ -34,3 +34,15 @@ def test_chunked_hot_source(spark):
     rows += [(10_000 + i, "1.1.1.1", 1_700_000_000_000_000 + i * 9_000_000, 443, 60, 16) for i in range(50)]
     df = spark.createDataFrame(rows, "packet_id long, src_ip string, ts_us long, dst_port int, packet_size long, tcp_flags int")
     _compare(flows.flow_state(df, strategy="window"), flows.flow_state(df, strategy="chunked"))
+
+
+def test_verdicts_chunked_equals_window(spark):
+    from spark_netwatch.plans.verdict_jobs import OUT
+    from spark_netwatch.operators import intel, verdict
+    from spark_netwatch.sources.packets import packets_with_payload
+    pk = packets_with_payload(spark, SF01)
+    osint = intel.fuse_reputation(intel.vendor_scores(view(spark, SF01, "vendor_raw")))
+    iocs = intel.read_ioc_feed(view(spark, SF01, "ioc_feed"), "line")
+    a = verdict.verdicts(pk, osint=osint, iocs=iocs, strategy="window").select(*OUT)
+    b = verdict.verdicts(pk, osint=osint, iocs=iocs, strategy="chunked").select(*OUT)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
