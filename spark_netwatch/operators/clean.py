@@ -2,8 +2,9 @@
 removal (U1), event-id uniqueness (W9) and run statistics (A21).
 
 One ``select`` applies every column's rule; duplicates are removed with a
-grouped aggregate (map-side partial aggregation); id suffixes come from one
-``row_number`` window partitioned by the id.
+grouped aggregate (map-side partial aggregation); id suffixes come from a
+``row_number`` per id (or, with ``id_strategy="chunked"``, a running count per id
+chunked by row-id range for logs where one id may be hot).
 """
 
 from __future__ import annotations
@@ -32,31 +33,53 @@ def clean_cells(raw: DataFrame, as_of: str, row_id: str = "row_id") -> DataFrame
     return staged.select(row_id, *cols, "_missing", "_invalid", dirty.alias("_dirty"))
 
 
-def _suffix_ids(df: DataFrame, row_id: str, id_col: str = "Event_ID") -> DataFrame:
-    """2nd, 3rd ... occurrence of an id (in row order) gets ``_dup1``, ``_dup2`` ..."""
-    w = Window.partitionBy(id_col).orderBy(row_id)
-    rn = F.row_number().over(w)
+ID_CHUNK_ROWS = 1_000_000
+
+
+def _suffix_ids(df: DataFrame, row_id: str, id_col: str = "Event_ID", strategy: str = "window") -> DataFrame:
+    """2nd, 3rd ... occurrence of an id (in row order) gets ``_dup1``, ``_dup2`` ...
+
+    ``window``: ``row_number`` partitioned by the id (one pass; an id repeated
+    across a large share of the log lands in one task). ``chunked``: a running
+    count per id chunked by row-id range (``flows_chunked._chunked_running``),
+    which spreads such an id over many tasks at the price of evaluating the
+    input twice (once for the per-chunk totals).
+    """
+    if strategy == "chunked":
+        from .flows_chunked import _chunked_running
+        staged = df.withColumn("_idc", F.floor(F.col(row_id) / F.lit(ID_CHUNK_ROWS)).cast("bigint"))
+        rn = "_rn"
+        df = _chunked_running(staged, [id_col], "_idc", [row_id], {rn: F.lit(1).cast("long")}).drop("_idc")
+    else:
+        rn = "_rn"
+        df = df.withColumn(rn, F.row_number().over(Window.partitionBy(id_col).orderBy(row_id)))
     # cleaned ids are never empty (missing ids are recovered), so the flag is the rank alone;
     # a predicate on the id itself would be pushed below the window into every cleaning branch
-    dup = rn > 1
+    dup = F.col(rn) > 1
     return (df.withColumn("_suffixed", dup)
-            .withColumn(id_col, F.when(dup, F.concat(F.col(id_col), F.lit("_dup"), (rn - 1).cast("string"))).otherwise(F.col(id_col))))
+            .withColumn(id_col, F.when(dup, F.concat(F.col(id_col), F.lit("_dup"), (F.col(rn) - 1).cast("string")))
+                        .otherwise(F.col(id_col)))
+            .drop(rn))
 
 
-def clean_event_log(raw: DataFrame, as_of: str, row_id: str = "row_id", compat: bool = False) -> DataFrame:
-    """Cleaned rows (text columns) plus ``_missing``, ``_invalid``, ``_dirty``, ``_suffixed``.
+def clean_event_log(raw: DataFrame, as_of: str, row_id: str = "row_id", compat: bool = False,
+                    id_strategy: str = "window") -> DataFrame:
+    """Cleaned rows (text columns) plus ``_dirty`` and ``_suffixed``.
 
     Default: exact duplicates (same cleaned text in every column) are removed
     first, keeping the earliest row, then ids are made unique. ``compat=True``
-    suffixes ids first, as the reference does (SURVEY Q6).
+    suffixes ids first, as the reference does (SURVEY Q6). ``id_strategy``: see
+    ``_suffix_ids``.
     """
     cols = [c for c in raw.columns if c != row_id]
     cells = clean_cells(raw, as_of, row_id)
     if compat:
-        suffixed = _suffix_ids(cells, row_id) if "Event_ID" in cols else cells.withColumn("_suffixed", F.lit(False))
+        suffixed = (_suffix_ids(cells, row_id, strategy=id_strategy) if "Event_ID" in cols
+                    else cells.withColumn("_suffixed", F.lit(False)))
         return _dedupe(suffixed, cols, row_id)
     kept = _dedupe(cells, cols, row_id)
-    return _suffix_ids(kept, row_id) if "Event_ID" in cols else kept.withColumn("_suffixed", F.lit(False))
+    return (_suffix_ids(kept, row_id, strategy=id_strategy) if "Event_ID" in cols
+            else kept.withColumn("_suffixed", F.lit(False)))
 
 
 def _dedupe(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:

@@ -76,3 +76,17 @@ def test_required_id_and_uniqueness(spark):
     assert compat == {1: "EVT-1", 2: "EVT-1_dup1", 3: "EVT-RECOVERED-3", 4: "EVT-1_dup2", 5: "EVT-1_dup3"}
     s = cleaning_stats(df, AS_OF).first()
     assert (s.total_rows, s.duplicate_rows_removed) == (5, 1)
+
+
+def test_chunked_id_suffixes_equal_window(spark):
+    rows = [(i, "EVT-HOT" if i % 3 else f"EVT-{i}", f"m{i}") for i in range(2500)]
+    df = spark.createDataFrame(rows, "row_id long, Event_ID string, Detection_Method string")
+    import spark_netwatch.operators.clean as cl
+    old = cl.ID_CHUNK_ROWS
+    cl.ID_CHUNK_ROWS = 100          # many chunks for the hot id
+    try:
+        a = {(r.row_id, r.Event_ID) for r in clean_event_log(df, AS_OF).collect()}
+        b = {(r.row_id, r.Event_ID) for r in clean_event_log(df, AS_OF, id_strategy="chunked").collect()}
+    finally:
+        cl.ID_CHUNK_ROWS = old
+    assert a == b and len([1 for _, e in a if "_dup" in e]) == 1665
