@@ -90,7 +90,47 @@ def d4_verdicts(spark, sf):
     return run_verdicts(spark, sf).select(*OUT)
 
 
-@job("D4_verdicts_compat")
+def _compat_sql() -> str:
+    """The cascade twin in compat mode: compat DPI, plus the behaviour sentence classified for
+    flows over the port / packet thresholds (the forest is off, so it always clears them)."""
+    from .sqlgen import classify_sql
+    rate = "(CASE WHEN dur > 0 THEN n / (dur / 1000000.0) ELSE 1.0 END)"
+    act = (f"COALESCE(NULLIF(array_to_string(list_filter([CASE WHEN unique_ports > 3 THEN 'port scan reconnaissance' END, "
+           f"CASE WHEN {rate} > 5 THEN 'high-frequency abnormal rate' END], lambda x: x IS NOT NULL), ' and '), ''), 'suspicious activity')")
+    sentence = (f"'IP ' || src_ip || ' performed ' || {act} || ' on ' || CAST(unique_ports AS VARCHAR) || ' ports over ' || "
+                f"printf('%.1f', dur / 1000000.0) || ' seconds, sending ' || CAST(n AS VARCHAR) || ' packets at ' || "
+                f"printf('%.1f', {rate}) || ' pps.'")
+    sv = classify_sql(f"(SELECT packet_id, {sentence} AS sent FROM c1 WHERE stage = 'vol')", "sent", "packet_id")
+    base = VERDICT_BASE
+    edits = [
+        (dpi_sql("pk", "payload_text", "packet_id"), dpi_sql("pk", "payload_text", "packet_id", compat=True)),
+        ("WHEN risk10 > 5 THEN 'ueba' ELSE 'none' END AS stage",
+         "WHEN risk10 > 5 THEN 'ueba' WHEN unique_ports > 3 OR n > 15 THEN 'vol' ELSE 'none' END AS stage"),
+        ("c2 AS (SELECT *, stage <> 'none' AS t1,",
+         f"""c1s AS (SELECT c1.*, s.is_threat AS s_threat, s.method AS s_method, s.confidence AS s_conf, s.severity AS s_sev,
+  s.explanation AS s_expl, s.technique_id AS s_tid, s.technique_name AS s_tname, s.tactic AS s_tactic, s.raw_ai_label AS s_ai
+  FROM c1 LEFT JOIN ({sv}) s USING (packet_id)),
+c2 AS (SELECT *, CASE WHEN stage = 'vol' THEN s_threat ELSE stage <> 'none' END AS t1,"""),
+        ("WHEN 'ueba' THEN 'UEBA Predictive Engine' ELSE", "WHEN 'ueba' THEN 'UEBA Predictive Engine' WHEN 'vol' THEN s_method ELSE"),
+        ("WHEN 'ueba' THEN least(risk10 * 2.0, 99.0) ELSE 0.0 END AS c1",
+         "WHEN 'ueba' THEN least(risk10 * 2.0, 99.0) WHEN 'vol' THEN s_conf ELSE 0.0 END AS c1"),
+        ("ELSE 6.0 END) ELSE 0.0 END AS v1", "ELSE 6.0 END) WHEN 'vol' THEN s_sev ELSE 0.0 END AS v1"),
+        ("ELSE 'Normal traffic profile.' END AS i1", "WHEN 'vol' THEN s_expl ELSE 'Normal traffic profile.' END AS i1"),
+        ("WHEN 'ueba' THEN 'T1566' END AS tid1", "WHEN 'ueba' THEN 'T1566' WHEN 'vol' THEN s_tid END AS tid1"),
+        ("Lateral Movement' END AS tn1", "Lateral Movement' WHEN 'vol' THEN s_tname END AS tn1"),
+        ("CAST(NULL AS VARCHAR) AS ta1", "CASE WHEN stage = 'vol' THEN s_tactic END AS ta1"),
+        ("CASE WHEN stage <> 'none' THEN 'NEGATIVE' ELSE 'POSITIVE' END AS ai1 FROM c1)",
+         "CASE WHEN stage = 'vol' THEN s_ai WHEN stage <> 'none' THEN 'NEGATIVE' ELSE 'POSITIVE' END AS ai1 FROM c1s)"),
+    ]
+    for old, new in edits:
+        if old not in base:
+            raise ValueError(f"compat twin: pattern not found: {old[:60]}")
+        base = base.replace(old, new, 1)
+    return base + """SELECT packet_id, src_ip, is_threat, method, confidence, severity, intel, technique_id,
+  technique_name, tactic, ai_label, correlated FROM vd"""
+
+
+@job("D4_verdicts_compat", _compat_sql())
 def d4_verdicts_compat(spark, sf):
     return run_verdicts(spark, sf, compat=True).select(*OUT)
 
@@ -176,3 +216,4 @@ def p14_ui(spark, sf):
 @job("P15_event_row")
 def p15_row(spark, sf):
     return verdict.event_row(run_verdicts(spark, sf))
+
