@@ -192,6 +192,11 @@ def suricata_rules(threats: DataFrame, msg_col: str | None = None, tech_col: str
     return latest.select("source_ip", rule.alias("rule"))
 
 
+def attach_enrichment(events: DataFrame, enrichment: DataFrame, key: str = "event_id") -> DataFrame:
+    """Enrichment text (e.g. incident briefs) attached by event id; events without one keep null."""
+    return events.join(enrichment, key, "left")
+
+
 # FIXED VALUES: incident brief template (Markdown)
 BRIEF_TEMPLATE = (
     "**INCIDENT RESPONSE PLAYBOOK**\n\n"

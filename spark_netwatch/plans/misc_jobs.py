@@ -1,4 +1,4 @@
-"""Registered jobs: D7, F16, F20, F28, S7, U2."""
+"""Registered jobs: D7, F16, F20, F28, J12, S7, S10, U2."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from ..operators import dpi, flows, respond
 from ..operators.features import flow_rate_features
 from .flow_jobs import A1_SQL
 from .registry import ORACLE, job, v, w
-from .source_jobs import scratch
+from .source_jobs import RAW_COLS, RAW_CSV_SQL, _raw_text, scratch
 from .sqlgen import SIG_VALUES
 from .verdict_jobs import VERDICT_BASE, run_verdicts
 
@@ -77,3 +77,32 @@ def u2_union_scan(spark, sf):
     m = dpi.all_matches(pages, "html", sigs)
     return m.select("page_id", F.when(F.array_contains(F.transform("matched_rules", lambda r: r.startswith("AUTO-SIG")), True), 1)
                     .otherwise(0).alias("custom_hits"))
+
+
+_F26 = ORACLE["F26_incident_brief"]
+_TE = w("threat_events")
+
+
+@job("J12_enrichment_join", _TE + ", b AS (" + _F26[len(_TE):] + """)
+SELECT t.event_id, t.severity, b.brief FROM threat_events t LEFT JOIN b USING (event_id)""")
+def j12_enrichment(spark, sf):
+    from ..operators import threats
+    te = v(spark, sf, "threat_events")
+    briefs = threats.incident_brief(te.filter("severity >= 9.0"))
+    return threats.attach_enrichment(te.select("event_id", "severity"), briefs)
+
+
+@job("S10_stream_event_log", RAW_CSV_SQL)
+def s10_stream(spark, sf):
+    """New CSV files appended to the log folder are read as new rows (file stream, availableNow)."""
+    from ..sources import logs
+    from ..streaming import twins
+    path = scratch(spark, "s10")
+    text = _raw_text(spark, sf)
+    n = text.agg(F.max(F.col("row_id").cast("long"))).first()[0] or 0
+    for i in range(4):                               # four appends, in row order
+        part = text.filter(F.floor(F.col("row_id").cast("long") * 4 / (n + 1)) == i)
+        (part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
+    stream = logs.stream_event_log(spark, path, RAW_COLS, max_files_per_trigger=4)
+    return twins.run_to_table(spark, stream, "s10")

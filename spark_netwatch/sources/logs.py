@@ -38,7 +38,8 @@ def read_event_log(spark: SparkSession, path: str, columns: list[str] | None = N
 def stream_event_log(spark: SparkSession, path: str, columns: list[str] | None = None,
                      max_files_per_trigger: int | None = None) -> DataFrame:
     """The same reader as a file stream (new files are new rows)."""
-    r = spark.readStream.schema(log_schema(columns)).option("header", True).option("mode", "PERMISSIVE")
+    r = (spark.readStream.schema(log_schema(columns)).option("header", True).option("mode", "PERMISSIVE")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.csv(path).filter(F.col(_EXTRA).isNull()).drop(_EXTRA)
