@@ -31,7 +31,8 @@ MAX_ROUNDS = 64
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
+    from ..session import checkpoint
+    return checkpoint(df)
 
 
 def successors(events: DataFrame, key: str, ts: str, eid: str, gap: int) -> DataFrame:

@@ -113,7 +113,8 @@ def train_isolation(df: DataFrame, order_col: str, n_trees: int = 100, psi: int
                     cols=tuple(C.MODEL_FEATURES)) -> IsolationModel:
     """M4: fit on the newest ``max_rows`` rows (T7) of ``df``."""
     recent = df.orderBy(F.desc(order_col)).limit(max_rows).select(F.col(order_col).alias("_rid"), *_features(df, cols))
-    recent = recent.checkpoint(eager=True)
+    from ..session import checkpoint
+    recent = checkpoint(recent)
     n = recent.count()
     sample = min(psi, n)
     height = int(np.ceil(np.log2(max(sample, 2))))

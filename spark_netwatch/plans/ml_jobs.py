@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify, isoforest, ml
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint
 from .dpi_jobs import CLS_COLS  # noqa: F401
 from .flow_jobs import d1_feature_vector
 from .registry import job, v, w
@@ -31,7 +31,7 @@ def _fit(spark, sf):
     """Train once per (session, data folder); M1, M3 and M7 read the same fitted model."""
     key = ("forest", id(spark), sf)
     if key not in _FITTED:
-        data = training_set(spark, sf).checkpoint(eager=True)
+        data = checkpoint(training_set(spark, sf))
         train, test = ml.stratified_split(data, "packet_id")
         _FITTED[key] = (data, train, test, ml.train_forest(train))
     return _FITTED[key]
@@ -45,7 +45,7 @@ def m1_train(spark, sf):
 
 @job("M2_forest_cv")
 def m2_cv(spark, sf):
-    return ml.cross_validate(training_set(spark, sf).checkpoint(eager=True))
+    return ml.cross_validate(checkpoint(training_set(spark, sf)))
 
 
 @job("M3_forest_scores")
@@ -66,7 +66,7 @@ def m7_importance(spark, sf):
 def _iso(spark, sf):
     key = ("isolation", id(spark), sf)
     if key not in _FITTED:
-        data = training_set(spark, sf).checkpoint(eager=True)
+        data = checkpoint(training_set(spark, sf))
         _FITTED[key] = (data, isoforest.train_isolation(data, "ts_us"))
     return _FITTED[key]
 

@@ -67,3 +67,10 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Eager checkpoint into the session's checkpoint folder (set from the cluster's
+    ``spark.checkpoint.dir``, or a scratch folder only when none is configured)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
