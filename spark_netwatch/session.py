@@ -65,8 +65,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:       # sessions without RDD access (e.g. Spark Connect): leave the plan as is
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
