@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack
+from .quality import THRESHOLD, held_out, score, train
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,6 +20,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), rows.quality_score.alias("score"),
+                       F.when(rows.quality_score >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", rows.digest.alias("text_sha256"))
@@ -29,5 +38,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op2_packing": op2_packing, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op2_packing": op2_packing, "op6_quality": op6_quality, "op10_exact_dedup": op10_exact_dedup}
 ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
