@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_li
             for rows in slices(batch, "text", SLICE):
                 x, _, n = line_features(rows.column("text"))
                 ends = np.cumsum(n)
-                cut = [x[e - k:e - k + max_lines].astype(np.float32).tobytes() for e, k in zip(ends, n)]
+                cut = [x[e - k:e - k + min(k, max_lines)].astype(np.float32).tobytes() for e, k in zip(ends, n)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("quality"), pa.array(cut, pa.binary())], ["doc_id", "quality", "x"])
 
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
