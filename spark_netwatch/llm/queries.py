@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .fingerprints import FINGERPRINT_SQL, fingerprints
+from .licenses import scan, scan_sql
 from .packing import pack
 from .quality import THRESHOLD, held_out, score, train
 
@@ -27,6 +29,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(rows.quality_score >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", rows.digest.alias("text_sha256"))
@@ -38,5 +48,15 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op2_packing": op2_packing, "op6_quality": op6_quality, "op10_exact_dedup": op10_exact_dedup}
-ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op6_quality": op6_quality,
+    "op7_license_scan": op7_license_scan,
+    "op8_fingerprints": op8_fingerprints,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLE_SQL = {
+    "op7_license_scan": scan_sql(),
+    "op8_fingerprints": FINGERPRINT_SQL,
+    "op10_exact_dedup": OP10_SQL,
+}
