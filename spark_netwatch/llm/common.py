@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -39,12 +40,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     columns (row numbers, partition ids) are fixed. The files go when the application ends, or
     earlier through ``dropped``.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     fs, at = _file_system(spark, path)
     fs.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()      # shuffle files go when the driver's garbage does; the steps before are done with theirs
+    return spark.read.schema(schema).parquet(path)
 
 
 def dropped(*frames: DataFrame) -> None:
@@ -63,7 +67,7 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def join_by_weight(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def join_by_weight(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
     """Inner join on ``key``, unique in ``right``, where ``right[weight]`` counts left's rows of that key.
 
     Keys with more than ``total / HEAVY_SHARE`` rows are fewer than HEAVY_SHARE, so that part of

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprints import FINGERPRINT_SQL, fingerprints
+from .fuzzy_lines import dedup_lines
 from .licenses import scan, scan_sql
 from .packing import pack
 from .quality import THRESHOLD, held_out, score, train
@@ -22,6 +23,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = score(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +56,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_fingerprints": op8_fingerprints,
