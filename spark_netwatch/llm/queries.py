@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprints import FINGERPRINT_SQL, fingerprints
 from .fuzzy_lines import dedup_lines
+from .jaccard import jaccard_components
 from .licenses import scan, scan_sql
 from .packing import pack
 from .quality import THRESHOLD, held_out, score, train
@@ -28,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_size")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = score(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -57,6 +62,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_fingerprints": op8_fingerprints,
