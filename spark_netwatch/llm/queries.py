@@ -13,6 +13,7 @@ from .jaccard import jaccard_components
 from .licenses import scan, scan_sql
 from .packing import pack
 from .quality import THRESHOLD, held_out, score, train
+from .suffixes import remove_repeats
 
 
 def tokenizer_file(name: str) -> str:
@@ -59,6 +60,11 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
@@ -66,6 +72,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_fingerprints": op8_fingerprints,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {
