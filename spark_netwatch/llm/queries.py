@@ -11,6 +11,7 @@ from .fingerprints import FINGERPRINT_SQL, fingerprints
 from .fuzzy_lines import dedup_lines
 from .jaccard import jaccard_components
 from .language import identify
+from .lattice import encode
 from .licenses import scan, scan_sql
 from .packing import pack
 from .quality import THRESHOLD, held_out, score, train
@@ -22,6 +23,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
 
@@ -71,6 +76,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_line_dedup": op4_line_dedup,
