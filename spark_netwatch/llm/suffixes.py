@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import dropped, join_by_weight, written
 from .shingles import mix
@@ -219,8 +219,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans.unionByName(late)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed``, ``n_spans``; such columns are replaced."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """``docs`` with ``kept``, ``n_bytes``, ``n_removed``, ``n_spans``; such columns are replaced.
+
+    ``kept`` has the bytes that stay, or as text those characters of which all bytes stay.
+    """
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(text).alias("_hash"), F.encode(text, "utf-8").alias("data"))
@@ -246,8 +249,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     kept.append(data.tobytes())
                     counts.append((len(data), 0, 0))
             counts = np.array(counts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(kept, pa.binary()), *[pa.array(counts[:, k]) for k in range(3)]],
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), *[pa.array(counts[:, k]) for k in range(3)]],
                                              [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    schema = StructType([*docs.schema.fields, StructField("kept", BinaryType()), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
+    schema = StructType([*docs.schema.fields, StructField("kept", StringType() if as_text else BinaryType()), *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
     return rows.mapInArrow(run, schema)
