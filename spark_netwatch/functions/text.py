@@ -17,20 +17,23 @@ from pyspark.sql import types as T
 from .. import constants as C
 
 
+#: Characters that count as white space at either end of a text.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+               "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 @F.pandas_udf(T.DoubleType())
 def _byte_entropy(data: pd.Series) -> pd.Series:
-    out = np.zeros(len(data), dtype="float64")
-    for i, b in enumerate(data):
-        if b is None or len(b) == 0:
-            continue
-        counts = np.bincount(np.frombuffer(bytes(b), dtype=np.uint8), minlength=256)
-        p = counts[counts > 0] / float(len(b))
-        out[i] = float(-(p * np.log2(p)).sum())
-    return pd.Series(out)
+    values = [b if b is not None else b"" for b in data]
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    row = np.repeat(np.arange(len(values)), size)
+    counts = np.bincount(row * 256 + np.frombuffer(b"".join(values), np.uint8), minlength=256 * len(values)).reshape(-1, 256)
+    p = counts / np.maximum(size, 1)[:, None]
+    return pd.Series(-np.where(counts > 0, p * np.log2(np.where(counts > 0, p, 1.0)), 0.0).sum(1) + 0.0)
 
 
 def byte_entropy(data) -> Column:
@@ -66,7 +69,7 @@ def base64_unwrap(text) -> tuple[Column, Column]:
     Trimmed text of >= 16 base64 characters that decodes strictly and holds a
     letter is replaced by its decoded text.
     """
-    t = F.trim(_col(text))
+    t = F.regexp_replace(_col(text), f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
     candidate = (F.length(t) >= 16) & t.rlike(r"^[A-Za-z0-9+/]+={0,2}$") & (F.length(t) % 4 == 0)
     decoded = decode_utf8_ignore(F.try_to_binary(t, F.lit("base64")))
     ok = candidate & decoded.isNotNull() & decoded.rlike(r"\p{L}")

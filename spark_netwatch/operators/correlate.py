@@ -1,13 +1,8 @@
 """Multi-stage correlation.
 
 For each analysable event (P4) the set of distinct non-``Unknown`` tactics the
-same source showed in the trailing window (inclusive, current event
-included) decides escalation. Instead of materialising the frame (a sliding
-``collect_set`` re-reads every row in the window for every row), each known
-tactic keeps a running "last seen" time: a tactic is in the window when its
-last sighting is within ``window_s``. That is O(1) work per row with one
-running frame. The tactic vocabulary is a small distinct list read once; over
-64 values the job falls back to a RANGE frame with ``collect_set``.
+same source showed in the trailing window (inclusive; events of one instant
+are peers) decides escalation. One RANGE frame gives it for any set of tactics.
 """
 
 from __future__ import annotations
@@ -19,34 +14,16 @@ from .. import constants as C
 from .threats import analysable
 
 US = 1_000_000
-MAX_VOCAB = 64
-
-
-def tactic_vocabulary(events: DataFrame, tactic: str = "mitre_tactic") -> list[str] | None:
-    rows = (events.select(F.col(tactic).alias("t")).filter(F.col("t").isNotNull() & (F.col("t") != "Unknown"))
-            .distinct().limit(MAX_VOCAB + 1).collect())
-    vocab = sorted(r["t"] for r in rows)
-    return vocab if len(vocab) <= MAX_VOCAB else None
 
 
 def correlate(events: DataFrame, ip: str = "source_ip", ts: str = "ts_us", eid: str = "event_id",
               tactic: str = "mitre_tactic", severity: str = "severity", confidence: str = "confidence",
-              window_s: int = C.CORRELATION_WINDOW_SECONDS, min_stages: int = C.CORRELATION_MIN_STAGES,
-              vocab: list[str] | None = None) -> DataFrame:
+              window_s: int = C.CORRELATION_WINDOW_SECONDS, min_stages: int = C.CORRELATION_MIN_STAGES) -> DataFrame:
     """W5 over analysable events: adds tactics, stages, escalated and the escalated values."""
     base = analysable(events, ip, severity).withColumn(
         "_tac", F.coalesce(F.col(tactic), F.lit("Unknown")))
-    if vocab is None:
-        vocab = tactic_vocabulary(base, "_tac")
-    win = window_s * US
-    if vocab is not None:
-        run = Window.partitionBy(ip).orderBy(ts, eid).rowsBetween(Window.unboundedPreceding, 0)
-        seen = [F.when(F.max(F.when(F.col("_tac") == t, F.col(ts))).over(run) >= F.col(ts) - win, F.lit(t))
-                for t in sorted(vocab)]
-        tactics = F.array_compact(F.array(*seen)) if seen else F.array().cast("array<string>")
-    else:
-        rng = Window.partitionBy(ip).orderBy(ts).rangeBetween(-win, 0)
-        tactics = F.array_sort(F.collect_set(F.when(F.col("_tac") != "Unknown", F.col("_tac"))).over(rng))
+    trailing = Window.partitionBy(ip).orderBy(ts).rangeBetween(-window_s * US, 0)
+    tactics = F.array_sort(F.collect_set(F.when(F.col("_tac") != "Unknown", F.col("_tac"))).over(trailing))
     out = base.withColumn("tactics", tactics).withColumn("stages", F.size("tactics"))
     esc = F.col("stages") >= min_stages
     return out.select(

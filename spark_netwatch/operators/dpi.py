@@ -2,9 +2,9 @@
 signature (J8), all matches (J9), text fallback (D2) and hit counts (A27).
 
 Signatures are data (built-ins plus custom JSON, S7/U2). The rule list is a
-small dimension: it is read once on the driver behind a size check and
-compiled into one ``CASE WHEN rlike`` chain, so every task scans each payload
-with literal patterns (compiled once per task) and stops at the first hit.
+dimension: it is read once on the driver and compiled into one ``CASE WHEN
+rlike`` chain, so every task scans each payload, whole, with literal patterns
+(compiled once per task) and stops at the first hit.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from .. import constants as C
 from ..functions.text import base64_unwrap, decode_utf8_ignore
 from .classify import classify_columns, with_mitre
 
-MAX_RULES = 2000
-
 SIG_SCHEMA = T.StructType([
     T.StructField("sig_order", T.IntegerType(), False),
     T.StructField("id", T.StringType(), False),
@@ -33,10 +31,8 @@ SIG_SCHEMA = T.StructType([
 
 
 def builtin_signatures(spark: SparkSession) -> DataFrame:
-    rows = [(i, sid, name, sev, conf, cwe, tech, refs, pat)
-            for i, (sid, name, sev, conf, cwe, tech, refs, pat) in enumerate(C.SIGNATURES)]
     from ..sources.fixtures import constant_table
-    return constant_table(spark, rows, SIG_SCHEMA)
+    return constant_table(spark, [(i, *row) for i, row in enumerate(C.SIGNATURES)], SIG_SCHEMA)
 
 
 def load_signatures(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -67,12 +63,12 @@ def load_signatures(spark: SparkSession, path: str | None = None) -> DataFrame:
     return base.unionByName(custom)
 
 
-def compile_rules(sigs: DataFrame) -> list:
-    """Read the rule list once (bounded dimension, checked)."""
-    rows = sigs.orderBy("sig_order").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"signature table over {MAX_RULES} rules")
-    return rows
+def compile_rules(sigs: DataFrame | None = None) -> list:
+    """The rules in order: the built-in ones without a job, others read once."""
+    if sigs is None:
+        names = [f.name for f in SIG_SCHEMA.fields]
+        return [dict(zip(names, (i, *row))) for i, row in enumerate(C.SIGNATURES)]
+    return sigs.orderBy("sig_order").collect()
 
 
 def first_match_index(text: Column, rules: list) -> Column:
@@ -93,30 +89,26 @@ def _rule_array(rules: list) -> Column:
 
 
 def inspect_text(payload: Column, is_binary: bool = True) -> tuple[Column, Column]:
-    """P18 + F24 + F23: truncate bytes to 64 KiB, decode ignoring bad bytes, unwrap base64."""
-    data = payload if is_binary else F.encode(payload, "UTF-8")
-    text = decode_utf8_ignore(F.substring(data, 1, C.MAX_PAYLOAD_INSPECT_BYTES))
-    return base64_unwrap(text)
+    """F24 + F23: decode ignoring bad bytes, unwrap base64."""
+    return base64_unwrap(decode_utf8_ignore(payload if is_binary else F.encode(payload, "UTF-8")))
 
 
 def dpi_scan(df: DataFrame, payload_col: str = "payload", sigs: DataFrame | None = None,
-             compat: bool = False, prefix: str = "dpi_", spread_input: bool = True) -> DataFrame:
+             compat: bool = False, prefix: str = "dpi_") -> DataFrame:
     """The DPI verdict per row as ``dpi_*`` columns.
 
     Signature hit -> that rule. Otherwise, text longer than 10 characters goes
     to the keyword classifier: the payload alone (default) or the reference's
     ``Payload content detected: ...`` sentence (``compat=True``, SURVEY Q1).
     """
-    spark = df.sparkSession
-    rules = compile_rules(sigs if sigs is not None else builtin_signatures(spark))
+    rules = compile_rules(sigs)
     is_binary = isinstance(df.schema[payload_col].dataType, T.BinaryType)
     text, b64 = inspect_text(F.col(payload_col), is_binary)
     p = prefix
-    from ..session import spread
-    staged = (spread(df) if spread_input else df).select("*", text.alias(p + "text"), b64.alias(p + "base64"))
+    staged = df.select("*", text.alias(p + "text"), b64.alias(p + "base64"))
     idx = first_match_index(F.col(p + "text"), rules)
     staged = staged.withColumn(p + "_idx", idx)
-    ai_text = F.substring(F.col(p + "text"), 1, 100)
+    ai_text = F.col(p + "text")
     if compat:
         ai_text = F.concat(F.lit("Payload content detected: "), ai_text)
     cls = classify_columns(ai_text)
@@ -147,8 +139,7 @@ def dpi_scan(df: DataFrame, payload_col: str = "payload", sigs: DataFrame | None
 
 def all_matches(df: DataFrame, payload_col: str = "payload", sigs: DataFrame | None = None) -> DataFrame:
     """Every matching rule id per row (array, in rule order)."""
-    spark = df.sparkSession
-    rules = compile_rules(sigs if sigs is not None else builtin_signatures(spark))
+    rules = compile_rules(sigs)
     is_binary = isinstance(df.schema[payload_col].dataType, T.BinaryType)
     text, _ = inspect_text(F.col(payload_col), is_binary)
     ids = F.array(*[F.when(text.rlike(r["pattern"]), F.lit(r["id"])) for r in rules])

@@ -32,11 +32,15 @@ DEFAULT_CHUNK_SECONDS = 60
 
 
 def _chunked_running(df: DataFrame, keys: list[str], chunk: str, order: list[str], values: dict[str, Column],
-                     how: str = "sum") -> DataFrame:
-    """Add running sums or maxima (inclusive) of ``values`` per ``keys`` in ``order``, chunked by ``chunk``."""
+                     how: str = "sum", peers: bool = False) -> DataFrame:
+    """Add running sums or maxima (inclusive) of ``values`` per ``keys`` in ``order``, chunked by ``chunk``.
+
+    ``peers``: rows of equal order count for one another (they lie in one chunk).
+    """
     agg = F.sum if how == "sum" else F.max
     staged = df.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
-    local = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*keys, chunk).orderBy(*order)
+    local = (local.rangeBetween if peers else local.rowsBetween)(Window.unboundedPreceding, 0)
     staged = staged.select("*", *[agg(f"_v_{n}").over(local).alias(f"_l_{n}") for n in values])
     totals = staged.groupBy(*keys, chunk).agg(*[agg(f"_v_{n}").alias(f"_t_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +61,7 @@ def correlation_tactics_chunked(df: DataFrame, ip: str, ts: str, eid: str, tacti
     """W5 (as in ``verdict.correlation_tactics``) with the per-tactic running maxima chunked by event time."""
     staged = df.withColumn("_cc", F.floor(F.col(ts) / F.lit(chunk_seconds * US)).cast("bigint"))
     last = {f"_last{i}": F.when(mask & (tactic == t), F.col(ts)) for i, t in enumerate(vocab)}
-    staged = _chunked_running(staged, [ip], "_cc", [ts, eid], last, how="max")
+    staged = _chunked_running(staged, [ip], "_cc", [ts], last, how="max", peers=True)
     win = window_s * US
     seen = [F.when(F.col(f"_last{i}") >= F.col(ts) - win, F.lit(t)) for i, t in enumerate(vocab)]
     return staged.withColumn(out, F.when(mask, F.array_compact(F.array(*seen)))).drop("_cc", *last)

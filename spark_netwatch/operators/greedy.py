@@ -27,8 +27,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 64
-
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     from ..session import checkpoint
@@ -68,8 +66,6 @@ def greedy_accept(events: DataFrame, key: str, ts: str, eid: str, gap: int) -> D
     # that bounds the doubling rounds up front (one small aggregate instead of a check per round)
     span = succ.groupBy("k").agg((F.max("t") - F.min("t")).alias("s")).agg(F.max("s")).first()[0] or 0
     rounds = max(1, math.ceil(math.log2(span // gap + 2)))
-    if rounds > MAX_ROUNDS:
-        raise RuntimeError("greedy_accept: chain bound too long")
     heads = succ.groupBy("k").agg(F.min_by("id", F.struct("t", "id")).alias("id")).select("id")
     jump = succ.select("id", "nxt").filter(F.col("nxt").isNotNull())
     marked = heads

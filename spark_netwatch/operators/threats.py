@@ -23,8 +23,9 @@ def _ts(value) -> Column:
 
 
 def query_threats(df: DataFrame, start=None, end=None, source_ip: str | None = None,
-                  severity_min: float | None = None, method: str | None = None, limit: int = 100) -> DataFrame:
-    """P1 + P2: optional filters, newest first, limit capped at 1000."""
+                  severity_min: float | None = None, method: str | None = None, limit: int = 100,
+                  ceiling: int | None = None) -> DataFrame:
+    """P1 + P2: optional filters, newest first; ``ceiling`` (P2) is the most rows a caller may ask for."""
     out = df
     if start is not None:
         out = out.filter(F.col("timestamp") >= _ts(start))
@@ -36,7 +37,7 @@ def query_threats(df: DataFrame, start=None, end=None, source_ip: str | None = N
         out = out.filter(F.col("severity") >= float(severity_min))
     if method:
         out = out.filter(F.col("detection_method").ilike(f"%{method}%"))
-    return out.orderBy(F.desc("timestamp_epoch"), F.desc("event_id")).limit(min(int(limit), C.QUERY_LIMIT_CAP))
+    return out.orderBy(F.desc("timestamp_epoch"), F.desc("event_id")).limit(int(limit) if ceiling is None else min(int(limit), ceiling))
 
 
 def threats_around(df: DataFrame, as_of, minutes_ago: int = 5) -> DataFrame:

@@ -48,7 +48,7 @@ def _sentence(df: DataFrame) -> Column:
 def correlation_tactics(ip: str, ts: str, eid: str, tactic: Column, mask: Column, vocab: list[str],
                         window_s: int = C.CORRELATION_WINDOW_SECONDS) -> Column:
     """W5 on a masked subset, as running per-tactic last-seen times (no join back needed)."""
-    run = Window.partitionBy(ip).orderBy(ts, eid).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(ip).orderBy(ts).rangeBetween(Window.unboundedPreceding, 0)    # equal times are peers
     win = window_s * US
     seen = [F.when(F.max(F.when(mask & (tactic == t), F.col(ts))).over(run) >= F.col(ts) - win, F.lit(t)) for t in vocab]
     return F.when(mask, F.array_compact(F.array(*seen)))
@@ -65,7 +65,7 @@ def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame
     strategy = choose_strategy(packets, strategy)
     # flow state first: its exchange on src_ip also spreads the row-local DPI scan over tasks
     df = flow_state(packets, strategy=strategy)
-    df = dpi_scan(df, "payload", compat=compat, spread_input=False)
+    df = dpi_scan(df, "payload", compat=compat)
     df = df.withColumn("_rate_log", F.when(F.col("dur_s") > 0, F.col("n") / F.col("dur_s")).otherwise(F.lit(1.0)))
     ports, n = F.col("unique_ports"), F.col("n")
     dpi_hit = F.coalesce(F.col("dpi_is_threat"), F.lit(False))

@@ -8,8 +8,9 @@ from .. import constants as C
 from ..operators import classify, dpi
 from ..sources.packets import packets_with_payload
 from .registry import job, w
-from .sqlgen import classify_sql, dpi_sql, first_rule_case, q
+from .sqlgen import classify_sql, dpi_sql, first_rule_case, q, white_trim
 
+TRIMMED = white_trim("payload_text")
 DPI_COLS = ["dpi_is_threat", "dpi_reason", "dpi_snippet", "dpi_severity", "dpi_confidence", "dpi_base64",
             "dpi_rule_id", "dpi_cwe", "dpi_technique"]
 PKT = w("net_packets", "payloads") + ", pk AS (SELECT packet_id, payload_text FROM net_packets JOIN payloads USING (payload_id))\n"
@@ -46,14 +47,14 @@ def d2_conversations(spark, sf):
 
 @job("J8_first_match_packets", PKT + f"""SELECT packet_id, sig.id AS rule_id FROM
   (SELECT packet_id, {first_rule_case('t')} AS idx FROM (
-    SELECT packet_id, CASE WHEN length(trim(payload_text)) >= 16 AND regexp_matches(trim(payload_text), '^[A-Za-z0-9+/]+={{0,2}}$')
-      AND length(trim(payload_text)) % 4 = 0 AND regexp_matches(try(decode(from_base64(trim(payload_text)))), '\\p{{L}}')
-      THEN try(decode(from_base64(trim(payload_text)))) ELSE payload_text END AS t FROM pk)) x
+    SELECT packet_id, CASE WHEN length({TRIMMED}) >= 16 AND regexp_matches({TRIMMED}, '^[A-Za-z0-9+/]+={{0,2}}$')
+      AND length({TRIMMED}) % 4 = 0 AND regexp_matches(try(decode(from_base64({TRIMMED}))), '\\p{{L}}')
+      THEN try(decode(from_base64({TRIMMED}))) ELSE payload_text END AS t FROM pk)) x
 LEFT JOIN (SELECT * FROM (VALUES {", ".join(f"({i}, {q(s[0])})" for i, s in enumerate(C.SIGNATURES))}) AS v(sig_order, id)) sig
   ON x.idx = sig.sig_order""")
 def j8_first_match(spark, sf):
     p = packets_with_payload(spark, sf)
-    rules = dpi.compile_rules(dpi.builtin_signatures(spark))
+    rules = dpi.compile_rules()
     text, _ = dpi.inspect_text(F.col("payload"))
     idx = dpi.first_match_index(text, rules)
     ids = F.array(*[F.lit(r["id"]) for r in rules])
@@ -72,9 +73,9 @@ def j9_all_matches(spark, sf):
 
 
 @job("J9_all_matches_packets", PKT + f"""SELECT r.rule_id, CAST(count(*) AS BIGINT) AS hits FROM pk
-JOIN {ALL_RULES} ON regexp_matches(CASE WHEN length(trim(payload_text)) >= 16 AND regexp_matches(trim(payload_text), '^[A-Za-z0-9+/]+={{0,2}}$')
-      AND length(trim(payload_text)) % 4 = 0 AND regexp_matches(try(decode(from_base64(trim(payload_text)))), '\\p{{L}}')
-      THEN try(decode(from_base64(trim(payload_text)))) ELSE payload_text END, r.pattern) GROUP BY r.rule_id""")
+JOIN {ALL_RULES} ON regexp_matches(CASE WHEN length({TRIMMED}) >= 16 AND regexp_matches({TRIMMED}, '^[A-Za-z0-9+/]+={{0,2}}$')
+      AND length({TRIMMED}) % 4 = 0 AND regexp_matches(try(decode(from_base64({TRIMMED}))), '\\p{{L}}')
+      THEN try(decode(from_base64({TRIMMED}))) ELSE payload_text END, r.pattern) GROUP BY r.rule_id""")
 def j9_all_packets(spark, sf):
     m = dpi.all_matches(packets_with_payload(spark, sf), "payload")
     return m.select(F.explode("matched_rules").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
@@ -86,11 +87,11 @@ def a27_hits(spark, sf):
     return dpi.rule_hit_counts(dpi.dpi_scan(packets_with_payload(spark, sf)))
 
 
-@job("F23_base64_unwrap", PKT + """SELECT packet_id, CASE WHEN ok THEN dec ELSE payload_text END AS text, COALESCE(ok, false) AS base64_detected
-FROM (SELECT *, (length(tt) >= 16 AND regexp_matches(tt, '^[A-Za-z0-9+/]+={0,2}$') AND length(tt) % 4 = 0
-        AND dec IS NOT NULL AND regexp_matches(dec, '\\p{L}')) AS ok
-      FROM (SELECT *, trim(payload_text) AS tt, CASE WHEN length(trim(payload_text)) >= 16 AND length(trim(payload_text)) % 4 = 0
-        AND regexp_matches(trim(payload_text), '^[A-Za-z0-9+/]+={0,2}$') THEN try(decode(from_base64(trim(payload_text)))) END AS dec FROM pk))""")
+@job("F23_base64_unwrap", PKT + f"""SELECT packet_id, CASE WHEN ok THEN dec ELSE payload_text END AS text, COALESCE(ok, false) AS base64_detected
+FROM (SELECT *, (length(tt) >= 16 AND regexp_matches(tt, '^[A-Za-z0-9+/]+={{0,2}}$') AND length(tt) % 4 = 0
+        AND dec IS NOT NULL AND regexp_matches(dec, '\\p{{L}}')) AS ok
+      FROM (SELECT *, {TRIMMED} AS tt, CASE WHEN length({TRIMMED}) >= 16 AND length({TRIMMED}) % 4 = 0
+        AND regexp_matches({TRIMMED}, '^[A-Za-z0-9+/]+={{0,2}}$') THEN try(decode(from_base64({TRIMMED}))) END AS dec FROM pk))""")
 def f23_unwrap(spark, sf):
     p = packets_with_payload(spark, sf)
     text, flag = dpi.inspect_text(F.col("payload"))
@@ -109,6 +110,7 @@ def f24_decode(spark, sf):
   length(html) > 10 AS ai_eligible FROM pages""")
 def p18_shaping(spark, sf):
     pages = _table(spark, sf, "pages")
+    # the cut is this query's feature: what the text model is shown of a page
     text, _ = dpi.inspect_text(F.col("html"), is_binary=False)
     return pages.select("page_id", F.substring(text, 1, 50).alias("snippet"), F.substring(text, 1, 100).alias("ai_text"),
                         (F.length(text) > 10).alias("ai_eligible"))

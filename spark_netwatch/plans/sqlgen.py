@@ -61,15 +61,21 @@ SIG_VALUES = "(VALUES " + ", ".join(
 ) + ") AS sig(sig_order, id, name, severity, confidence, cwe, mitre_technique, refs)"
 
 
+def white_trim(text: str) -> str:
+    """DuckDB: ``text`` without white space at its ends."""
+    from ..functions.text import WHITE_SPACE
+    return f"trim({text}, {' || '.join(f'chr({ord(c)})' for c in WHITE_SPACE)})"
+
+
 def dpi_sql(src: str, text_expr: str, key: str, compat: bool = False) -> str:
     """Subquery over ``src`` giving ``key`` plus the D2 ``dpi_*`` columns (text input)."""
-    base = f"""SELECT {key}, {text_expr} AS _t0, trim({text_expr}) AS _tt FROM {src}"""
+    base = f"""SELECT {key}, {text_expr} AS _t0, {white_trim(text_expr)} AS _tt FROM {src}"""
     unwrap = f"""SELECT *, CASE WHEN _ok THEN _dec ELSE _t0 END AS dpi_text, COALESCE(_ok, false) AS _b64 FROM (
   SELECT *, (_cand AND _dec IS NOT NULL AND regexp_matches(_dec, '\\p{{L}}')) AS _ok FROM (
     SELECT *, (length(_tt) >= 16 AND regexp_matches(_tt, '^[A-Za-z0-9+/]+={{0,2}}$') AND length(_tt) % 4 = 0) AS _cand,
       CASE WHEN length(_tt) >= 16 AND regexp_matches(_tt, '^[A-Za-z0-9+/]+={{0,2}}$') AND length(_tt) % 4 = 0
            THEN try(decode(from_base64(_tt))) END AS _dec FROM ({base})))"""
-    ai_text = "substr(dpi_text, 1, 100)"
+    ai_text = "dpi_text"
     if compat:
         ai_text = f"'Payload content detected: ' || {ai_text}"
     matched = f"SELECT *, {first_rule_case('dpi_text')} AS _idx FROM ({unwrap})"

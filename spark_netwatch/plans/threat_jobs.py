@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import report, threats
 from .registry import duck_ts, job, ts_text, v, w
 
@@ -40,7 +41,7 @@ def p1_by_source(spark, sf):
 
 @job("P2_limit_cap", TE + f"""SELECT {ROWS} FROM threat_events ORDER BY timestamp_epoch DESC, event_id DESC LIMIT 1000""")
 def p2_cap(spark, sf):
-    return _rows(threats.query_threats(te(spark, sf), limit=5000))
+    return _rows(threats.query_threats(te(spark, sf), limit=5000, ceiling=C.QUERY_LIMIT_CAP))
 
 
 @job("P3_threats_around", TE + f"""SELECT event_id AS id, {duck_ts('timestamp')} AS timestamp, source_ip,

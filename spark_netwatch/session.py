@@ -7,6 +7,7 @@ tests and the bench. Nothing here starts a UI or any other server.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     target = conf_dir or tempfile.mkdtemp(prefix="netwatch-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
@@ -56,23 +59,6 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a DataFrame that has fewer partitions than task slots.
-
-    CPU-heavy map stages (regex scans, cleaning rules) on an input read as a
-    handful of splits would otherwise run on a few cores; large inputs already
-    have more splits than slots and pass through unchanged.
-    """
-    if df.isStreaming:
-        return df
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:       # sessions without RDD access (e.g. Spark Connect): leave the plan as is
-        return df
-    return df.repartition(slots) if parts < slots else df
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Eager checkpoint into the session's checkpoint folder (set from the cluster's
     ``spark.checkpoint.dir``, or a scratch folder only when none is configured)."""

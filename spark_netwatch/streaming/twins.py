@@ -130,11 +130,10 @@ def _correlation_processor(window_us: int):
         batch = pd.concat(frames, ignore_index=True).sort_values(["ts_us", "event_id"])
         seen = json.loads(state.get[0]) if state.exists else {}
         rows = []
-        for t, e, tac in zip(batch["ts_us"].tolist(), batch["event_id"].tolist(), batch["tactic"].tolist()):
-            if tac != "Unknown":
-                seen[tac] = t
+        for t, peers in batch.groupby("ts_us", sort=True):      # events of one instant count for one another
+            seen |= {tac: int(t) for tac in peers["tactic"] if tac != "Unknown"}
             present = sorted(x for x, when in seen.items() if when >= t - window_us)
-            rows.append((k[0], e, present, len(present)))
+            rows += [(k[0], e, present, len(present)) for e in peers["event_id"]]
         seen = {x: when for x, when in seen.items() if when >= (batch["ts_us"].max() - window_us)}
         state.update((json.dumps(seen),))
         yield pd.DataFrame(rows, columns=["source_ip", "event_id", "tactics", "stages"])
