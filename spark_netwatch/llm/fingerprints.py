@@ -90,12 +90,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     if docs.count() != docs.select("doc_id", "hash").distinct().count():
         docs = docs.dropDuplicates(["doc_id", "hash"])
     p = previous(docs)
+    docs = docs.drop("n_chars")         # both joins then read the same shuffled texts
     sent = docs.alias("d").join(p.alias("p").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.hash") == F.col("p.hash"))).select(
         F.col("prev_id").alias("doc_id"), F.col("prev_hash").alias("hash"),
         F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), leaves(F.col("text")).alias("next_leaves"))
     both = docs.alias("d").join(sent.alias("s").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.hash") == F.col("s.hash")))
+    both = both.select("d.doc_id", "text", F.length("text").cast("long").alias("n_chars"), "head", "next_leaves")
     cut = F.floor(F.col("n_chars") / 4)
-    both = both.select("d.doc_id", "text", "n_chars", "next_leaves", leaves(F.col("text")).alias("leaves"),
+    both = both.select("doc_id", "text", "n_chars", "next_leaves", leaves(F.col("text")).alias("leaves"),
                        F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), "head").alias("edited"))
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), root(F.col("text")).alias("fingerprint"),
