@@ -36,7 +36,8 @@ ID_CHUNK_ROWS = 1_000_000
 
 
 def _suffix_ids(df: DataFrame, row_id: str, id_col: str = "Event_ID", strategy: str = "window") -> DataFrame:
-    """2nd, 3rd ... occurrence of an id (in row order) gets ``_dup1``, ``_dup2`` ...
+    """2nd, 3rd ... occurrence of an id (in row order) gets ``_dup1``, ``_dup2`` ...,
+    passing over numbers whose id stands in the log already.
 
     ``window``: ``row_number`` partitioned by the id (one pass; an id repeated
     across a large share of the log lands in one task). ``chunked``: a running
@@ -55,10 +56,14 @@ def _suffix_ids(df: DataFrame, row_id: str, id_col: str = "Event_ID", strategy:
     # cleaned ids are never empty (missing ids are recovered), so the flag is the rank alone;
     # a predicate on the id itself would be pushed below the window into every cleaning branch
     dup = F.col(rn) > 1
+    # ids of one root lie together, so the ids that a suffix could meet are known without a join
+    stem = F.regexp_replace(id_col, r"(_dup[0-9]+)+$", "")
+    df = df.withColumn("_taken", F.collect_set(F.when(F.col(id_col).rlike(r"_dup[0-9]+$"), F.col(id_col))).over(Window.partitionBy(stem)))
+    numbers = F.sequence(F.lit(1), (F.col(rn) - 1 + F.size("_taken")).cast("int"))
+    free = F.array_except(F.transform(numbers, lambda k: F.concat(F.col(id_col), F.lit("_dup"), k.cast("string"))), F.col("_taken"))
     return (df.withColumn("_suffixed", dup)
-            .withColumn(id_col, F.when(dup, F.concat(F.col(id_col), F.lit("_dup"), (F.col(rn) - 1).cast("string")))
-                        .otherwise(F.col(id_col)))
-            .drop(rn))
+            .withColumn(id_col, F.when(dup, F.get(free, (F.col(rn) - 2).cast("int"))).otherwise(F.col(id_col)))
+            .drop(rn, "_taken"))
 
 
 def clean_event_log(raw: DataFrame, as_of: str, row_id: str = "row_id", compat: bool = False,

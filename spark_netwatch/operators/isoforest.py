@@ -109,16 +109,20 @@ def _features(df: DataFrame, cols) -> list[Column]:
 
 
 def train_isolation(df: DataFrame, order_col: str, n_trees: int = 100, psi: int = 256,
-                    contamination: float = 0.05, seed: int = 42, max_rows: int = 10000,
-                    cols=tuple(C.MODEL_FEATURES)) -> IsolationModel:
-    """M4: fit on the newest ``max_rows`` rows (T7) of ``df``."""
-    recent = df.orderBy(F.desc(order_col)).limit(max_rows).select(F.col(order_col).alias("_rid"), *_features(df, cols))
+                    contamination: float = 0.05, seed: int = 42, max_rows: int | None = None,
+                    cols=tuple(C.MODEL_FEATURES), id_col: str = "packet_id") -> IsolationModel:
+    """M4: fit on all rows of ``df``, or (T7) on the newest ``max_rows``; each tree draws its ``psi`` rows over all of them."""
+    recent = df if max_rows is None else df.orderBy(F.desc(order_col), F.desc(id_col)).limit(max_rows)
+    recent = recent.select(F.col(id_col).alias("_rid"), *_features(df, cols))
     from ..session import checkpoint
     recent = checkpoint(recent)
     n = recent.count()
     sample = min(psi, n)
     height = int(np.ceil(np.log2(max(sample, 2))))
-    per_tree = recent.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))).alias("tree"))
+    # the rows of least hash, of those under a bound that lets about eight times as many through
+    share = min(1.0, 8 * sample / max(n, 1))
+    draw = F.pmod(F.xxhash64("_rid", "tree", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    per_tree = recent.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))).alias("tree")).filter(draw)
     w = Window.partitionBy("tree").orderBy(F.xxhash64("_rid", "tree", F.lit(seed)), "_rid")
     picked = per_tree.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).drop("_r", "_rid")
     names = list(cols)

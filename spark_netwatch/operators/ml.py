@@ -6,13 +6,13 @@ plus drift (A18), retrain trigger (A19), quality (A20) and dataset profile
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -44,16 +44,24 @@ def assemble(df: DataFrame, cols=FEATURES, out: str = "features") -> DataFrame:
 
 def with_class_weights(df: DataFrame, label: str = "Label") -> DataFrame:
     """Balanced class weights n / (classes * n_class), from one small aggregate."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.count()
-    k = counts.count()
-    return df.join(counts.withColumn("weight", F.lit(float(total)) / (k * F.col("_n"))).drop("_n"), label)
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}     # one row a class
+    total = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for value, n in counts.items():
+        weight = F.when(F.col(label).eqNullSafe(F.lit(value)), total / (len(counts) * n)).otherwise(weight)
+    return df.withColumn("weight", weight)
+
+
+#: Row groups by key hash in which a label's rows are dealt out; a label is never one task's work.
+FOLD_CHUNKS = 64
 
 
-def stratified_split(df: DataFrame, key: str, train_fraction: float = 0.75, seed: int = 42):
-    """75/25 split per label by a seeded hash of the row key (deterministic, no shuffle)."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10000)) / 10000.0
-    return df.filter(u < train_fraction), df.filter(u >= train_fraction)
+def stratified_split(df: DataFrame, key: str, train_fraction: float = 0.75, seed: int = 42, label: str = "Label"):
+    """75/25 split of each label: within row groups by key hash, the first rows in seeded hash order train."""
+    group = Window.partitionBy(label, F.pmod(F.xxhash64(key), F.lit(FOLD_CHUNKS)))
+    rank = F.row_number().over(group.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    placed = df.withColumn("_train", rank <= F.round(F.count(F.lit(1)).over(group) * train_fraction))
+    return placed.filter("_train").drop("_train"), placed.filter("NOT _train").drop("_train")
 
 
 def forest(num_trees: int = 200, max_depth: int = 20, seed: int = 42) -> RandomForestClassifier:
@@ -115,18 +123,27 @@ def quality(pred: DataFrame, label: str = "Label", prediction: str = "prediction
                     F.round(prec, 4).alias("precision"), F.round(rec, 4).alias("recall"), F.round(f1, 4).alias("f1_score"))
 
 
+def with_folds(df: DataFrame, folds: int, key: str, seed: int, label: str = "Label") -> DataFrame:
+    """``fold`` 0..folds-1, dealt out in hash order within each label, so that labels split evenly."""
+    order = Window.partitionBy(label, F.pmod(F.xxhash64(key), F.lit(FOLD_CHUNKS))).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    return df.withColumn("fold", F.pmod(F.row_number().over(order), F.lit(folds)))
+
+
 def cross_validate(data: DataFrame, folds: int = 5, seed: int = 42, key: str = "packet_id", **kw) -> DataFrame:
-    """M2: k-fold accuracy (folds by a seeded hash of the key), mean and std."""
-    weighted = _filled(with_class_weights(data.withColumn("Label", F.col("Label").cast("double"))))
-    weighted = weighted.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{c}" for c in FEATURES], outputCol="features"), forest(**kw)])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
-                        evaluator=MulticlassClassificationEvaluator(labelCol="Label", metricName="accuracy"),
-                        numFolds=folds, foldCol="fold", seed=seed)
-    m = cv.fit(weighted)
-    return data.sparkSession.createDataFrame(
-        [(float(m.avgMetrics[0]), float(m.stdMetrics[0]) if m.stdMetrics else 0.0, folds)],
-        "cv_accuracy_mean double, cv_accuracy_std double, folds int")
+    """M2: k-fold accuracy, mean and std. One fit a fold, class weights from its training part alone."""
+    from ..session import checkpoint
+    parts = checkpoint(with_folds(data, folds, key, seed))
+
+    def accuracy(i: int) -> float:
+        model = train_forest(parts.filter(F.col("fold") != i), **kw)
+        hit = predict(model, parts.filter(F.col("fold") == i)).agg(F.avg((F.col("prediction") == F.col("Label")).cast("double"))).first()[0]
+        return float(hit or 0.0)
+
+    with ThreadPoolExecutor(2) as pool:         # folds overlap: a fit's last levels leave executors idle
+        scores = list(pool.map(accuracy, range(folds)))
+    mean = sum(scores) / folds
+    std = (sum((x - mean) ** 2 for x in scores) / folds) ** 0.5
+    return data.sparkSession.range(1).select(F.lit(mean).alias("cv_accuracy_mean"), F.lit(std).alias("cv_accuracy_std"), F.lit(folds).alias("folds"))
 
 
 def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:

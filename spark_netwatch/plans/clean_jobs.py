@@ -15,16 +15,20 @@ COLS = ["Timestamp", "Event_ID", "Source_IP", "Destination_Port", "Protocol", "A
 RAW = w("raw_event_log")
 CELLS = RAW + f", cells AS ({clean_cells_sql('raw_event_log', COLS, 'row_id', AS_OF)})\n"
 COLS_SQL = ", ".join(COLS)
+TAKEN = """coalesce(list(Event_ID) FILTER (WHERE regexp_matches(Event_ID, '_dup[0-9]+$'))
+  OVER (PARTITION BY regexp_replace(Event_ID, '(_dup[0-9]+)+$', '')), []) AS taken"""
+UNIQUE_ID = """CASE WHEN _suffixed THEN list_filter(list_transform(range(1, rn + len(taken)), lambda k: Event_ID || '_dup' || CAST(k AS VARCHAR)),
+  lambda x: NOT list_contains(taken, x))[rn - 1] ELSE Event_ID END AS Event_ID"""
 KEPT = CELLS + f""", kept AS (SELECT min(row_id) AS row_id, {COLS_SQL}, arg_min(_dirty, row_id) AS _dirty
   FROM cells GROUP BY {COLS_SQL}),
 suf AS (SELECT *, row_number() OVER (PARTITION BY Event_ID ORDER BY row_id) > 1 AS _suffixed,
-  row_number() OVER (PARTITION BY Event_ID ORDER BY row_id) AS rn FROM kept),
-fin AS (SELECT row_id, {COLS_SQL.replace('Event_ID', "CASE WHEN _suffixed THEN Event_ID || '_dup' || CAST(rn - 1 AS VARCHAR) ELSE Event_ID END AS Event_ID")},
+  row_number() OVER (PARTITION BY Event_ID ORDER BY row_id) AS rn, {TAKEN} FROM kept),
+fin AS (SELECT row_id, {COLS_SQL.replace('Event_ID', UNIQUE_ID)},
   _dirty, _suffixed FROM suf)
 """
 COMPAT = CELLS + f""", suf AS (SELECT *, row_number() OVER (PARTITION BY Event_ID ORDER BY row_id) > 1 AS _suffixed,
-  row_number() OVER (PARTITION BY Event_ID ORDER BY row_id) AS rn FROM cells),
-s2 AS (SELECT row_id, {COLS_SQL.replace('Event_ID', "CASE WHEN _suffixed THEN Event_ID || '_dup' || CAST(rn - 1 AS VARCHAR) ELSE Event_ID END AS Event_ID")},
+  row_number() OVER (PARTITION BY Event_ID ORDER BY row_id) AS rn, {TAKEN} FROM cells),
+s2 AS (SELECT row_id, {COLS_SQL.replace('Event_ID', UNIQUE_ID)},
   _dirty, _suffixed FROM suf),
 fin AS (SELECT min(row_id) AS row_id, {COLS_SQL}, arg_min(_dirty, row_id) AS _dirty, arg_min(_suffixed, row_id) AS _suffixed
   FROM s2 GROUP BY {COLS_SQL})

@@ -6,10 +6,13 @@ verdict (D4, models off).
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..operators import classify, isoforest, ml
-from ..session import checkpoint
+from ..session import checkpoint, ensure_checkpoint_dir
 from .dpi_jobs import CLS_COLS  # noqa: F401
 from .flow_jobs import d1_feature_vector
 from .registry import job, v, w
@@ -24,17 +27,21 @@ def training_set(spark, sf):
                      F.col("is_threat").cast("int").alias("Label"))
 
 
-_FITTED: dict = {}
-
-
 def _fit(spark, sf):
-    """Train once per (session, data folder); M1, M3 and M7 read the same fitted model."""
-    key = ("forest", id(spark), sf)
-    if key not in _FITTED:
-        data = checkpoint(training_set(spark, sf))
-        train, test = ml.stratified_split(data, "packet_id")
-        _FITTED[key] = (data, train, test, ml.train_forest(train))
-    return _FITTED[key]
+    """(data, train, test, model): trained once an application and data folder, then read from the saved files."""
+    name = f"{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()}"
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/netwatch-forest-{name}"
+    try:
+        model = PipelineModel.load(f"{base}/model/v1")
+    except Exception as e:      # not saved yet; whatever else is wrong comes up again below
+        if "does not exist" not in str(e) and "Input path" not in str(e):
+            raise
+        training_set(spark, sf).write.mode("overwrite").parquet(f"{base}/data")
+        train, _ = ml.stratified_split(spark.read.parquet(f"{base}/data"), "packet_id")
+        ml.save_versioned(ml.train_forest(train), f"{base}/model", "v1")
+        model = PipelineModel.load(f"{base}/model/v1")
+    data = spark.read.parquet(f"{base}/data")
+    return data, *ml.stratified_split(data, "packet_id"), model
 
 
 @job("M1_forest_train")
@@ -64,11 +71,8 @@ def m7_importance(spark, sf):
 
 
 def _iso(spark, sf):
-    key = ("isolation", id(spark), sf)
-    if key not in _FITTED:
-        data = checkpoint(training_set(spark, sf))
-        _FITTED[key] = (data, isoforest.train_isolation(data, "ts_us"))
-    return _FITTED[key]
+    data = checkpoint(training_set(spark, sf))
+    return data, isoforest.train_isolation(data, "ts_us")
 
 
 @job("M4_isolation_train")
@@ -87,7 +91,6 @@ def m5_iso_scores(spark, sf):
     return s.select("packet_id", "iso_decision", F.col("_iso_anom").alias("anomaly"), F.col("_iso_conf").alias("confidence"))
 
 
-D1_SUB = None
 
 
 def _d1_sql():
