@@ -13,13 +13,14 @@ from .dpi_jobs import DPI_COLS, PKT
 from .flow_jobs import A1_SQL
 from .registry import ORACLE, job, v
 from .respond_jobs import BLOCK_SQL, CORR_SQL, GATE_SQL
+from .source_jobs import S4_SQL
 from .sqlgen import dpi_sql
 
 
-def _stream_of(spark, df, name, order_col):
+def _stream_of(spark, df, name, order_col, files_per_trigger=8):
     path = twins.scratch(spark, name)
     twins.stage_files(df, path, order_col)
-    return twins.source(spark, path, df.schema)
+    return twins.source(spark, path, df.schema, files_per_trigger)
 
 
 @job("X1_session_flows", f"SELECT src_ip, start_us, last_us, packets, unique_ports FROM ({A1_SQL})")
@@ -30,25 +31,19 @@ def x1_flows(spark, sf):
     return out.select("src_ip", "start_us", "last_us", "packets", F.col("unique_ports").cast("bigint").alias("unique_ports"))
 
 
-A26 = None
-
-
 @job("X7_minute_metrics", ORACLE["A26_minute_activity"])
 def x7_minutes(spark, sf):
     t = v(spark, sf, "threat_events")
     s = twins.minute_metrics(_stream_of(spark, t, "x7", "ts_us"))
-    out = twins.run_to_table(spark, s, "x7", mode="complete")
+    out = twins.run_to_table(spark, s, "x7", mode="update", key="minute")
     return out.select("minute", "events", "threats", F.col("active_flows").cast("bigint").alias("active_flows"),
                       F.col("blocked_ips").cast("bigint").alias("blocked_ips"))
 
 
-@job("X5_microbatch_flush", ORACLE["A26_minute_activity"])
+@job("X5_microbatch_flush", S4_SQL)
 def x5_flush(spark, sf):
-    t = v(spark, sf, "threat_events")
-    s = twins.minute_metrics(_stream_of(spark, t, "x5", "ts_us"))
-    out = twins.run_to_table(spark, s, "x5", mode="complete", processing_time="1 second")
-    return out.select("minute", "events", "threats", F.col("active_flows").cast("bigint").alias("active_flows"),
-                      F.col("blocked_ips").cast("bigint").alias("blocked_ips"))
+    out = twins.flush_threats(_stream_of(spark, v(spark, sf, "raw_event_log"), "x5", "row_id", 1))
+    return out.select("event_id", "timestamp", "source_ip", "destination_port", "protocol", "detection_method", "confidence", "duration")
 
 
 @job("X3_alert_cooldown_stream", GATE_SQL + "SELECT source_ip, event_id, ts_us FROM gate WHERE alert_status = 'sent'")
@@ -75,8 +70,7 @@ def x2_correlation(spark, sf):
 @job("X6_incremental_clean", CELLS + f"SELECT min(row_id) AS row_id, {COLS_SQL} FROM cells GROUP BY {COLS_SQL}")
 def x6_clean(spark, sf):
     raw = v(spark, sf, "raw_event_log")
-    s = twins.incremental_clean(_stream_of(spark, raw, "x6", "row_id"), AS_OF)
-    return twins.run_to_table(spark, s, "x6").select("row_id", *COLS)
+    return twins.incremental_clean(_stream_of(spark, raw, "x6", "row_id", 1), AS_OF).select("row_id", *COLS)
 
 
 @job("X8_packet_handoff", PKT + dpi_sql("pk", "payload_text", "packet_id"))

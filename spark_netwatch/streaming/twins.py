@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import constants as C
 from ..session import ensure_checkpoint_dir
@@ -38,19 +39,17 @@ def stage_files(df: DataFrame, path: str, order_col: str, slices: int = 4) -> No
     step = (hi - lo) // slices + 1
     for i in range(slices):
         part = df.filter((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
-        part.write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").parquet(path)     # one file a commit, so file order is row order
 
 
-def source(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                 processing_time: str | None = None) -> DataFrame:
-    """Run ``stream`` over everything available into a memory table and return it."""
-    qname = f"netwatch_{name}_{uuid.uuid4().hex[:8]}"
-    w = (stream.writeStream.format("memory").queryName(qname).outputMode(mode)
-         .option("checkpointLocation", scratch(spark, f"ckpt-{name}")))
+def run_batches(stream: DataFrame, name: str, store, mode: str = "append", processing_time: str | None = None) -> None:
+    """Run ``stream`` over everything available, each micro-batch through ``store(batch, epoch)``."""
+    w = (stream.writeStream.queryName(f"netwatch_{name}_{uuid.uuid4().hex[:8]}").outputMode(mode).foreachBatch(store)
+         .option("checkpointLocation", scratch(stream.sparkSession, f"ckpt-{name}")))
     if processing_time:
         q = w.trigger(processingTime=processing_time).start()
         q.processAllAvailable()
@@ -60,7 +59,30 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
         q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return spark.table(qname)
+
+
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", key: str | None = None) -> DataFrame:
+    """Run ``stream`` into Parquet, one folder an epoch (a retried epoch replaces its own), and read it back.
+
+    ``update`` mode keeps the latest row of each ``key``, ``complete`` mode the latest epoch.
+    """
+    path = scratch(spark, f"sink-{name}")
+    run_batches(stream, name, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"), mode)
+    rows = stored(spark, path, stream.schema)
+    if mode == "complete":
+        last = rows.agg(F.max("epoch")).first()[0]
+        rows = rows.filter(F.col("epoch") == F.lit(last))
+    elif mode == "update":
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("row")).select("row.*")
+    return rows.select(*stream.columns)
+
+
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The epochs written under ``path``, with ``epoch``; none yet: no rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema).withColumn("epoch", F.lit(0).cast("long"))
+    return spark.read.schema(StructType([*schema.fields, StructField("epoch", LongType())])).option("basePath", path).parquet(path)
 
 
 # ------------------------------------------------------------------ X1, X7, X5
@@ -123,8 +145,9 @@ def greedy_stream(events: DataFrame, key: str, ts: str, eid: str, gap_s: int) ->
 # ------------------------------------------------------------------ X2
 def _correlation_processor(window_us: int):
     def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = list(pdfs)
-        if not frames:
+        frames = [] if state.hasTimedOut else list(pdfs)
+        if not frames:                              # the source's tactics have left the window
+            state.remove()
             yield pd.DataFrame([], columns=["source_ip", "event_id", "tactics", "stages"])
             return
         batch = pd.concat(frames, ignore_index=True).sort_values(["ts_us", "event_id"])
@@ -135,7 +158,12 @@ def _correlation_processor(window_us: int):
             present = sorted(x for x, when in seen.items() if when >= t - window_us)
             rows += [(k[0], e, present, len(present)) for e in peers["event_id"]]
         seen = {x: when for x, when in seen.items() if when >= (batch["ts_us"].max() - window_us)}
-        state.update((json.dumps(seen),))
+        expiry_ms = int((batch["ts_us"].max() + window_us) // 1000)
+        if expiry_ms > state.getCurrentWatermarkMs():
+            state.update((json.dumps(seen),))
+            state.setTimeoutTimestamp(expiry_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=["source_ip", "event_id", "tactics", "stages"])
     return fn
 
@@ -148,14 +176,49 @@ def correlation_stream(events: DataFrame, window_s: int = C.CORRELATION_WINDOW_S
           .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", f"{window_s} seconds"))
     return ev.groupBy("source_ip").applyInPandasWithState(
         _correlation_processor(window_s * US), "source_ip string, event_id string, tactics array<string>, stages int",
-        "seen string", "append", GroupStateTimeout.NoTimeout)
+        "seen string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# ------------------------------------------------------------------ X5, X6
+def append_new(path: str, keys: list[str], prepare):
+    """foreachBatch step: ``prepare(batch)`` without rows whose ``keys`` an earlier epoch stored, written as this epoch.
 
+    The log's own times play no part, so no row can be late, and the stored rows are the only memory.
+    """
 
-# ------------------------------------------------------------------ X6
-def incremental_clean(raw: DataFrame, as_of: str, watermark: str = "1 day") -> DataFrame:
-    """Cleaning as a stream: per-row rules, then exact duplicates dropped within the watermark."""
-    from ..operators.clean import clean_cells
-    cells = clean_cells(raw, as_of)
+    def store(batch: DataFrame, epoch: int) -> None:
+        rows = prepare(batch)
+        old = stored(rows.sparkSession, path, rows.schema).filter(F.col("epoch") < epoch).select(*keys)
+        same = [rows[k].eqNullSafe(old[k]) for k in keys]
+        rows.join(old, same, "left_anti").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return store
+
+
+def incremental_clean(raw: DataFrame, as_of: str, name: str = "x6") -> DataFrame:
+    """Cleaning as a stream: per-row rules, exact duplicates dropped against all earlier rows, appended and read back."""
+    from ..operators.clean import _dedupe, clean_cells
     cols = [c for c in raw.columns if c != "row_id"]
-    with_time = cells.withColumn("event_time", F.to_timestamp("Timestamp")).withWatermark("event_time", watermark)
-    return with_time.dropDuplicatesWithinWatermark(cols).select("row_id", *cols)
+    path = scratch(raw.sparkSession, f"sink-{name}")
+
+    def clean(batch: DataFrame) -> DataFrame:
+        return _dedupe(clean_cells(batch, as_of), cols, "row_id").select("row_id", *cols)
+
+    run_batches(raw, name, append_new(path, cols, clean))
+    schema = StructType([raw.schema["row_id"], *[StructField(c, StringType()) for c in cols]])
+    return stored(raw.sparkSession, path, schema).select("row_id", *cols)
+
+
+def flush_threats(raw: DataFrame, name: str = "x5") -> DataFrame:
+    """Threats of each micro-batch go to the store, one row an event id, ids stored before passed over; read back."""
+    from ..sources.logs import sink_threats
+    path = scratch(raw.sparkSession, f"sink-{name}")
+    seen = []
+
+    def threats(batch: DataFrame) -> DataFrame:
+        rows = sink_threats(batch, order_col="row_id")
+        seen[:] = [rows.schema]
+        return rows
+
+    run_batches(raw, name, append_new(path, ["event_id"], threats), processing_time="1 second")
+    return stored(raw.sparkSession, path, seen[0] if seen else sink_threats(raw.sparkSession.createDataFrame([], raw.schema), order_col="row_id").schema)
