@@ -29,7 +29,8 @@ def model_features(df: DataFrame) -> dict[str, Column]:
         "Unique_Ports": F.col("unique_ports"),
         "Is_Port_Scan": (F.col("unique_ports") > C.UNIQUE_PORT_THRESHOLD).cast("int"),
         "Is_Night": ((hour >= C.NIGHT_START_HOUR) | (hour <= C.NIGHT_END_HOUR)).cast("int"),
-        "Payload_Entropy": byte_entropy("payload") if "payload" in df.columns else F.lit(0.0),
+        "Payload_Entropy": (F.col("payload_entropy") if "payload_entropy" in df.columns
+                            else byte_entropy("payload") if "payload" in df.columns else F.lit(0.0)),
         "Packet_Size": F.col("packet_size"), "Connection_Interval": F.col("connection_interval"),
         "SYN_Count": F.col("syn_count"),
     }

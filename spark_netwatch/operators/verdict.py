@@ -63,9 +63,10 @@ def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame
     """
     from .flows import choose_strategy
     strategy = choose_strategy(packets, strategy)
-    # flow state first: its exchange on src_ip also spreads the row-local DPI scan over tasks
-    df = flow_state(packets, strategy=strategy)
-    df = dpi_scan(df, "payload", compat=compat)
+    # all that needs the payload comes before the exchange on src_ip, so no payload is shuffled or sorted
+    df = dpi_scan(packets, "payload", compat=compat)
+    df = df.withColumns({"payload_entropy": byte_entropy("payload"), "payload_bytes": F.coalesce(F.octet_length("payload"), F.lit(0))})
+    df = flow_state(df.drop("payload", "payload_text"), strategy=strategy)
     df = df.withColumn("_rate_log", F.when(F.col("dur_s") > 0, F.col("n") / F.col("dur_s")).otherwise(F.lit(1.0)))
     ports, n = F.col("unique_ports"), F.col("n")
     dpi_hit = F.coalesce(F.col("dpi_is_threat"), F.lit(False))
@@ -188,7 +189,7 @@ def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame
     iso = ~F.col("_t3") & F.col("_iso_anom")
     ioc = ~F.col("_t3") & ~iso & F.col("_ioc_hit")
     return df.select(
-        "packet_id", "src_ip", "src_port", "dst_ip", "dst_port", "ts_us", "wall_ts", "packet_size", "payload",
+        "packet_id", "src_ip", "src_port", "dst_ip", "dst_port", "ts_us", "wall_ts", "packet_size", "payload_entropy", "payload_bytes",
         "sess", "n", "unique_ports", "start_us", "dur_s", "duration", "rate", "log_rate", "risk10",
         "connection_interval", "jitter", "byte_rate", "ttl", "window_size",
         "syn_count", "ack_count", "fin_count", "rst_count", "psh_count", "urg_count",
@@ -314,10 +315,10 @@ def event_row(v: DataFrame) -> DataFrame:
         "RST_Count": F.col("rst_count"), "PSH_Count": F.col("psh_count"), "URG_Count": F.col("urg_count"),
         "TTL_Value": F.col("ttl"), "Window_Size": F.col("window_size"),
         "Retransmission_Count": F.lit(0), "Fragment_Count": F.lit(0),
-        "Payload_Size": F.coalesce(F.octet_length("payload"), F.lit(0)),
+        "Payload_Size": F.col("payload_bytes"),
         "Payload_Entropy": F.col("payload_entropy"),
         "Payload_Type": F.when(t, "Malicious").otherwise("Normal"),
-        "Payload_Length": F.coalesce(F.octet_length("payload"), F.lit(0)),
+        "Payload_Length": F.col("payload_bytes"),
         "DPI_Result": F.when(F.coalesce(F.col("dpi_is_threat"), F.lit(False)), F.col("dpi_reason")).otherwise(F.lit("")),
         "DPI_Threat_Level": F.when(F.coalesce(F.col("dpi_is_threat"), F.lit(False)), F.col("dpi_severity")).otherwise(F.lit("None")),
         "DPI_Confidence": F.when(F.coalesce(F.col("dpi_is_threat"), F.lit(False)), F.round("confidence", 2)).otherwise(F.lit(0.0)),

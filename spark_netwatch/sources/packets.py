@@ -20,6 +20,9 @@ def packets_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pk = read_packets(view(spark, sf_dir, "net_packets"))
     pool = F.broadcast(payload_pool(spark).select("payload_id", "payload_text", "payload"))
+    # the given tables have one row group each: deal the packets out before payloads are attached, so that
+    # what reads payloads runs on all cores and no payload is shuffled
+    pk = pk.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "packet_id")
     return pk.join(pool, "payload_id", "left")
 
 
@@ -30,4 +33,5 @@ def evidence(packets: DataFrame, verdicts: DataFrame, out_path: str | None = Non
           .withColumn("date", F.to_date("wall_ts")))
     if out_path:
         ev.write.mode("append").partitionBy("date").parquet(out_path)
+        return ev.sparkSession.read.schema(ev.schema).parquet(out_path)
     return ev
