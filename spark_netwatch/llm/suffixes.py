@@ -7,7 +7,7 @@ that starts at its least q-gram is kept (equal windows keep the same one). These
 bucketed by q-gram; buckets of one suffix go. The rest are refined by the identifiers of their
 whole context (all windows they stand for), which settles every context that occurs again. Unequal
 contexts of one bucket are refined by the half that any common window must share, and only where
-such a half repeats are single windows compared. Identifiers are 64 bits and compared within
+such a half repeats, eighths and then single windows are compared. Identifiers are 64 bits and compared within
 equal q-gram identifiers of 64 bits more.
 
 All sorting and grouping is done by Spark on identifiers; texts are read by key for the windows of
@@ -35,6 +35,8 @@ from .tokens import slices
 
 LENGTH = 200
 GRAM = 32
+#: Parts of a context's windows that are told apart by the bytes they share before single windows are.
+EIGHTHS = 8
 #: Bytes of text worked on at once; longer texts are taken in parts.
 PART = 2 << 20
 
@@ -154,8 +156,14 @@ def _suffix_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _window_rows(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """bucket, window (identifier), _doc, _hash, start, open: the windows of the wanted half contexts."""
+    """bucket, core, _doc, _hash, start, open, windows: the windows of the wanted half contexts.
+
+    A row has the windows (identifiers, from ``start`` on) whose suffix stands in one eighth of the
+    places; ``core`` names the bytes that all of them share.
+    """
     middle, _ = _halves(length, gram)
+    step = max(1, (length - gram + 1) // EIGHTHS)
+    core = length - step + 1
     lists = wanted.groupBy("_doc", "_hash").agg(F.collect_list(F.struct("bucket", "start", "shape", "ahead", "open")).alias("asked"))
     both = docs.alias("d").join(lists.alias("w"), F.col("d._doc").eqNullSafe(F.col("w._doc")) & (F.col("d._hash") == F.col("w._hash"))).select(
         "d._doc", "d._hash", "d.data", "w.asked")
@@ -178,14 +186,24 @@ def _window_rows(docs: DataFrame, wanted: DataFrame, length: int, gram: int) ->
                 begin = np.cumsum(size) - size
                 total = np.cumsum(count)
                 within = np.arange(total[-1]) - np.repeat(total - count, count)
-                ids = mix(_refined(data, [length])[length])[np.repeat(begin, count) + within]
                 each = np.repeat(np.arange(len(count)), count)
-                back = pa.array(owner[each])
+                spot = begin[each] + within
+                far = place[each] - low[each] - within              # from a window's start to its suffix
+                part_no = far // step
+                new = np.ones(len(each), bool)
+                new[1:] = (each[1:] != each[:-1]) | (part_no[1:] != part_no[:-1])
+                ids = _refined(data, [core, length])
+                one = np.flatnonzero(new)
+                cores = mix(ids[core][spot[one] + far[one] - part_no[one] * step] + part_no[one].astype(np.uint64))
+                windows = pa.ListArray.from_arrays(pa.array(np.append(one, len(each)), pa.int32()), pa.array(mix(ids[length])[spot].view(np.int64)))
+                head = each[one]
+                back = pa.array(owner[head])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat.field("bucket").to_numpy()[each]), pa.array(ids.view(np.int64)), part.column("_doc").take(back), part.column("_hash").take(back),
-                     pa.array(start[each] + low[each] + within), pa.array(opened[each])], ["bucket", "window", "_doc", "_hash", "start", "open"])
+                    [pa.array(flat.field("bucket").to_numpy()[head]), pa.array(cores.view(np.int64)), part.column("_doc").take(back), part.column("_hash").take(back),
+                     pa.array(start[head] + low[head] + within[one]), pa.array(opened[head]), windows],
+                    ["bucket", "core", "_doc", "_hash", "start", "open", "windows"])
 
-    return both.mapInArrow(run, f"bucket long, window long, _doc {dict(docs.dtypes)['_doc']}, _hash long, start long, open boolean")
+    return both.mapInArrow(run, f"bucket long, core long, _doc {dict(docs.dtypes)['_doc']}, _hash long, start long, open boolean, windows array<long>")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -211,11 +229,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     keys = ["bucket", "ahead", "half"]
     twice = halves.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).filter("n > 1 AND any_open")
     wanted = join_by_weight(halves, twice, keys, "n", halves.count()).select("bucket", "one._doc", "one._hash", "one.start", "one.shape", "ahead", "open")
-    windows = written(_window_rows(docs, written(wanted, "wanted"), length, gram), "windows")
+    parts = written(_window_rows(docs, written(wanted, "wanted"), length, gram), "window-parts")
+    keys = ["bucket", "core"]
+    twice = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).filter("n > 1 AND any_open")
+    windows = join_by_weight(parts, twice, keys, "n", parts.count()).select(
+        "bucket", "_doc", "_hash", "open", "start", F.posexplode("windows").alias("place", "window"))
+    windows = written(windows.select("bucket", "_doc", "_hash", "open", (F.col("start") + F.col("place")).alias("start"), "window"), "windows")
+    dropped(shared, contexts, halves, parts)
     again = windows.groupBy("bucket", "window").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).filter("n > 1 AND any_open")
     hits = join_by_weight(windows.filter("open"), again, ["bucket", "window"], "n", windows.count())
     late = written(hits.select("_doc", "_hash", F.col("start").alias("first"), (F.col("start") + length).alias("last")), "late-spans")
-    dropped(shared, contexts, halves, windows)
+    dropped(windows)
     return spans.unionByName(late)
 
 
