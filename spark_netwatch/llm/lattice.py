@@ -156,10 +156,9 @@ class Lattice:
             rest[self.start[a:b][heads_at]] = top + np.log(mass)
             chance[a:b] = np.exp(value - top[g]) / mass[g]
         self.chance, self.closing = chance, closing
-        running = np.cumsum(chance)
-        base = (running - chance)[self.first] if len(self.first) else running
-        self.running = running - base[group] if len(group) else running
-        self.last = np.append(self.first[1:], len(order)) - 1
+        running = np.cumsum(chance, dtype=np.longdouble)        # long, so that other units' edges leave no trace
+        self.running = (running - (running - chance)[self.first][group]).astype(float) if len(group) else chance
+        self.last = np.append(self.first[1:], len(order))[:len(self.first)] - 1
         self.running[self.last] = 2.0
 
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -250,8 +249,9 @@ def sample(pieces: Pieces, texts: pa.Array, keys: np.ndarray, k: int):
         count = np.bincount(rows, minlength=n)
         ends = np.cumsum(count)
         log_p = np.log(net.chance[edge])
-        running = np.concatenate([[0.0], np.cumsum(log_p)])
-        total = running[ends] - running[ends - count]
+        total = np.zeros(n)
+        if len(edge):
+            total[count > 0] = np.add.reduceat(log_p, (ends - count)[count > 0])
         paths.append((edge, ends, count))
         emitted.append((alive, rows, edge, total, value.copy()))
         _split(net, edge, (ends - count)[alive], ends[alive], j, [parent[r] for r in alive], value[alive], keys[alive], k - j, [regions[r] for r in alive])
