@@ -45,13 +45,14 @@ def f28_rounding(spark, sf):
     return d1_feature_vector(spark, sf).select("packet_id", "Duration", "Rate", "Byte_Rate")
 
 
-def _auto_signature_file(spark, sf) -> str:
-    """The playbook's Level-5 rule (D5 ``AUTO_SIGNATURE``), written once as a custom-signature JSON file."""
+def _auto_signature_file(spark, sf, *more: dict) -> str:
+    """The playbook's Level-5 rule (D5 ``AUTO_SIGNATURE``) and ``more``, written once as a custom-signature JSON file."""
     acts = respond.playbook(v(spark, sf, "threat_events")).filter(F.col("action") == "AUTO_SIGNATURE")
     first = acts.orderBy("ts_us", "event_id").select(F.unix_seconds("timestamp").alias("s")).first()
     sigs = [] if first is None else [{"id": f"AUTO-SIG-UEBA-{first['s']}", "name": "Level 5 Auto-Generated Rule",
                                       "regex": "UEBA-BEHAVIOR-BLOCK-.*", "severity": "Critical", "mitre": "T1566"}]
     path = scratch(spark, "sigs") + ".json"
+    sigs += more
     spark.createDataFrame([(json.dumps(sigs),)], "value string").coalesce(1).write.text(path)
     return path
 
@@ -69,14 +70,17 @@ def s7_signatures(spark, sf):
     return sigs.select("sig_order", "id", "name", "severity", "confidence", "cwe")
 
 
-@job("U2_signature_union_scan", """SELECT page_id, CASE WHEN regexp_matches(html, 'UEBA-BEHAVIOR-BLOCK-.*') THEN 1 ELSE 0 END AS custom_hits
-FROM pages""")
+TRACKER = {"id": "CUSTOM-TRACK", "name": "Tracking call", "pattern": r"track\(\d*[02468]\)", "severity": "Low"}
+
+
+@job("U2_signature_union_scan", AUTO_SQL + f"""SELECT page_id, CAST(regexp_matches(html, 'UEBA-BEHAVIOR-BLOCK-.*') AND EXISTS (FROM u) AS INTEGER)
+  + CAST(regexp_matches(html, '{TRACKER["pattern"]}') AS INTEGER) AS custom_hits FROM pages""")
 def u2_union_scan(spark, sf):
-    sigs = dpi.load_signatures(spark, _auto_signature_file(spark, sf))
+    """Custom rules beside the built-in ones; one of them stands in about half of the pages."""
+    sigs = dpi.load_signatures(spark, _auto_signature_file(spark, sf, TRACKER))
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     m = dpi.all_matches(pages, "html", sigs)
-    return m.select("page_id", F.when(F.array_contains(F.transform("matched_rules", lambda r: r.startswith("AUTO-SIG")), True), 1)
-                    .otherwise(0).alias("custom_hits"))
+    return m.select("page_id", F.size(F.filter("matched_rules", lambda r: r.startswith("AUTO-SIG") | r.startswith("CUSTOM-"))).alias("custom_hits"))
 
 
 _F26 = ORACLE["F26_incident_brief"]

@@ -115,9 +115,11 @@ def a18_drift(spark, sf):
 
 
 @job("A19_retrain_trigger", w("raw_event_log") + """SELECT CAST(count(*) AS BIGINT) AS new_rows, count(*) >= 50 AS retrain
-FROM raw_event_log WHERE row_id > 9950""")
+FROM raw_event_log WHERE row_id > (SELECT max(row_id) * 995 // 1000 FROM raw_event_log)""")
 def a19_trigger(spark, sf):
-    return ml.retrain_trigger(v(spark, sf, "raw_event_log"), 9950)
+    """The last run's watermark stands at 99.5 % of the log."""
+    log = v(spark, sf, "raw_event_log")
+    return ml.retrain_trigger(log, (log.agg(F.max("row_id")).first()[0] or 0) * 995 // 1000)
 
 
 @job("A20_model_quality", f"""WITH p AS ({classify_sql('documents', 'text', 'doc_id')})
@@ -150,7 +152,8 @@ def a23_profile(spark, sf):
     return stats.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
 
 
-@job("A23_label_share", "WITH d AS (" + PROFILE_SRC + ")\nSELECT Is_Port_Scan, CAST(count(*) AS BIGINT) AS rows FROM d GROUP BY 1")
-def a23_shares(spark, sf):
-    shares, _ = ml.dataset_profile(d1_feature_vector(spark, sf), label="Is_Port_Scan")
+@job("A23_label_share", VERDICT_BASE + "SELECT CAST(is_threat AS INTEGER) AS Label, CAST(count(*) AS BIGINT) AS rows FROM vd GROUP BY 1")
+def a23_labels(spark, sf):
+    """Shares of the training label, the cascade's verdict."""
+    shares, _ = ml.dataset_profile(training_set(spark, sf))
     return shares
