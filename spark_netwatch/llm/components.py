@@ -16,6 +16,12 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
     return join_by_weight(edges, least, "u", "n", total).select("u", "v", F.least("u", "m").alias("m"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u: then every star is a component."""
+    n, distinct = edges.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+    return n == distinct and edges.join(edges.select(F.col("v").alias("top")).distinct(), F.col("u") == F.col("top"), "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): the least id reachable.
 
@@ -24,17 +30,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = written(links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
-    state = edges.agg(*mark).first()
-    while state[0]:
+    while not _stars(edges):
         both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-        large = written(_with_least(both, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = written(_with_least(both, both.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         small = _with_least(large, large.count())
         new = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(small.select("u", "m")).distinct(), "edges")
         dropped(both, large, edges)
-        edges, before, state = new, state, new.agg(*mark).first()
-        if state == before:
-            break
+        edges = new
     members = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return members.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
