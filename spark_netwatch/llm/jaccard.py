@@ -59,24 +59,49 @@ def _list(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _set_rows(docs: DataFrame, weight: np.ndarray, width: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's signature) and its shingles in order: the prefix, or all."""
+def _shared(n):
+    """Prefix shingles that two similar sets of at least ``n`` shingles must share; numbers, arrays or columns."""
+    return n // 50 + 1 if not isinstance(n, Column) else F.floor(n / 50) + 1
+
+
+def _signature(value: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set's hashes: 128 bits that name the set."""
+    ends = np.cumsum(n)
+    totals = [np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(seed)), dtype=np.uint64)]) for seed in (1, 2)]
+    return [(t[ends] - t[ends - n]).view(np.int64) for t in totals]
+
+
+def _prefix_rows(docs: DataFrame, weight: np.ndarray, width: int, percent: int) -> DataFrame:
+    """doc_id, n, s1, s2 (the set's signature), items (the ordered set's prefix)."""
 
     def run(batches):
         for batch in batches:
             for rows in slices(batch, "text", SLICE):
                 value, n = ordered_sets(rows.column("text"), weight, WEIGHT_BITS, width)
-                ends = np.cumsum(n)
-                total = [np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(seed)), dtype=np.uint64)]) for seed in (1, 2)]
-                s1, s2 = ((t[ends] - t[ends - n]).view(np.int64) for t in total)
-                size = n if whole else np.where(n > 0, n - (-(-percent * n // 100)) + 1, 0)
-                keep = np.arange(len(value)) - np.repeat(ends - n, n) < np.repeat(size, n)
+                s1, s2 = _signature(value, n)
+                size = np.minimum(n, np.where(n > 0, n - (-(-percent * n // 100)) + _shared(n), 0))
+                keep = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(size, n)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), _list(value[keep], size)],
                                                  ["doc_id", "n", "s1", "s2", "items"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, s1 long, s2 long, items array<long>")
 
 
+def _class_sets(found: DataFrame, weight: np.ndarray, width: int) -> DataFrame:
+    """id, n, items (the whole ordered set) of the rows (id, s1, s2, text) whose text has the signature."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in slices(batch, "text", SLICE):
+                value, n = ordered_sets(rows.column("text"), weight, WEIGHT_BITS, width)
+                own = [s == rows.column(c).to_numpy() for s, c in zip(_signature(value, n), ("s1", "s2"))]
+                good = own[0] & own[1]
+                yield pa.RecordBatch.from_arrays([rows.column("id").filter(pa.array(good)), pa.array(n[good].astype(np.int64)), _list(value[np.repeat(good, n)], n[good])],
+                                                 ["id", "n", "items"])
+
+    return found.select("id", "s1", "s2", "text").mapInArrow(run, "id long, n long, items array<long>")
+
+
 class Trie:
     """Path-compressed prefix tree of ordered sets; each node knows the lengths of the sets below it."""
 
@@ -158,25 +183,37 @@ def _possible(percent: int):
     return possible
 
 
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets with another of fitting length, of sets that have enough of them."""
+    by_size = Window.partitionBy("bucket").orderBy("n", "id")
+    below, above = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    fits = members.withColumns({"below": below, "above": above}).filter(f"100 * below >= {percent} * n OR 100 * n >= {percent} * above")
+    fits = written(fits.drop("below", "above"), "fitting")
+    enough = F.count(F.lit(1)).over(Window.partitionBy("id")) >= _shared(F.ceil(F.col("n") * percent / 100))
+    return written(fits.withColumn("enough", enough).filter("enough").drop("enough"), "members")
+
+
+def _texts(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, s1, s2, text of the classes that are members, by the documents with their least ids."""
+    needed = members.select("id").distinct().join(classes, "id").select("id", "s1", "s2", "least")
+    return docs.join(needed, docs.doc_id.eqNullSafe(needed.least)).select("id", "s1", "s2", "text")
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, class_id (equal sets), class_size."""
     docs = docs.select("doc_id", "text")
     weight = weights(docs, width)
-    rows = written(_set_rows(docs, weight, width, percent, False), "prefixes")
+    rows = written(_prefix_rows(docs, weight, width, percent), "prefixes")
     # struct minimum: nulls aside, the least doc_id
     classes = (rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight"))
                .withColumn("id", F.monotonically_increasing_id()))
     classes = written(classes, "classes")
     key = (F.col("r.s1") == F.col("c.s1")) & (F.col("r.s2") == F.col("c.s2")) & F.col("r.doc_id").eqNullSafe(F.col("c.least"))
-    one = rows.filter("n > 0").alias("r").join(classes.alias("c"), key).select("c.id", "c.weight", "c.n", "r.items").dropDuplicates(["id"])
-    members = one.select(F.posexplode("items").alias("at", "bucket"), "id", "weight", "n").select("bucket", "id", "weight", "n", "at")
-    over = Window.partitionBy("bucket")
-    members = written(members.withColumn("others", F.count(F.lit(1)).over(over)).filter("others > 1").drop("others"), "members")
-    needed = members.select("id").distinct().join(classes, "id").select("id", "s1", "s2", "least")
-    found = docs.alias("d").join(needed.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.least"))).select("d.doc_id", "d.text")
-    whole = _set_rows(found, weight, width, percent, True).alias("r").join(needed.withColumnRenamed("least", "doc").alias("c"), (F.col("r.s1") == F.col("c.s1")) & (F.col("r.s2") == F.col("c.s2")))
-    sets = written(whole.select("c.id", "r.n", "r.items").dropDuplicates(["id"]), "sets")
-    label = components(bucket_links(members, _possible(percent), _verified(sets, percent)))
+    one = rows.filter("n > 0").alias("r").join(classes.alias("c"), key).select("c.id", "c.weight", "c.n", "r.items")
+    members = one.select(F.posexplode("items").alias("at", "bucket"), "id", F.col("weight").cast("int").alias("weight"), F.col("n").cast("int").alias("n"))
+    members = _candidates(members, percent)
+    sets = written(_class_sets(_texts(docs, members, classes), weight, width), "sets")
+    label = components(bucket_links(members, _possible(percent), _verified(sets, percent), lambda a, b: _shared(F.least(a["n"], b["n"]))))
     named = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     group = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(named.join(group, "component").select("s1", "s2", "n", "id", "weight", "component_id"), "named")
