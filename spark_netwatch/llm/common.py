@@ -54,9 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by ``written`` that no later step reads."""
     for df in frames:
-        files = df.inputFiles()
-        if files:
-            folder = files[0].rsplit("/", 1)[0]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/llm-" in folder:
                 fs, at = _file_system(df.sparkSession, folder)
                 fs.delete(at, True)

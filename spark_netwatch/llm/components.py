@@ -41,31 +41,28 @@ def components(links: DataFrame) -> DataFrame:
     return members.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _often(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with ``least`` rows or more."""
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).filter("n >= least").select("a", "b")
-
-
 def bucket_links(members: DataFrame, possible: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame],
                  shared: Callable[[Column, Column], Column] = lambda a, b: F.lit(1)) -> DataFrame:
     """Links (a, b) whose components are those of all verified pairs that share a bucket.
 
     ``members``: bucket, id, weight, and what ``possible`` reads from a struct of a member's
     columns; ``verified`` keeps the pairs (a, b) that are links; links share ``shared`` buckets at
-    least in which they are possible. First each bucket's heaviest
-    member is tried against the others, which joins a group of copies by one link each. Then only
-    members that are still in different components are paired: a pair within one component could
-    not change the result.
+    least in which they are possible. First each bucket's heaviest member, its hub, is tried
+    against the others, which joins a group of copies by one link each. Then only other members
+    that are still in different components are paired: a pair within one component could not
+    change the result, and a bucket of two has no such pair.
     """
     row = F.struct(*members.columns)
     in_bucket = Window.partitionBy("bucket")
-    hubs = members.withColumn("hub", F.max(F.struct("weight", F.col("id"), row.alias("row"))).over(in_bucket)["row"])
+    placed = members.withColumn("hub", F.max(F.struct("weight", F.col("id"), row.alias("row"))).over(in_bucket)["row"])
+    others = written(placed.filter(F.col("id") != F.col("hub.id")), "others")
     pair = [F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")]
-    hubs = hubs.filter((F.col("id") != F.col("hub.id")) & possible(row, F.col("hub")))
-    tried = written(_often(hubs.select(*pair, shared(row, F.col("hub")).alias("least"))), "hub-pairs")
+    near = others.filter(possible(row, F.col("hub"))).select(*pair, shared(row, F.col("hub")).alias("least"))
+    counted = written(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")), "hub-pairs")
+    tried = counted.filter("n >= least").select("a", "b")
     first = written(verified(tried), "hub-links")
     label = components(first)
-    open_ = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = others.drop("hub").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = (open_.withColumn("low", F.min("component").over(in_bucket)).withColumn("high", F.max("component").over(in_bucket))
              .filter("low != high").drop("low", "high"))
     open_ = written(open_, "open")
@@ -73,7 +70,9 @@ def bucket_links(members: DataFrame, possible: Callable[[Column, Column], Column
     side = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in members.columns])
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id"))
                    & (F.col("x.component") != F.col("y.component")) & possible(side("x"), side("y")))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), shared(side("x"), side("y")).alias("least"))
-    pairs = _often(pairs).join(tried, ["a", "b"], "left_anti")
-    second = written(verified(written(pairs, "open-pairs")), "open-links")
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1).cast("long").alias("n"), shared(side("x"), side("y")).alias("least"))
+    pairs = pairs.unionByName(counted.filter("n < least")).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
+    pairs = written(pairs.filter("n >= least").select("a", "b").join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    second = written(verified(pairs), "open-links")
+    dropped(label, others, counted, open_, pairs)
     return first.unionByName(second)

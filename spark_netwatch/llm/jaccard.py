@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_weight, written
+from .common import dropped, join_by_weight, written
 from .components import bucket_links, components
 from .shingles import mix, ordered_sets, shingles
 from .tokens import slices
@@ -59,11 +59,25 @@ def _list(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _shared(n):
-    """Prefix shingles that two similar sets of at least ``n`` shingles must share; numbers, arrays or columns."""
+def _spare(n):
+    """Shingles by which a set's prefix is longer than it must be to share one; numbers, arrays or columns."""
     return n // 50 + 1 if not isinstance(n, Column) else F.floor(n / 50) + 1
 
 
+def _prefix(n: Column, percent: int) -> Column:
+    return F.least(n, n - F.ceil(n * percent / 100) + _spare(n))
+
+
+def _shared(a: Column, b: Column, percent: int) -> Column:
+    """Prefix shingles that two sets must share if they are similar.
+
+    Of ``o`` common shingles, prefixes longer by ``s`` than the shingles that may be missing
+    (``n - o``) share ``s``; here ``s`` follows from the prefixes there are.
+    """
+    overlap = F.ceil(percent * (a["n"] + b["n"]) / (100 + percent))
+    return overlap + F.least(_prefix(a["n"], percent) - a["n"], _prefix(b["n"], percent) - b["n"])
+
+
 def _signature(value: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Two sums over each set's hashes: 128 bits that name the set."""
     ends = np.cumsum(n)
@@ -79,7 +93,7 @@ def _prefix_rows(docs: DataFrame, weight: np.ndarray, width: int, percent: int)
             for rows in slices(batch, "text", SLICE):
                 value, n = ordered_sets(rows.column("text"), weight, WEIGHT_BITS, width)
                 s1, s2 = _signature(value, n)
-                size = np.minimum(n, np.where(n > 0, n - (-(-percent * n // 100)) + _shared(n), 0))
+                size = np.minimum(n, np.where(n > 0, n - (-(-percent * n // 100)) + _spare(n), 0))
                 keep = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(size, n)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), _list(value[keep], size)],
                                                  ["doc_id", "n", "s1", "s2", "items"])
@@ -184,13 +198,21 @@ def _possible(percent: int):
 
 
 def _candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Members of buckets with another of fitting length, of sets that have enough of them."""
+    """Members of buckets with another of fitting length, of sets that have enough of them.
+
+    ``weight`` becomes the members that a set meets over all its buckets: the text that copies were
+    made from meets most, so it is the one that the others are tried against.
+    """
     by_size = Window.partitionBy("bucket").orderBy("n", "id")
     below, above = F.lag("n").over(by_size), F.lead("n").over(by_size)
     fits = members.withColumns({"below": below, "above": above}).filter(f"100 * below >= {percent} * n OR 100 * n >= {percent} * above")
-    fits = written(fits.drop("below", "above"), "fitting")
-    enough = F.count(F.lit(1)).over(Window.partitionBy("id")) >= _shared(F.ceil(F.col("n") * percent / 100))
-    return written(fits.withColumn("enough", enough).filter("enough").drop("enough"), "members")
+    fits = fits.drop("below", "above").withColumn("weight", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    fits = written(fits, "fitting")
+    of_set = Window.partitionBy("id")
+    enough = F.count(F.lit(1)).over(of_set) >= _spare(F.ceil(F.col("n") * percent / 100))
+    members = written(fits.withColumn("enough", enough).withColumn("weight", F.sum("weight").over(of_set)).filter("enough").drop("enough"), "members")
+    dropped(fits)
+    return members
 
 
 def _texts(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -209,14 +231,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
                .withColumn("id", F.monotonically_increasing_id()))
     classes = written(classes, "classes")
     key = (F.col("r.s1") == F.col("c.s1")) & (F.col("r.s2") == F.col("c.s2")) & F.col("r.doc_id").eqNullSafe(F.col("c.least"))
-    one = rows.filter("n > 0").alias("r").join(classes.alias("c"), key).select("c.id", "c.weight", "c.n", "r.items")
-    members = one.select(F.posexplode("items").alias("at", "bucket"), "id", F.col("weight").cast("int").alias("weight"), F.col("n").cast("int").alias("n"))
+    one = rows.filter("n > 0").alias("r").join(classes.alias("c"), key).select("c.id", "c.n", "r.items")
+    members = one.select(F.posexplode("items").alias("at", "bucket"), "id", F.col("n").cast("int").alias("n"))
     members = _candidates(members, percent)
     sets = written(_class_sets(_texts(docs, members, classes), weight, width), "sets")
-    label = components(bucket_links(members, _possible(percent), _verified(sets, percent), lambda a, b: _shared(F.least(a["n"], b["n"]))))
+    links = bucket_links(members, _possible(percent), _verified(sets, percent), lambda a, b: _shared(a, b, percent))
+    label = components(links)
+    dropped(members, sets, links)
     named = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     group = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(named.join(group, "component").select("s1", "s2", "n", "id", "weight", "component_id"), "named")
+    dropped(classes)
     full = join_by_weight(rows.filter("n > 0").select("doc_id", "n", "s1", "s2"), named, ["s1", "s2", "n"], "weight", rows.count())
     full = full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("id").alias("class_id"), F.col("weight").alias("class_size"))
     empty = rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"),
