@@ -36,8 +36,6 @@ def test_the_index_persists_and_turns_known_digests_away(spark, tmp_path):
     again = DigestIndex(spark, str(tmp_path / "i"), 4)
     again.ingest(docs((9, "a"), (10, "c")))
     assert sorted(r.keep_id for r in again.rows().collect()) == [2, 3, 10]
-    plan = again.rows().join(docs((1, "a")), "digest").explain
-    assert plan is not None
 
 
 def test_heavy_and_light_keys_join_alike(spark):
