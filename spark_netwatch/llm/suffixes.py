@@ -243,6 +243,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans.unionByName(late)
 
 
+def _one_row_a_key(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with one row of each _doc and _hash; only texts of repeated rows are shuffled."""
+    twice = keyed.groupBy("_doc", "_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = written(twice.select(F.col("_doc").alias("_twice_doc"), F.col("_hash").alias("_twice_hash")), "repeated-rows")
+    same = keyed._doc.eqNullSafe(twice._twice_doc) & (keyed._hash == twice._twice_hash)
+    return keyed.join(twice, same, "left_anti").unionByName(keyed.join(twice, same, "left_semi").dropDuplicates(["_doc", "_hash"]))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """``docs`` with ``kept``, ``n_bytes``, ``n_removed``, ``n_spans``; such columns are replaced.
 
@@ -251,7 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_t
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(text).alias("_hash"), F.encode(text, "utf-8").alias("data"))
-    spans = repeated_spans(keyed, length, gram).groupBy("_doc", "_hash").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    spans = repeated_spans(_one_row_a_key(keyed), length, gram).groupBy("_doc", "_hash").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
     spans = spans.withColumnsRenamed({"_doc": "_span_doc", "_hash": "_span_hash"})
     rows = docs.withColumn("_hash", F.xxhash64(text))
     rows = rows.join(spans, rows.doc_id.eqNullSafe(spans._span_doc) & (rows._hash == spans._span_hash), "left").drop("_span_doc", "_span_hash", "_hash")

@@ -27,3 +27,9 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     rows = [(1, text), (2, text), (3, text + " more"), (4, "quite another text with some words of its own"), (5, ""), (6, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, "").collect()) == [1, 4, 5, 6]
+
+
+def test_repeated_row_stays_in_the_repeats_stage(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "short")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in P.repeats(spark, docs, "").collect()) == [(1, text), (1, text), (2, "short")]

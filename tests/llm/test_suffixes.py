@@ -52,3 +52,13 @@ def test_long_texts_are_taken_in_parts(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_rows_are_one_document(spark):
+    rng = random.Random(6)
+    own, other, shared = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    rows = [(1, own, "x")] * 3 + [(None, other, "x")] * 2 + [(2, shared + other[:150], "x")] * 2 + [(3, "z" + shared, "x")]
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    want = {1: own, None: other, 2: other[:150], 3: "z"}
+    assert all(bytes(r.kept).decode() == want[r.doc_id] for r in got)
