@@ -51,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that occur elsewhere; a character that a cut splits goes with it."""
-    rows = remove_repeats(docs, as_text=True)
+    """Cut passages that occur elsewhere but for their first occurrence; a character that a cut splits stays."""
+    rows = remove_repeats(docs, as_text=True, keep_first=True)
     return _with_text(rows, docs, F.when(F.col("text").isNotNull(), F.col("kept")))
 
 

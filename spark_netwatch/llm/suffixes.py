@@ -206,8 +206,19 @@ def _window_rows(docs: DataFrame, wanted: DataFrame, length: int, gram: int) ->
     return both.mapInArrow(run, f"bucket long, core long, _doc {dict(docs.dtypes)['_doc']}, _hash long, start long, open boolean, windows array<long>")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """_doc, _hash, first, last: spans of repeated bytes (they may overlap); ``docs``: _doc, _hash, data."""
+def _after(spans: DataFrame, one: str, length: int) -> DataFrame:
+    """Spans but for the first occurrence itself (``one``: _doc, _hash, start) and what lies in its window."""
+    same = F.col("_doc").eqNullSafe(F.col(f"{one}._doc")) & (F.col("_hash") == F.col(f"{one}._hash"))
+    spans = spans.filter(~(same & (F.col("first") == F.col(f"{one}.start"))))
+    return spans.withColumn("first", F.when(same, F.greatest("first", F.col(f"{one}.start") + length)).otherwise(F.col("first"))).filter("first < last")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
+    """_doc, _hash, first, last: spans of repeated bytes (they may overlap); ``docs``: _doc, _hash, data.
+
+    With ``keep_first`` the least (_doc, _hash, start) of equal windows is no repeat, nor are the
+    bytes of another one that lie in it; contexts that occur again are then compared by window too.
+    """
     found = written(_suffix_rows(docs, length, gram), "suffixes")
     n = F.size("starts").cast("long")
     sizes = found.groupBy("bucket").agg(F.sum(n).alias("n")).filter("n > 1")
@@ -215,11 +226,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     dropped(found)
     place = F.struct("_doc", "_hash", F.col("starts")[0].alias("start"), "shape", "halves")
     contexts = written(shared.groupBy("bucket", "context").agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(place).alias("one")), "contexts")
+    first = ["one"] if keep_first else []
     settled = join_by_weight(shared.select("bucket", "context", "_doc", "_hash", "starts", "shape"),
-                             contexts.filter("n > 1").select("bucket", "context", "rows"), ["bucket", "context"], "rows", shared.count())
-    spans = settled.select("_doc", "_hash", F.explode("starts").alias("first"), "shape").select(
-        "_doc", "_hash", "first", (F.col("first") + F.col("shape") % 1024 + length).alias("last"))
-    spans = written(spans, "spans")
+                             contexts.filter("n > 1").select("bucket", "context", "rows", *first), ["bucket", "context"], "rows", shared.count())
+    spans = settled.select("_doc", "_hash", F.explode("starts").alias("first"), "shape", *first).select(
+        "_doc", "_hash", "first", (F.col("first") + F.col("shape") % 1024 + length).alias("last"), *first)
+    if keep_first:
+        spans = _after(spans, "one", length)
+    spans = written(spans.select("_doc", "_hash", "first", "last"), "spans")
+    undecided = "n > 1" if keep_first else "n > 1 AND any_open"
     # unsettled contexts: halves that occur in two contexts of a bucket, one of them unsettled
     low = F.lit((1 << 32) - 1)
     half = F.explode(F.array(F.struct(F.lit(True).alias("ahead"), F.shiftrightunsigned("one.halves", 32).alias("half")),
@@ -227,18 +242,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     halves = written(contexts.select("bucket", "one", (F.col("n") == 1).alias("open"), half.alias("h"))
                      .select("bucket", "one", "open", "h.*").filter("half != 0"), "halves")
     keys = ["bucket", "ahead", "half"]
-    twice = halves.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).filter("n > 1 AND any_open")
+    twice = halves.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).filter(undecided)
     wanted = join_by_weight(halves, twice, keys, "n", halves.count()).select("bucket", "one._doc", "one._hash", "one.start", "one.shape", "ahead", "open")
     parts = written(_window_rows(docs, written(wanted, "wanted"), length, gram), "window-parts")
     keys = ["bucket", "core"]
-    twice = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).filter("n > 1 AND any_open")
+    twice = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).filter(undecided)
     windows = join_by_weight(parts, twice, keys, "n", parts.count()).select(
         "bucket", "_doc", "_hash", "open", "start", F.posexplode("windows").alias("place", "window"))
     windows = written(windows.select("bucket", "_doc", "_hash", "open", (F.col("start") + F.col("place")).alias("start"), "window"), "windows")
     dropped(shared, contexts, halves, parts)
-    again = windows.groupBy("bucket", "window").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).filter("n > 1 AND any_open")
-    hits = join_by_weight(windows.filter("open"), again, ["bucket", "window"], "n", windows.count())
-    late = written(hits.select("_doc", "_hash", F.col("start").alias("first"), (F.col("start") + length).alias("last")), "late-spans")
+    least = [F.min(F.struct("_doc", "_hash", "start")).alias("one")] if keep_first else []
+    again = windows.groupBy("bucket", "window").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open"), *least).filter(undecided)
+    hits = join_by_weight(windows if keep_first else windows.filter("open"), again, ["bucket", "window"], "n", windows.count())
+    late = hits.select("_doc", "_hash", F.col("start").alias("first"), (F.col("start") + length).alias("last"), *first)
+    if keep_first:
+        late = _after(late, "one", length)
+    late = written(late.select("_doc", "_hash", "first", "last"), "late-spans")
     dropped(windows)
     return spans.unionByName(late)
 
@@ -251,15 +270,18 @@ def _one_row_a_key(keyed: DataFrame) -> DataFrame:
     return keyed.join(twice, same, "left_anti").unionByName(keyed.join(twice, same, "left_semi").dropDuplicates(["_doc", "_hash"]))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False, keep_first: bool = False) -> DataFrame:
     """``docs`` with ``kept``, ``n_bytes``, ``n_removed``, ``n_spans``; such columns are replaced.
 
-    ``kept`` has the bytes that stay, or as text those characters of which all bytes stay.
+    ``kept`` has the bytes that stay, or as text those characters of which all bytes stay. With
+    ``keep_first`` the first occurrence of each window stays, by (doc_id, text hash, start), unless
+    a window that overlaps it stands earlier still: so every byte that is cut has an equal one that
+    stays. A character is then cut only when all its bytes are.
     """
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(text).alias("_hash"), F.encode(text, "utf-8").alias("data"))
-    spans = repeated_spans(_one_row_a_key(keyed), length, gram).groupBy("_doc", "_hash").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    spans = repeated_spans(_one_row_a_key(keyed), length, gram, keep_first).groupBy("_doc", "_hash").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
     spans = spans.withColumnsRenamed({"_doc": "_span_doc", "_hash": "_span_hash"})
     rows = docs.withColumn("_hash", F.xxhash64(text))
     rows = rows.join(spans, rows.doc_id.eqNullSafe(spans._span_doc) & (rows._hash == spans._span_hash), "left").drop("_span_doc", "_span_hash", "_hash")
@@ -274,6 +296,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_t
                     first, last = (spans.values.field(k).to_numpy() for k in ("first", "last"))
                     depth = np.bincount(first, minlength=len(data) + 1) - np.bincount(last, minlength=len(data) + 1)
                     gone = np.cumsum(depth)[:-1] > 0
+                    if keep_first:
+                        lead = (data & 0xC0) != 0x80
+                        gone = np.logical_and.reduceat(gone, np.flatnonzero(lead))[np.cumsum(lead) - 1]
                     edges = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept.append(data[~gone].tobytes())
                     counts.append((len(data), int(gone.sum()), edges))

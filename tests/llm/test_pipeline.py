@@ -33,3 +33,10 @@ def test_repeated_row_stays_in_the_repeats_stage(spark):
     text = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(1, text), (1, text), (2, "short")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in P.repeats(spark, docs, "").collect()) == [(1, text), (1, text), (2, "short")]
+
+
+def test_repeats_stage_keeps_one_occurrence(spark):
+    passage, rest = (" ".join(f"{w}{i}" for i in range(60)) for w in ("word", "rest"))
+    rows = [(1, passage), (2, "before " + passage + " " + rest), (3, rest + " after")]
+    got = {r.doc_id: r.text for r in P.repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {1: passage, 2: "before  " + rest, 3: " after"}

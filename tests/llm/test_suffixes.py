@@ -62,3 +62,35 @@ def test_repeated_rows_are_one_document(spark):
     assert len(got) == len(rows)
     want = {1: own, None: other, 2: other[:150], 3: "z"}
     assert all(bytes(r.kept).decode() == want[r.doc_id] for r in got)
+
+
+def brute_first(texts, length):
+    data, first, out = [(t or "").encode() for t in texts], {}, []
+    for d, text in enumerate(data):
+        gone = bytearray(len(text))
+        for i in range(len(text) - length + 1):
+            at, start = first.setdefault(text[i:i + length], (d, i))
+            if (at, start) != (d, i):
+                low = max(i, start + length) if at == d else i
+                gone[low:i + length] = b"\1" * (i + length - low)
+        kept, at = "", 0
+        for c in text.decode():
+            size = len(c.encode())
+            kept += "" if all(gone[at:at + size]) else c
+            at += size
+        out.append(kept)
+    return out
+
+
+def test_first_occurrences_stay(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    shared = [word(rng.randint(15, 60)) for _ in range(12)]
+    texts = [None, "", "a", "ab" * 60, "ab" * 45 + "c" + "ab" * 20, "x" * 19, "x" * 20, "éã" * 20, "èã" * 20]
+    for _ in range(60):
+        parts = [rng.choice(shared)[rng.randint(0, 5):] if rng.random() < 0.6 else word(rng.randint(5, 40)) for _ in range(rng.randint(1, 6))]
+        texts.append("".join(parts))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.kept for r in remove_repeats(docs, 20, 6, as_text=True, keep_first=True).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_first(texts, 20)
+    assert got[3] == "ab" * 10 and any(0 < len(got[i]) < len(t or "") for i, t in enumerate(texts))
