@@ -2,8 +2,8 @@
 removal (U1), event-id uniqueness (W9) and run statistics (A21).
 
 One ``select`` applies every column's rule; duplicates are removed with a
-grouped aggregate (map-side partial aggregation); id suffixes come from a
-``row_number`` per id (or, with ``id_strategy="chunked"``, a running count per id
+grouped aggregate (map-side partial aggregation); id suffixes come from
+running counts per id (or, with ``id_strategy="chunked"``, a running count per id
 chunked by row-id range for logs where one id may be hot).
 """
 
@@ -39,31 +39,40 @@ def _suffix_ids(df: DataFrame, row_id: str, id_col: str = "Event_ID", strategy:
     """2nd, 3rd ... occurrence of an id (in row order) gets ``_dup1``, ``_dup2`` ...,
     passing over numbers whose id stands in the log already.
 
-    ``window``: ``row_number`` partitioned by the id (one pass; an id repeated
-    across a large share of the log lands in one task). ``chunked``: a running
-    count per id chunked by row-id range (``flows_chunked._chunked_running``),
-    which spreads such an id over many tasks at the price of evaluating the
-    input twice (once for the per-chunk totals).
+    ``window``: running counts partitioned by the id (an id repeated across a
+    large share of the log lands in one task). ``chunked``: running counts per id
+    chunked by row-id range, number range and rank range
+    (``flows_chunked._chunked_running``), which spreads such an id over many tasks
+    at the price of evaluating the input twice more (for the per-chunk totals).
+
+    The numbers that stand in the log are rows (id, number). The i-th of an id,
+    k, has k - i free numbers before it, so the suffixes from rank k - i + 1 on
+    pass over it: a rank's number is the rank plus the count of these.
     """
-    if strategy == "chunked":
-        from .flows_chunked import _chunked_running
-        staged = df.withColumn("_idc", F.floor(F.col(row_id) / F.lit(ID_CHUNK_ROWS)).cast("bigint"))
-        rn = "_rn"
-        df = _chunked_running(staged, [id_col], "_idc", [row_id], {rn: F.lit(1).cast("long")}).drop("_idc")
-    else:
-        rn = "_rn"
-        df = df.withColumn(rn, F.row_number().over(Window.partitionBy(id_col).orderBy(row_id)))
-    # cleaned ids are never empty (missing ids are recovered), so the flag is the rank alone;
-    # a predicate on the id itself would be pushed below the window into every cleaning branch
-    dup = F.col(rn) > 1
-    # ids of one root lie together, so the ids that a suffix could meet are known without a join
-    stem = F.regexp_replace(id_col, r"(_dup[0-9]+)+$", "")
-    df = df.withColumn("_taken", F.collect_set(F.when(F.col(id_col).rlike(r"_dup[0-9]+$"), F.col(id_col))).over(Window.partitionBy(stem)))
-    numbers = F.sequence(F.lit(1), (F.col(rn) - 1 + F.size("_taken")).cast("int"))
-    free = F.array_except(F.transform(numbers, lambda k: F.concat(F.col(id_col), F.lit("_dup"), k.cast("string"))), F.col("_taken"))
-    return (df.withColumn("_suffixed", dup)
-            .withColumn(id_col, F.when(dup, F.get(free, (F.col(rn) - 2).cast("int"))).otherwise(F.col(id_col)))
-            .drop(rn, "_taken"))
+    from .flows_chunked import _chunked_running
+
+    def running(rows: DataFrame, value, place: str, order: list, out: str) -> DataFrame:
+        if strategy != "chunked":
+            over = Window.partitionBy(id_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            return rows.withColumn(out, F.sum(value).over(over))
+        staged = rows.withColumn("_idc", F.floor(F.col(place) / F.lit(ID_CHUNK_ROWS)).cast("bigint"))
+        return _chunked_running(staged, [id_col], "_idc", order, {out: value}).drop("_idc")
+
+    # cleaned ids are never empty (missing ids are recovered), so ids without a number make one
+    # row of the empty id; a predicate on the id would be pushed into every cleaning branch
+    numbered = r"(?s)^(.*)_dup([1-9][0-9]{0,17})\z"
+    taken = df.select(F.regexp_extract(id_col, numbered, 1).alias(id_col),
+                      F.expr(f"try_cast(regexp_extract({id_col}, r'{numbered}', 2) AS bigint)").alias("_k")).distinct()
+    taken = running(taken, F.lit(1).cast("long"), "_k", ["_k"], "_i").select(
+        id_col, (F.col("_k") - F.col("_i") + 1).alias("_rank"), F.lit(1).cast("long").alias("_one"))
+    ranked = running(df, F.lit(1).cast("long"), row_id, [row_id], "_rn")
+    ranked = ranked.withColumn("_rank", F.col("_rn") - 1).withColumn("_one", F.lit(0).cast("long"))
+    both = running(ranked.unionByName(taken, allowMissingColumns=True), F.col("_one"), "_rank", ["_rank", F.desc("_one")], "_past")
+    dup = F.col("_rank") > 0
+    suffixed = F.concat(F.col(id_col), F.lit("_dup"), (F.col("_rank") + F.col("_past")).cast("string"))
+    return (both.filter("_rn IS NOT NULL").withColumn("_suffixed", dup)
+            .withColumn(id_col, F.when(dup, suffixed).otherwise(F.col(id_col)))
+            .drop("_rn", "_rank", "_one", "_past"))
 
 
 def clean_event_log(raw: DataFrame, as_of: str, row_id: str = "row_id", compat: bool = False,

@@ -90,3 +90,32 @@ def test_chunked_id_suffixes_equal_window(spark):
     finally:
         cl.ID_CHUNK_ROWS = old
     assert a == b and len([1 for _, e in a if "_dup" in e]) == 1665
+
+
+def test_id_suffixes_pass_over_many_taken_numbers(spark):
+    import spark_netwatch.operators.clean as cl
+    # every third row the hot id, every third one of its numbers; odd numbers, repeats and look-alikes besides
+    ids = [("H", f"H_dup{i // 2 + 1}", f"E{i}")[i % 3] for i in range(6000)]
+    ids += ["H_dup03", "H_dup0", "H_dup1_dup1", "H_dup2", "H_dup2", "_dup1", "_dup1", "H_dup9999999999", "H_dup99999999999999999999", "H_dupx", "E0", "E2"]
+    df = spark.createDataFrame([(i, v, f"m{i}") for i, v in enumerate(ids)], "row_id long, Event_ID string, Detection_Method string")
+    want, seen, last, stored = [], set(), {}, set(ids)
+    for v in ids:
+        out = v
+        if v in seen:
+            k = last.get(v, 0) + 1
+            while f"{v}_dup{k}" in stored:
+                k += 1
+            last[v], out = k, f"{v}_dup{k}"
+        seen.add(v)
+        want.append(out)
+    assert len(set(want)) == len(want)
+    old = cl.ID_CHUNK_ROWS
+    cl.ID_CHUNK_ROWS = 100
+    try:
+        for strategy in ("window", "chunked"):
+            rows = clean_event_log(df, AS_OF, id_strategy=strategy)
+            plan = rows._jdf.queryExecution().toString()
+            assert "collect_set" not in plan and "sequence(" not in plan
+            assert [r.Event_ID for r in sorted(rows.collect(), key=lambda r: r.row_id)] == want
+    finally:
+        cl.ID_CHUNK_ROWS = old
