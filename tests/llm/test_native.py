@@ -108,3 +108,15 @@ def test_line_dedup_against_all_pairs(spark):
 
 def test_line_dedup_of_an_empty_table(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_line_similarity_is_in_characters(spark):
+    long = "extraordinarily comprehensive documentation accompanies international telecommunication infrastructure"
+    texts = [f"{long} at an is of", f"{long} it on as or", "short own line", f"{long} or in a be it we do"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sim = {r._doc: r.sim for r in L.line_places(L._keyed(docs)).collect()}
+    for other in (1, 3):
+        assert sum(x == y for x, y in zip(_fields(sim[0]), _fields(sim[other]))) >= 2 and bin((sim[0] ^ sim[other]) % 2**64).count("1") <= L.MAX_BITS
+        assert _distance(texts[0].split(), texts[other].split()) > 0.2 * max(len(texts[0].split()), len(texts[other].split()))
+        assert _distance(texts[0], texts[other]) <= 0.2 * max(len(texts[0]), len(texts[other]))
+    assert [r.n_removed for r in L.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1, 0, 1]
