@@ -156,11 +156,26 @@ class Lattice:
             rest[self.start[a:b][heads_at]] = top + np.log(mass)
             chance[a:b] = np.exp(value - top[g]) / mass[g]
         self.chance, self.closing = chance, closing
+        self.log_chance = np.minimum(weight + np.where(closing, 0.0, rest[np.minimum(self.end, len(data))]) - rest[self.start], 0.0)
+        self.log_left = self._others(group) if len(group) else np.zeros(0)
         running = np.cumsum(chance, dtype=np.longdouble)        # long, so that other units' edges leave no trace
         self.running = (running - (running - chance)[self.first][group]).astype(float) if len(group) else chance
         self.last = np.append(self.first[1:], len(order))[:len(self.first)] - 1
         self.running[self.last] = 2.0
 
+    def _others(self, group: np.ndarray) -> np.ndarray:
+        """Log chance of each edge's state without the edge; 1 - chance would round to 0 for the likeliest."""
+        likely = np.flatnonzero(self.log_chance == np.maximum.reduceat(self.log_chance, self.first)[group])
+        likely = likely[np.append(True, np.diff(group[likely]) > 0)]
+        others = self.log_chance.copy()
+        others[likely] = -np.inf
+        second = np.maximum.reduceat(others, self.first)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = np.log1p(-self.chance)
+            sums = np.add.reduceat(np.where(np.isneginf(others), 0.0, np.exp(others - second[group])), self.first)
+            left[likely] = np.where(np.isneginf(second), -np.inf, second + np.log(sums))
+        return left
+
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each state by its conditional probability."""
         edge = self.first[self.state[at]]
@@ -248,7 +263,7 @@ def sample(pieces: Pieces, texts: pa.Array, keys: np.ndarray, k: int):
     for j in range(k):
         count = np.bincount(rows, minlength=n)
         ends = np.cumsum(count)
-        log_p = np.log(net.chance[edge])
+        log_p = net.log_chance[edge]
         total = np.zeros(n)
         if len(edge):
             total[count > 0] = np.add.reduceat(log_p, (ends - count)[count > 0])
@@ -269,7 +284,7 @@ def sample(pieces: Pieces, texts: pa.Array, keys: np.ndarray, k: int):
             state = net.state[net.start[own[place]]]
             options = np.arange(net.first[state], net.last[state] + 1)
             options = options[~np.isin(options, taken)]
-            chance = np.cumsum(net.chance[options])
+            chance = np.cumsum(np.exp(net.log_chance[options] - net.log_chance[options].max()))
             u = _uniform(mix(keys[r:r + 1] + np.uint64(j + 1)) + np.uint64(1 << 40))[0]
             chosen = options[min(np.searchsorted(chance, u * chance[-1]), len(options) - 1)]
             value[r], parent[r] = g, (place, (*taken, chosen))
@@ -311,15 +326,17 @@ def _split(net: Lattice, edge: np.ndarray, begin: np.ndarray, end: np.ndarray, n
     column = np.arange(width)
     there = column < size[:, None]
     at = np.where(there, (begin + place)[:, None] + column, 0)
-    chance = np.where(there, net.chance[edge[at]], 1.0) if len(edge) else np.ones((len(begin), width))
-    head = np.array([np.log(net.chance[edge[b:b + p]]).sum() for b, p in zip(begin.tolist(), place.tolist())])
-    before = head[:, None] + np.concatenate([np.zeros((len(begin), 1)), np.cumsum(np.log(chance), 1)], 1)
-    left = 1 - chance
+    chance = np.where(there, net.log_chance[edge[at]], 0.0) if len(edge) else np.zeros((len(begin), width))
+    head = np.array([net.log_chance[edge[b:b + p]].sum() for b, p in zip(begin.tolist(), place.tolist())])
+    before = head[:, None] + np.concatenate([np.zeros((len(begin), 1)), np.cumsum(chance, 1)], 1)
+    left = np.where(there, net.log_left[edge[at]], -np.inf) if len(edge) else np.full((len(begin), width), -np.inf)
     for i, p in enumerate(parent):
         if p and size[i]:
-            left[i, 0] = 1 - net.chance[list(p[1])].sum()
-    some = there & (left > 1e-12)
-    mass = before[:, :-1] + np.log(np.where(some, left, 1.0))
+            state = net.state[net.start[p[1][0]]]
+            options = np.arange(net.first[state], net.last[state] + 1)
+            left[i, 0] = np.logaddexp.reduce(net.log_chance[options[~np.isin(options, p[1])]], initial=-np.inf)
+    some = there & ~np.isneginf(left)
+    mass = before[:, :-1] + np.where(some, left, 0.0)
     draw = _uniform(mix(keys + np.uint64(number << 44))[:, None] + (place[:, None] + column).astype(np.uint64))
     best = np.where(some, -np.logaddexp(-value[:, None], np.log(-np.log(draw)) - mass), -np.inf)
     top = np.argsort(-best, 1, kind="stable")[:, :keep]

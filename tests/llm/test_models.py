@@ -56,6 +56,20 @@ def test_samples_are_distinct_and_have_the_exact_distribution():
                     assert abs(pairs[a, b] / n - want) < 0.015
 
 
+def test_short_texts_give_all_segmentations_at_the_production_temperature():
+    pieces, k = lattice.Pieces(MODEL, lattice.TEMPERATURE), 200
+    texts = ["a", "I", "of", "the", "a b"]
+    seen = [{} for _ in texts]
+    for _, rows, ids, per, log_p, *_ in lattice.sample(pieces, pa.array(texts), np.arange(len(texts)), k):
+        ends = np.cumsum(per)
+        for r, a, b, p in zip(rows, ends - per, ends, log_p):
+            seen[r][tuple(ids[a:b].tolist())] = p
+    for text, got in zip(texts, seen):
+        chance = _segmentations(pieces, text)
+        assert 1 < len(chance) < k and set(got) == set(chance)
+        assert all(abs(got[s] - p) < 1e-6 for s, p in chance.items())
+
+
 def test_encoding_round_trips_and_repeats_itself(spark):
     texts = [None, "", " two  spaces ", "línea uno\nline two\ttab", "中文 ﬁ €", "x" * 3000, "a\x00b"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
