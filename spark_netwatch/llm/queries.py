@@ -14,6 +14,7 @@ from .language import identify
 from .lattice import encode
 from .licenses import scan, scan_sql
 from .packing import pack
+from .postings import decontaminate, decontaminate_sql
 from .quality import THRESHOLD, held_out, score, train
 from .suffixes import remove_repeats
 
@@ -75,6 +76,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                       (rows.n_hit > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_packing": op2_packing,
@@ -86,9 +93,11 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_decontamination": op13_decontamination,
 }
 ORACLE_SQL = {
     "op7_license_scan": scan_sql(),
     "op8_fingerprints": FINGERPRINT_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op13_decontamination": decontaminate_sql(),
 }
