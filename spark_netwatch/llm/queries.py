@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations, collocations_sql
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprints import FINGERPRINT_SQL, fingerprints
@@ -76,6 +77,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -93,11 +98,13 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_collocations": op12_collocations,
     "op13_decontamination": op13_decontamination,
 }
 ORACLE_SQL = {
     "op7_license_scan": scan_sql(),
     "op8_fingerprints": FINGERPRINT_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_collocations": collocations_sql(),
     "op13_decontamination": decontaminate_sql(),
 }
