@@ -18,6 +18,7 @@ from .packing import pack
 from .postings import decontaminate, decontaminate_sql
 from .quality import THRESHOLD, held_out, score, train
 from .suffixes import remove_repeats
+from .whitening import whiten
 
 
 def tokenizer_file(name: str) -> str:
@@ -77,6 +78,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_whitening": op11_whitening,
     "op12_collocations": op12_collocations,
     "op13_decontamination": op13_decontamination,
 }
