@@ -38,7 +38,7 @@ TOP = 2000
 #: Bits of the filter on frequent words or pairs; a sixth of them set keeps five of six rare ones out.
 FILTER_BITS = 1 << 25
 #: Words that a task counts at once before it hands counts on.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 
 #: Bytes of a text: A-Z lower-cased, what ends a piece as a line feed, a tab as a space.
 _BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -77,14 +77,14 @@ class _Counter:
                 for w in words:
                     if w not in ids:
                         ids[w] = len(ids)
-                self.tokens.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+                self.tokens.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
                 self.tokens.append(_END)
                 self.size += len(words)
 
     def rows(self, orders: tuple[int, ...], bitmap: np.ndarray | None):
         """Record batches of (lang, phrase, n)."""
-        ids = np.concatenate(self.tokens) if self.tokens else np.empty(0, np.int64)
-        vocabulary = list(self.ids)
+        ids, vocabulary = np.concatenate([*self.tokens, _END]), list(self.ids)
+        self.ids, self.tokens = {}, []
         if orders == (1,):
             count = np.bincount(ids[ids >= 0], minlength=len(vocabulary))
             yield from self._batches([pa.array(vocabulary, pa.binary())], count)
@@ -99,15 +99,14 @@ class _Counter:
             at = np.flatnonzero(pair)
             pair[at] = _held(bitmap, _slots(hashes[ids[at]], hashes[ids[at + 1]]))
         at = np.flatnonzero(pair)                                           # starts of chains of two words
-        rank = np.full(len(ids), -1, np.int64)
+        rank = np.full(len(ids), -1, np.int32)
         rank[at] = ids[at]
-        starts = np.empty(0, np.int64)
         for order in range(2, max(orders) + 1):
             if order > 2:
                 at = at[pair[np.minimum(at + order - 2, len(pair) - 1)] & (at + order - 2 < len(pair))]
             if not len(at):
                 return
-            _, starts, rank_at, count = np.unique((rank[at] << 32) | ids[at + order - 1], return_index=True, return_inverse=True, return_counts=True)
+            _, starts, rank_at, count = np.unique((rank[at].astype(np.int64) << 32) | ids[at + order - 1], return_index=True, return_inverse=True, return_counts=True)
             rank[at] = rank_at
             if order in orders:
                 places = at[starts]
@@ -121,7 +120,7 @@ class _Counter:
             yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(n), pa.string()), phrase.cast(pa.string()), n], ["lang", "phrase", "n"])
 
 
-_END = np.array([-1], np.int64)
+_END = np.array([-1], np.int32)
 
 
 def _count(docs: DataFrame, orders: tuple[int, ...], bitmap: np.ndarray | None, chunk: int) -> DataFrame:

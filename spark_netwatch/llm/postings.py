@@ -81,10 +81,11 @@ def _ordered_terms(index: DataFrame, phrases: DataFrame, distinct: bool) -> Data
     return written(found.join(wanted, "phrase").filter(F.size("terms") == F.col("n_terms")), "phrase-terms")
 
 
-def _of_candidates(index: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Postings of the documents that have candidates, taken from the buckets where they lie."""
+def _of_candidates(index: DataFrame, candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """The terms' postings in documents that have candidates, taken from the buckets where they lie."""
     docs = candidates.select("doc").distinct()
-    return index.select("doc", "pos", "term").join(docs.hint("shuffle_hash"), "doc", "left_semi")
+    return (index.select("doc", "pos", "term").join(sized(written(terms.distinct(), "terms")), "term", "left_semi")
+            .join(docs.hint("shuffle_hash"), "doc", "left_semi"))
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
         wanted = (found.join(of.filter(F.size("next") > 0), "phrase")
                   .select("doc", "phrase", "start", F.size("next").alias("n_next"), F.explode("next").alias("t"))
                   .select("doc", "phrase", "start", "n_next", F.col("t.term").alias("term"), (F.col("start") + F.col("t.offset")).alias("pos")))
-        held = (wanted.join(_of_candidates(index, found), ["doc", "pos", "term"]).groupBy("doc", "phrase", "start", "n_next").count()
+        held = (wanted.join(_of_candidates(index, found, of.select(F.explode("next.term").alias("term"))), ["doc", "pos", "term"]).groupBy("doc", "phrase", "start", "n_next").count()
                 .filter(F.col("count") == F.col("n_next")).select("doc", "phrase", "start"))
         short = found.join(of.filter(F.size("next") == 0), "phrase").select("doc", "phrase", "start")
         found = written(held.unionByName(short), "starts")
@@ -124,7 +125,7 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, span: int) -> DataFr
         of = ordered.select("phrase", "n_terms", F.slice("terms", first, count if count else F.size("terms")).alias("next"))
         wanted = (found.join(of, "phrase").select("doc", "phrase", "at", F.size("next").alias("n_next"), F.explode(F.transform("next", lambda t: t["term"])).alias("term"), cells.alias("cells"))
                   .select("doc", "phrase", "at", "n_next", "term", F.explode("cells").alias("cell")))
-        held = (wanted.join(_of_candidates(index, found).withColumn("cell", cell), ["doc", "cell", "term"]).filter(near)
+        held = (wanted.join(_of_candidates(index, found, of.select(F.explode("next.term").alias("term"))).withColumn("cell", cell), ["doc", "cell", "term"]).filter(near)
                 .groupBy("doc", "phrase", "at", "n_next").agg(F.collect_set("term").alias("terms"), F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("places"))
                 .filter(F.size("terms") == F.col("n_next")).select("doc", "phrase", "at", "places"))
         none = F.array().cast("array<struct<pos:int,term:string>>")
