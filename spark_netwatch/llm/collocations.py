@@ -2,9 +2,10 @@
 
 Phrases are counted order by order, each count a sum over the whole corpus of counts that tasks have
 merged beforehand. A phrase that reaches ``least`` has only parts that reach it, so a task leaves out
-what the orders before rule out: it holds a filter of fixed size (``FILTER_BITS``) on the frequent
-words, then on the frequent word pairs. The filter may let rare phrases pass, which the exact count then
-drops; it never loses a frequent one.
+what is ruled out before: it holds a filter of fixed size (``FILTER_BITS`` slots) on the frequent words,
+then one on word pairs, whose occurrences (of frequent words) were summed up by slot. A filter may let
+rare phrases pass, which the exact count then drops; it never loses a frequent one, and when a very
+large corpus fills it, it only spares less.
 
 The frequent phrases of all orders form the count stream. It is kept twice, dealt by range and sorted:
 in prefix order (words from the first on) and in suffix order (from the last on). Every cut of a
@@ -35,8 +36,10 @@ from .common import written
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-#: Bits of the filter on frequent words or pairs; a sixth of them set keeps five of six rare ones out.
+#: Slots of the filters on words and pairs; a bitmap of them goes to the tasks.
 FILTER_BITS = 1 << 25
+#: Slots are dealt in blocks: a task sums up the slots of its blocks.
+BLOCK = 1 << 13
 #: Words that a task counts at once before it hands counts on.
 CHUNK = 1_500_000
 
@@ -81,6 +84,13 @@ class _Counter:
                 self.tokens.append(_END)
                 self.size += len(words)
 
+    def pair_slots(self, bitmap: np.ndarray) -> np.ndarray:
+        """Slot of each pair of words that pass the filter."""
+        ids, hashes = np.concatenate([*self.tokens, _END]), _hashes(self.lang, self.ids)
+        frequent = np.append(_held(bitmap, _slots(hashes)), False)          # the last one is for the end of a piece
+        at = np.flatnonzero(frequent[ids[:-1]] & frequent[ids[1:]])
+        return _slots(hashes[ids[at]], hashes[ids[at + 1]])
+
     def rows(self, orders: tuple[int, ...], bitmap: np.ndarray | None):
         """Record batches of (lang, phrase, n)."""
         ids, vocabulary = np.concatenate([*self.tokens, _END]), list(self.ids)
@@ -92,12 +102,8 @@ class _Counter:
         words = pa.array(vocabulary, pa.binary())
         hashes = _hashes(self.lang, vocabulary)
         pair = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        if orders == (2,):
-            frequent = np.append(_held(bitmap, _slots(hashes)), False)      # the last one is for the end of a piece
-            pair &= frequent[ids[:-1]] & frequent[ids[1:]]
-        else:
-            at = np.flatnonzero(pair)
-            pair[at] = _held(bitmap, _slots(hashes[ids[at]], hashes[ids[at + 1]]))
+        at = np.flatnonzero(pair)
+        pair[at] = _held(bitmap, _slots(hashes[ids[at]], hashes[ids[at + 1]]))
         at = np.flatnonzero(pair)                                           # starts of chains of two words
         rank = np.full(len(ids), -1, np.int32)
         rank[at] = ids[at]
@@ -123,41 +129,76 @@ class _Counter:
 _END = np.array([-1], np.int32)
 
 
+def _chunks(batches, chunk: int):
+    """The counters of every chunk of text."""
+    held: dict[str, _Counter] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            one = held.get(lang) or held.setdefault(lang, _Counter(lang))
+            size -= one.size
+            one.add(text)
+            size += one.size
+            if size >= chunk:
+                yield from held.values()
+                held, size = {}, 0
+    yield from held.values()
+
+
 def _count(docs: DataFrame, orders: tuple[int, ...], bitmap: np.ndarray | None, chunk: int) -> DataFrame:
-    """lang, phrase, n of the phrases of some orders whose parts pass the filter."""
+    """lang, phrase, n of the phrases of some orders whose pairs pass the filter."""
     def tasks(batches):
-        held: dict[str, _Counter] = {}
-        size = 0
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                one = held.get(lang) or held.setdefault(lang, _Counter(lang))
-                size -= one.size
-                one.add(text)
-                size += one.size
-                if size >= chunk:
-                    for c in held.values():
-                        yield from c.rows(orders, bitmap)
-                    held, size = {}, 0
-        for c in held.values():
-            yield from c.rows(orders, bitmap)
+        for counter in _chunks(batches, chunk):
+            yield from counter.rows(orders, bitmap)
 
     return docs.mapInArrow(tasks, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _filter(counts: DataFrame, pairs: bool) -> np.ndarray:
-    """Bitmap of the slots of ``counts``, of FILTER_BITS bits whatever their number."""
+def _word_filter(words: DataFrame) -> np.ndarray:
+    """Bitmap of the words' slots."""
     def slots(batches):
         for batch in batches:
             for lang, group in batch.to_pandas().groupby("lang"):
-                words = [p.encode().split(b" ") for p in group["phrase"]]
-                hashed = [_hashes(lang, [w[k] for w in words]) for k in range(2 if pairs else 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(_slots(*hashed).astype(np.int64))], ["slot"])
+                yield pa.RecordBatch.from_arrays([pa.array(_slots(_hashes(lang, [w.encode() for w in group["phrase"]])).astype(np.int64))], ["slot"])
+
+    size = F.lit(8 * 4096)
+    rows = (words.select("lang", "phrase").mapInArrow(slots, "slot long").groupBy(F.floor(F.col("slot") / size).alias("block"))
+            .agg(F.bitmap_construct_agg(F.pmod("slot", size)).alias("bits")))
+    return _bitmap(rows, 4096)
+
+
+def _pair_filter(docs: DataFrame, bitmap: np.ndarray, least: int, chunk: int) -> np.ndarray:
+    """Bitmap of the slots whose pairs of filtered words occur ``least`` times in all."""
+    kind = np.min_scalar_type(least)
+
+    def sums(batches):
+        for counter in _chunks(batches, chunk):
+            slots, count = np.unique(counter.pair_slots(bitmap), return_counts=True)
+            low, count = (slots % BLOCK).astype(np.uint16), np.minimum(count, least).astype(kind)      # a count that reaches ``least`` says enough
+            blocks, first = np.unique(slots // BLOCK, return_index=True)
+            ends = [*first[1:], len(slots)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(blocks.astype(np.int64)), pa.array([low[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()),
+                pa.array([count[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["block", "slots", "counts"])
+
+    def totals(batches):
+        held: dict[int, np.ndarray] = {}        # as many as FILTER_BITS / BLOCK blocks over the number of tasks
+        for batch in batches:
+            for block, slots, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = held.setdefault(block, np.zeros(BLOCK, np.int64))
+                total[np.frombuffer(slots, np.uint16)] += np.frombuffer(counts, kind)
+        bits = [np.packbits(t >= least, bitorder="little").tobytes() for t in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(bits, pa.binary())], ["block", "bits"])
+
+    parts = docs.mapInArrow(sums, "block long, slots binary, counts binary")
+    return _bitmap(parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(totals, "block long, bits binary"), BLOCK // 8)
+
 
-    rows = (counts.select("lang", "phrase").mapInArrow(slots, "slot long")
-            .groupBy(F.shiftright("slot", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")).collect())
+def _bitmap(rows: DataFrame, size: int) -> np.ndarray:
+    """The filter from its blocks of ``size`` bytes; their number is fixed."""
     bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:                      # at most FILTER_BITS / 32768 rows
-        bitmap[r["block"] * 4096:(r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    for r in rows.collect():
+        bitmap[r["block"] * size:(r["block"] + 1) * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bitmap
 
 
@@ -166,16 +207,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, c
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter(F.length("text") > 0)
     words = written(_count(texts, (1,), None, chunk), "words")
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    frequent = [words.filter(F.col("n") >= least)]
-    if longest > 1:
-        frequent.append(written(_count(texts, (2,), _filter(frequent[0], False), chunk).filter(F.col("n") >= least), "pairs"))
-    if longest > 2:
-        orders = tuple(range(3, longest + 1))
-        frequent.append(written(_count(texts, orders, _filter(frequent[1], True), chunk).filter(F.col("n") >= least), "phrases"))
-    counts = frequent[0]
-    for more in frequent[1:]:
-        counts = counts.unionByName(more)
-    return totals, counts
+    frequent = words.filter(F.col("n") >= least)
+    if longest < 2:
+        return totals, frequent
+    pairs = _pair_filter(texts, _word_filter(frequent), least, chunk)
+    phrases = _count(texts, tuple(range(2, longest + 1)), pairs, chunk).filter(F.col("n") >= least)
+    return totals, frequent.unionByName(written(phrases, "phrases"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, chunk: int = CHUNK) -> DataFrame:
