@@ -4,7 +4,7 @@ columns (D6), quality columns (D7), UI event (P14) and the 124-column log row
 (P15).
 
 Plan shape: DPI is map-side; flow state (W0-W4) and the correlation window
-(W5) share one exchange on ``src_ip``; OSINT scores and IOCs are joined on the
+(W5) share one exchange on ``src_ip`` and stretch; OSINT scores and IOCs are joined on the
 address (AQE picks broadcast from the measured size). Models are optional:
 without them steps 3 (forest) and 6 (isolation forest) are skipped, which is
 the exact-oracle configuration.
@@ -12,7 +12,9 @@ the exact-oracle configuration.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -20,7 +22,8 @@ from ..functions.net import service_flags
 from ..functions.text import byte_entropy
 from .classify import classify_columns, with_mitre
 from .dpi import dpi_scan
-from .flows import flow_state
+from .flows import dealt_flow_state
+from .stretches import Dealt, deal, running
 from .threats import severity_score
 
 US = 1_000_000
@@ -45,28 +48,27 @@ def _sentence(df: DataFrame) -> Column:
                            F.col("src_ip"), act, F.col("unique_ports"), F.col("dur_s"), F.col("n"), F.col("_rate_log"))
 
 
-def correlation_tactics(ip: str, ts: str, eid: str, tactic: Column, mask: Column, vocab: list[str],
-                        window_s: int = C.CORRELATION_WINDOW_SECONDS) -> Column:
-    """W5 on a masked subset, as running per-tactic last-seen times (no join back needed)."""
-    run = Window.partitionBy(ip).orderBy(ts).rangeBetween(Window.unboundedPreceding, 0)    # equal times are peers
-    win = window_s * US
-    seen = [F.when(F.max(F.when(mask & (tactic == t), F.col(ts))).over(run) >= F.col(ts) - win, F.lit(t)) for t in vocab]
-    return F.when(mask, F.array_compact(F.array(*seen)))
+def correlation_tactics(dealt: Dealt, ts: str, tactic: Column, mask: Column, vocab: list[str],
+                        window_s: int = C.CORRELATION_WINDOW_SECONDS, out: str = "corr_tactics") -> DataFrame:
+    """W5 on a masked subset: the tactics whose last time so far lies in the window; equal times are peers."""
+    last = {f"_last{i}": (F.max, F.when(mask & (tactic == t), F.col(ts))) for i, t in enumerate(vocab)}
+    rows = running(dealt, last, [ts], peers=True)
+    seen = [F.when(F.col(f"_last{i}") >= F.col(ts) - window_s * US, F.lit(t)) for i, t in enumerate(vocab)]
+    return rows.withColumn(out, F.when(mask, F.array_compact(F.array(*seen)))).drop(*last)
 
 
 def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame | None = None,
-             compat: bool = False, forest=None, isolation=None, strategy: str = "auto") -> DataFrame:
+             compat: bool = False, forest=None, isolation=None, parts: int | None = None) -> DataFrame:
     """One verdict row per packet (``packets`` must carry ``payload`` bytes).
 
-    ``strategy`` as in ``flows.flow_state``; with ``chunked`` the correlation
-    window is chunked by event time too, so no window is keyed by source alone.
+    No window is keyed by source alone: flow state and correlation run over the source's stretches
+    (see ``stretches``; ``parts``: stretches of all rows).
     """
-    from .flows import choose_strategy
-    strategy = choose_strategy(packets, strategy)
     # all that needs the payload comes before the exchange on src_ip, so no payload is shuffled or sorted
     df = dpi_scan(packets, "payload", compat=compat)
     df = df.withColumns({"payload_entropy": byte_entropy("payload"), "payload_bytes": F.coalesce(F.octet_length("payload"), F.lit(0))})
-    df = flow_state(df.drop("payload", "payload_text"), strategy=strategy)
+    dealt = dealt_flow_state(deal(df.drop("payload", "payload_text"), "src_ip", "ts_us", parts))
+    df = dealt.rows
     df = df.withColumn("_rate_log", F.when(F.col("dur_s") > 0, F.col("n") / F.col("dur_s")).otherwise(F.lit(1.0)))
     ports, n = F.col("unique_ports"), F.col("n")
     dpi_hit = F.coalesce(F.col("dpi_is_threat"), F.lit(False))
@@ -156,11 +158,7 @@ def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame
     # step 5: correlation over events with severity > 0 from a non-loopback source
     tac_in = F.coalesce(F.col("_ta2"), F.lit("Unknown"))
     mask = (F.col("_v2") != 0) & F.col("src_ip").isNotNull() & (F.col("src_ip") != "") & (F.col("src_ip") != "127.0.0.1")
-    if strategy == "chunked":
-        from .flows_chunked import correlation_tactics_chunked
-        df = correlation_tactics_chunked(df, "src_ip", "ts_us", "packet_id", tac_in, mask, CASCADE_TACTICS)
-    else:
-        df = df.withColumn("corr_tactics", correlation_tactics("src_ip", "ts_us", "packet_id", tac_in, mask, CASCADE_TACTICS))
+    df = correlation_tactics(replace(dealt, rows=df), "ts_us", tac_in, mask, CASCADE_TACTICS)
     k = F.coalesce(F.size("corr_tactics"), F.lit(0))
     esc = k >= C.CORRELATION_MIN_STAGES
     corr_tac = F.concat(F.lit("Multi-Stage: "), F.array_join("corr_tactics", ", "))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no call sites are looked up for each column expression: building wide plans takes half the time
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("NETWATCH_DRIVER_MEMORY", "16g"))
         # whole-stage codegen for wide rule projections (cleaning, DPI) yields methods above the
         # JVM's default JIT size limit; let the JIT compile them (clusters: executor options too)
@@ -64,3 +67,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir``, or a scratch folder only when none is configured)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back: lineage is cut and
+    values are fixed. The files go when the application ends."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/netwatch-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(schema).parquet(path)
