@@ -42,11 +42,13 @@ def subnet24(ip="src_ip") -> Column:
 
 def is_private(ip="src_ip") -> Column:
     """F22 (library rule): private, loopback or unspecified; invalid text counts as private."""
-    v = ip_long(ip)
-    inside = F.lit(False)
-    for lo, hi in C.PRIVATE_RANGES:
-        inside = inside | v.between(_ip_value(lo), _ip_value(hi))
-    return F.when(v.isNull(), F.lit(True)).otherwise(inside)
+    def inside(v):
+        found = v.isNull()
+        for lo, hi in C.PRIVATE_RANGES:
+            found = found | v.between(_ip_value(lo), _ip_value(hi))
+        return found
+
+    return F.exists(F.array(ip_long(ip)), inside)       # an array of one, so that the address is parsed once
 
 
 def is_internal_prefix(ip="src_ip") -> Column:

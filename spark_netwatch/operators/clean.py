@@ -2,97 +2,81 @@
 removal (U1), event-id uniqueness (W9) and run statistics (A21).
 
 One ``select`` applies every column's rule; duplicates are removed with a
-grouped aggregate (map-side partial aggregation); id suffixes come from
-running counts per id (or, with ``id_strategy="chunked"``, a running count per id
-chunked by row-id range for logs where one id may be hot).
+grouped aggregate (map-side partial aggregation); the cleaned rows are written
+once, and id suffixes come from running counts per id over their ids.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_cell, clean_string
 from ..functions.text import nfc
+from ..session import staged
+from .stretches import deal, running
 
 
 def clean_cells(raw: DataFrame, as_of: str, row_id: str = "row_id") -> DataFrame:
     """All rows cleaned, with per-row ``_missing``, ``_invalid`` counts and ``_dirty`` flag."""
     cols = [c for c in raw.columns if c != row_id]
-    staged = raw.select(row_id, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_o_{c}") for c in cols],
-                        *[nfc(clean_string(F.col(c).cast("string"))).alias(f"_v_{c}") for c in cols])
+    texts = raw.select(row_id, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_o_{c}") for c in cols],
+                       *[nfc(clean_string(F.col(c).cast("string"))).alias(f"_v_{c}") for c in cols])
     cells = {c: clean_cell(c, F.col(f"_v_{c}"), F.col(row_id), as_of) for c in cols}
     missing = reduce(lambda a, b: a + b, [cells[c].missing for c in cols])
     invalid = reduce(lambda a, b: a + b, [cells[c].invalid for c in cols])
-    staged = staged.select(row_id, *[F.col(f"_o_{c}") for c in cols], *[cells[c].value.alias(c) for c in cols],
-                           missing.alias("_missing"), invalid.alias("_invalid"))
+    rows = texts.select(row_id, *[F.col(f"_o_{c}") for c in cols], *[cells[c].value.alias(c) for c in cols],
+                        missing.alias("_missing"), invalid.alias("_invalid"))
     dirty = reduce(lambda a, b: a | b, [F.col(c) != F.col(f"_o_{c}") for c in cols])
-    return staged.select(row_id, *cols, "_missing", "_invalid", dirty.alias("_dirty"))
+    return rows.select(row_id, *cols, "_missing", "_invalid", dirty.alias("_dirty"))
 
 
-ID_CHUNK_ROWS = 1_000_000
-
-
-def _suffix_ids(df: DataFrame, row_id: str, id_col: str = "Event_ID", strategy: str = "window") -> DataFrame:
+def _suffix_ids(df: DataFrame, row_id: str, id_col: str = "Event_ID", parts: int | None = None) -> DataFrame:
     """2nd, 3rd ... occurrence of an id (in row order) gets ``_dup1``, ``_dup2`` ...,
     passing over numbers whose id stands in the log already.
 
-    ``window``: running counts partitioned by the id (an id repeated across a
-    large share of the log lands in one task). ``chunked``: running counts per id
-    chunked by row-id range, number range and rank range
-    (``flows_chunked._chunked_running``), which spreads such an id over many tasks
-    at the price of evaluating the input twice more (for the per-chunk totals).
+    Counts per id run over the stretches of an id (``stretches``), so an id that a large share of the log
+    repeats is spread over tasks; only (row, id) takes part, and only repeats get a new id.
 
     The numbers that stand in the log are rows (id, number). The i-th of an id,
     k, has k - i free numbers before it, so the suffixes from rank k - i + 1 on
     pass over it: a rank's number is the rank plus the count of these.
     """
-    from .flows_chunked import _chunked_running
-
-    def running(rows: DataFrame, value, place: str, order: list, out: str) -> DataFrame:
-        if strategy != "chunked":
-            over = Window.partitionBy(id_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            return rows.withColumn(out, F.sum(value).over(over))
-        staged = rows.withColumn("_idc", F.floor(F.col(place) / F.lit(ID_CHUNK_ROWS)).cast("bigint"))
-        return _chunked_running(staged, [id_col], "_idc", order, {out: value}).drop("_idc")
-
+    one = F.lit(1).cast("long")
+    columns = df.columns
+    # written once, as it is read three times below; row ids may repeat, so rows get a number
+    df = staged(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ids = df.select("_row", row_id, id_col)
     # cleaned ids are never empty (missing ids are recovered), so ids without a number make one
-    # row of the empty id; a predicate on the id would be pushed into every cleaning branch
+    # row of the empty id
     numbered = r"(?s)^(.*)_dup([1-9][0-9]{0,17})\z"
-    taken = df.select(F.regexp_extract(id_col, numbered, 1).alias(id_col),
-                      F.expr(f"try_cast(regexp_extract({id_col}, r'{numbered}', 2) AS bigint)").alias("_k")).distinct()
-    taken = running(taken, F.lit(1).cast("long"), "_k", ["_k"], "_i").select(
-        id_col, (F.col("_k") - F.col("_i") + 1).alias("_rank"), F.lit(1).cast("long").alias("_one"))
-    ranked = running(df, F.lit(1).cast("long"), row_id, [row_id], "_rn")
-    ranked = ranked.withColumn("_rank", F.col("_rn") - 1).withColumn("_one", F.lit(0).cast("long"))
-    both = running(ranked.unionByName(taken, allowMissingColumns=True), F.col("_one"), "_rank", ["_rank", F.desc("_one")], "_past")
-    dup = F.col("_rank") > 0
+    taken = ids.select(F.regexp_extract(id_col, numbered, 1).alias(id_col),
+                       F.expr(f"try_cast(regexp_extract({id_col}, r'{numbered}', 2) AS bigint)").alias("_k")).filter("_k IS NOT NULL").distinct()
+    taken = running(deal(taken, id_col, "_k", parts), {"_i": (F.sum, one)}, ["_k"]).select(
+        id_col, (F.col("_k") - F.col("_i") + 1).alias("_rank"), one.alias("_one"))
+    repeats = running(deal(ids, id_col, row_id, parts), {"_rn": (F.sum, one)}, [row_id, "_row"]).filter("_rn > 1")
+    repeats = staged(repeats.select("_row", id_col, (F.col("_rn") - 1).alias("_rank"), F.lit(0).cast("long").alias("_one")), "repeats")
+    both = running(deal(repeats.unionByName(taken, allowMissingColumns=True), id_col, "_rank", parts), {"_past": (F.sum, F.col("_one"))}, ["_rank"], peers=True)
     suffixed = F.concat(F.col(id_col), F.lit("_dup"), (F.col("_rank") + F.col("_past")).cast("string"))
-    return (both.filter("_rn IS NOT NULL").withColumn("_suffixed", dup)
-            .withColumn(id_col, F.when(dup, suffixed).otherwise(F.col(id_col)))
-            .drop("_rn", "_rank", "_one", "_past"))
+    new = both.filter("_row IS NOT NULL").select("_row", suffixed.alias("_new"))
+    return (df.join(new, "_row", "left").withColumns({id_col: F.coalesce("_new", id_col), "_suffixed": F.col("_new").isNotNull()})
+            .select(*columns, "_suffixed"))
 
 
-def clean_event_log(raw: DataFrame, as_of: str, row_id: str = "row_id", compat: bool = False,
-                    id_strategy: str = "window") -> DataFrame:
+def clean_event_log(raw: DataFrame, as_of: str, row_id: str = "row_id", compat: bool = False, parts: int | None = None) -> DataFrame:
     """Cleaned rows (text columns) plus ``_dirty`` and ``_suffixed``.
 
     Default: exact duplicates (same cleaned text in every column) are removed
     first, keeping the earliest row, then ids are made unique. ``compat=True``
-    suffixes ids first, as the reference does (SURVEY Q6). ``id_strategy``: see
-    ``_suffix_ids``.
+    suffixes ids first, as the reference does (SURVEY Q6).
     """
     cols = [c for c in raw.columns if c != row_id]
     cells = clean_cells(raw, as_of, row_id)
-    if compat:
-        suffixed = (_suffix_ids(cells, row_id, strategy=id_strategy) if "Event_ID" in cols
-                    else cells.withColumn("_suffixed", F.lit(False)))
-        return _dedupe(suffixed, cols, row_id)
-    kept = _dedupe(cells, cols, row_id)
-    return (_suffix_ids(kept, row_id, strategy=id_strategy) if "Event_ID" in cols
-            else kept.withColumn("_suffixed", F.lit(False)))
+    rows = cells if compat else _dedupe(cells, cols, row_id)
+    rows = _suffix_ids(rows, row_id, parts=parts) if "Event_ID" in cols else rows.withColumn("_suffixed", F.lit(False))
+    return _dedupe(rows, cols, row_id) if compat else rows
 
 
 def _dedupe(df: DataFrame, cols: list[str], row_id: str) -> DataFrame:

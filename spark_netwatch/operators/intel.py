@@ -5,8 +5,8 @@ escalation (A17).
 Dimension sizes come from data, so no join here carries a broadcast hint:
 AQE measures the built side at run time and switches to a broadcast join only
 when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``. Range
-lookups are equi-joins on an address bucket plus a BETWEEN filter, never a
-nested loop.
+lookups are running minima or maxima over ranges and addresses in one order
+(``stretches``), linear in both; no address is paired with a range.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.net import ip_long, is_private, subnet24
+from .stretches import deal_all, running
 
 # ---------------------------------------------------------------- IOC feeds
 
@@ -48,10 +49,18 @@ def ioc_semi(df: DataFrame, iocs: DataFrame, ip: str = "src_ip") -> DataFrame:
 # ---------------------------------------------------------------- block lists
 
 
-def drop_blocked(packets: DataFrame, blocks: DataFrame, ip: str = "src_ip", ts: str = "ts_us") -> DataFrame:
-    """Anti-join on the address with the packet time inside ``[from_us, until_us)``."""
-    b = blocks.select(F.col("ip").alias("_bip"), F.col("from_us").alias("_from"), F.col("until_us").alias("_until"))
-    cond = (F.col(ip) == F.col("_bip")) & (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_until"))
+def drop_blocked(packets: DataFrame, blocks: DataFrame, ip: str = "src_ip", ts: str = "ts_us", slice_s: int = C.BLOCK_TTL_SECONDS) -> DataFrame:
+    """Anti-join on the address with the packet time inside ``[from_us, until_us)``.
+
+    A block is a row for each slice of ``slice_s`` that it touches, and packets meet it in their own
+    slice: a source's packets are spread over its slices, each of which has few blocks.
+    """
+    width = slice_s * 1_000_000
+    b = blocks.select(F.col("ip").alias("_bip"), F.col("from_us").alias("_from"), F.col("until_us").alias("_until")).filter("_from < _until")
+    first, last = F.floor(F.col("_from") / F.lit(width)), F.floor((F.col("_until") - 1) / F.lit(width))
+    b = b.select("*", F.explode(F.sequence(first, last)).alias("_bslice"))
+    cond = ((F.col(ip) == F.col("_bip")) & (F.floor(F.col(ts) / F.lit(width)) == F.col("_bslice"))
+            & (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_until")))
     return packets.join(b, cond, "left_anti")
 
 
@@ -63,21 +72,19 @@ def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
     return lo, lo + size - 1
 
 
-def in_blocked_cidr(df: DataFrame, cidrs: DataFrame, ip: str = "src_ip", flag: str = "cidr_blocked") -> DataFrame:
+def in_blocked_cidr(df: DataFrame, cidrs: DataFrame, ip: str = "src_ip", flag: str = "cidr_blocked", parts: int | None = None) -> DataFrame:
     """Address inside any blocked CIDR.
 
-    Each CIDR is expanded to the /16 buckets it covers (one bucket for /16 and
-    longer prefixes), then joined on bucket with a BETWEEN filter.
+    Networks and distinct addresses are put in one order; an address is inside when the furthest end of
+    the networks that start before it reaches it. No address is paired with a network.
     """
     lo, hi = cidr_bounds(F.col("cidr"))
-    nets = cidrs.select(lo.alias("_lo"), hi.alias("_hi"))
-    nets = nets.select("*", F.explode(F.sequence(F.shiftright("_lo", 16), F.shiftright("_hi", 16))).alias("_bk"))
-    v = ip_long(ip)
-    probe = df.withColumn("_ipl", v).withColumn("_bk", F.shiftright("_ipl", 16))
-    hits = (probe.select("_ipl", "_bk").distinct()
-            .join(nets, "_bk").filter(F.col("_ipl").between(F.col("_lo"), F.col("_hi")))
-            .select("_ipl").distinct().withColumn(flag, F.lit(True)))
-    return probe.join(hits, "_ipl", "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop("_ipl", "_bk")
+    marks = (cidrs.select(lo.alias("at"), hi.alias("hi")).filter("at IS NOT NULL")
+             .unionByName(df.select(ip_long(ip).alias("at")).distinct().filter("at IS NOT NULL"), allowMissingColumns=True))
+    rows = running(deal_all(marks, "at", parts), {"_end": (F.max, F.col("hi"))}, ["at"], peers=True)
+    hits = rows.filter("hi IS NULL AND _end >= at").select(F.col("at").alias("_ipl"), F.lit(True).alias(flag))
+    probe = df.withColumn("_ipl", ip_long(ip))
+    return probe.join(hits, "_ipl", "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop("_ipl")
 
 # ---------------------------------------------------------------- vendor fusion
 
@@ -144,19 +151,22 @@ def fuse_reputation(scores: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- geo
 
 
-def geo_lookup(df: DataFrame, ranges: DataFrame, ip: str = "src_ip") -> DataFrame:
+def geo_lookup(df: DataFrame, ranges: DataFrame, ip: str = "src_ip", parts: int | None = None) -> DataFrame:
     """Private -> Local/Internal/0/0; in a range -> its place; else Unknown/0/0.
 
-    Ranges are expanded to the /16 buckets they span and equi-joined on bucket.
+    Ranges, at their ends, and distinct public addresses are put in one order, from the highest down. Of
+    the ranges that end at or after an address, the one of the lowest start is the running minimum
+    there; the address lies in it, or in none. No address is paired with a range.
     """
-    r = ranges.select("ip_lo", "ip_hi", "country", "city", "lat", "lon")
-    r = r.select("*", F.explode(F.sequence(F.shiftright("ip_lo", 16), F.shiftright("ip_hi", 16))).alias("_bk"))
-    keys = df.select(F.col(ip).alias("_ip")).distinct().select("_ip", ip_long(F.col("_ip")).alias("_ipl"))
-    keys = keys.withColumn("_bk", F.shiftright("_ipl", 16))
-    hit = (keys.join(r, "_bk").filter(F.col("_ipl").between(F.col("ip_lo"), F.col("ip_hi")))
-           .groupBy("_ip").agg(F.min_by(F.struct("country", "city", "lat", "lon"), F.col("ip_lo")).alias("_g")))
-    out = df.join(hit, F.col(ip) == F.col("_ip"), "left")
     private = is_private(F.col(ip))
+    keys = df.filter(~private).select(F.col(ip).alias("_ip")).distinct()
+    ranges = ranges.filter("ip_lo <= ip_hi")
+    marks = (ranges.select((-F.col("ip_hi")).alias("at"), "ip_lo")
+             .unionByName(keys.select((-ip_long(F.col("_ip"))).alias("at"), "_ip").filter("at IS NOT NULL"), allowMissingColumns=True))
+    rows = running(deal_all(marks, "at", parts), {"_lo": (F.min, F.col("ip_lo"))}, ["at"], peers=True)
+    places = ranges.groupBy(F.col("ip_lo").alias("_lo")).agg(F.max_by(F.struct("country", "city", "lat", "lon"), "ip_hi").alias("_g"))
+    hit = rows.filter("_ip IS NOT NULL AND _lo <= -at").select("_ip", "_lo").join(places, "_lo")
+    out = df.join(hit, F.col(ip) == F.col("_ip"), "left")
     return out.select(
         *[F.col(c) for c in df.columns],
         F.when(private, "Local").otherwise(F.coalesce(F.col("_g.country"), F.lit("Unknown"))).alias("country"),

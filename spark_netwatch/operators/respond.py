@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -87,6 +87,20 @@ def block_rate(blocks: DataFrame, limit: int = C.MAX_BLOCKS_PER_MINUTE) -> DataF
             .withColumn("over_limit", F.col("blocks") > limit))
 
 
+def trailing_block_rate(blocks: DataFrame, limit: int = C.MAX_BLOCKS_PER_MINUTE, window_s: int = 60) -> DataFrame:
+    """With each block, the blocks of all sources in the ``window_s`` up to it (its own instant included).
+
+    A block is counted in the slice of ``window_s`` that it lies in and, as a row from before, in the
+    next one; each slice is a window of its own, so no task orders the blocks of all time.
+    """
+    width = window_s * US
+    own = blocks.select("event_id", "ip", "from_us", F.floor(F.col("from_us") / F.lit(width)).alias("_slice"), F.lit(True).alias("_own"))
+    before = own.select("event_id", "ip", "from_us", (F.col("_slice") + 1).alias("_slice"), F.lit(False).alias("_own"))
+    w = Window.partitionBy("_slice").orderBy("from_us").rangeBetween(-width, 0)
+    rows = own.unionByName(before).withColumn("recent_blocks", F.count(F.lit(1)).over(w)).filter("_own")
+    return rows.select("event_id", "ip", "from_us", "recent_blocks", (F.col("recent_blocks") > limit).alias("over_limit"))
+
+
 def active_blocks(blocks: DataFrame, as_of_us: int) -> DataFrame:
     """Blocks in force at ``as_of_us`` with their remaining seconds."""
     return (blocks.filter((F.col("from_us") <= as_of_us) & (F.col("until_us") > as_of_us))

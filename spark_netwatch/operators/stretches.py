@@ -86,6 +86,11 @@ def deal(df: DataFrame, key: str, ts: str, parts: int | None = None) -> Dealt:
     return Dealt(dealt.drop("_heavy", "_cuts"), heavy, key)
 
 
+def deal_all(df: DataFrame, ts: str, parts: int | None = None) -> Dealt:
+    """``deal`` for one order over all rows, of no key."""
+    return deal(df.withColumn("_all", F.lit(0)), "_all", ts, parts)
+
+
 def running(dealt: Dealt, values: dict[str, tuple[Callable, Column]], order: list[str], peers: bool = False) -> DataFrame:
     """The dealt rows with running aggregates (inclusive) of their key; ``peers``: rows of one instant count for one another."""
     frame = Window.partitionBy(dealt.key, PART).orderBy(*order)

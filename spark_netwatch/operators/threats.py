@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .stretches import deal, running
 
 
 def _ts(value) -> Column:
@@ -136,15 +137,12 @@ def newest_per_ip(df: DataFrame) -> DataFrame:
     return df.groupBy("source_ip").agg(F.max_by(F.struct(*cols), order).alias("t")).select("source_ip", "t.*")
 
 
-def running_reputation(df: DataFrame) -> DataFrame:
-    """W11 + W12: running mean confidence and running max severity per source."""
-    w = Window.partitionBy("source_ip").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+def running_reputation(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """W11 + W12: running mean confidence and running max severity per source, over the stretches of a source."""
     cents = F.round(F.col("confidence") * 100).cast("bigint")
-    return df.select(
-        "event_id", "source_ip",
-        (F.sum(cents).over(w) / F.count(F.lit(1)).over(w) / 100.0).alias("running_avg_confidence"),
-        F.max("severity").over(w).alias("running_max_severity"),
-    )
+    values = {"_cents": (F.sum, cents), "_n": (F.sum, F.lit(1).cast("bigint")), "running_max_severity": (F.max, F.col("severity"))}
+    rows = running(deal(df.select("event_id", "source_ip", "ts_us", "confidence", "severity"), "source_ip", "ts_us", parts), values, ["ts_us", "event_id"])
+    return rows.select("event_id", "source_ip", (F.col("_cents") / F.col("_n") / 100.0).alias("running_avg_confidence"), "running_max_severity")
 
 
 def merge_reputation(stored: DataFrame, batch: DataFrame) -> DataFrame:

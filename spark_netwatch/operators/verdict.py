@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.net import service_flags
 from ..functions.text import byte_entropy
+from ..session import staged
 from .classify import classify_columns, with_mitre
+from .correlate import correlation_tactics
 from .dpi import dpi_scan
 from .flows import dealt_flow_state
-from .stretches import Dealt, deal, running
+from .stretches import deal, deal_all, running
 from .threats import severity_score
 
 US = 1_000_000
@@ -48,15 +50,6 @@ def _sentence(df: DataFrame) -> Column:
                            F.col("src_ip"), act, F.col("unique_ports"), F.col("dur_s"), F.col("n"), F.col("_rate_log"))
 
 
-def correlation_tactics(dealt: Dealt, ts: str, tactic: Column, mask: Column, vocab: list[str],
-                        window_s: int = C.CORRELATION_WINDOW_SECONDS, out: str = "corr_tactics") -> DataFrame:
-    """W5 on a masked subset: the tactics whose last time so far lies in the window; equal times are peers."""
-    last = {f"_last{i}": (F.max, F.when(mask & (tactic == t), F.col(ts))) for i, t in enumerate(vocab)}
-    rows = running(dealt, last, [ts], peers=True)
-    seen = [F.when(F.col(f"_last{i}") >= F.col(ts) - window_s * US, F.lit(t)) for i, t in enumerate(vocab)]
-    return rows.withColumn(out, F.when(mask, F.array_compact(F.array(*seen)))).drop(*last)
-
-
 def verdicts(packets: DataFrame, osint: DataFrame | None = None, iocs: DataFrame | None = None,
              compat: bool = False, forest=None, isolation=None, parts: int | None = None) -> DataFrame:
     """One verdict row per packet (``packets`` must carry ``payload`` bytes).
@@ -291,13 +284,31 @@ def ui_event(v: DataFrame) -> DataFrame:
     )
 
 
+def running_counters(v: DataFrame, idle_seconds: int = C.FLOW_IDLE_SECONDS, parts: int | None = None) -> DataFrame:
+    """P15's counters: packet_id, active_flows, threat_sources at the time of each packet, over all sources.
+
+    A flow is active from its first packet to ``idle_seconds`` after its last one; a source counts as a
+    threat from its first threat on (open loop, SURVEY Q12). Both are running sums of marks over time.
+    """
+    one, none = F.lit(1), F.lit(0)
+    flows = v.groupBy("src_ip", "sess").agg(F.min("ts_us").alias("_from"), F.max("ts_us").alias("_to"))
+    threats = v.filter("is_threat").groupBy("src_ip").agg(F.min("ts_us").alias("ts_us"))
+    marks = (v.select("ts_us", "packet_id", none.alias("_flow"), none.alias("_threat"))
+             .unionByName(flows.select(F.col("_from").alias("ts_us"), F.lit(None).alias("packet_id"), one.alias("_flow"), none.alias("_threat")))
+             .unionByName(flows.select((F.col("_to") + idle_seconds * US + 1).alias("ts_us"), F.lit(None).alias("packet_id"), F.lit(-1).alias("_flow"), none.alias("_threat")))
+             .unionByName(threats.select("ts_us", F.lit(None).alias("packet_id"), none.alias("_flow"), one.alias("_threat"))))
+    sums = {"active_flows": (F.sum, F.col("_flow").cast("bigint")), "threat_sources": (F.sum, F.col("_threat").cast("bigint"))}
+    return running(deal_all(marks, "ts_us", parts), sums, ["ts_us"], peers=True).filter("packet_id IS NOT NULL").select("packet_id", *sums)
+
+
 def event_row(v: DataFrame) -> DataFrame:
     """The 124-column event log row as text.
 
     Values the reference draws at random (MAC, VLAN, stealth, human, anomaly,
     behaviour scores for benign rows) are null here (SURVEY Q14).
     """
-    v = _with_entropy(v)
+    v = staged(_with_entropy(v), "verdicts")        # read twice: for the counters and for the rows
+    v = v.join(running_counters(v), "packet_id")
     t = F.col("is_threat")
     cols: dict[str, Column] = {
         "Timestamp": F.date_format("wall_ts", "yyyy-MM-dd HH:mm:ss"),
@@ -335,7 +346,7 @@ def event_row(v: DataFrame) -> DataFrame:
         "Night_Activity": ((F.hour("wall_ts") >= C.NIGHT_START_HOUR) | (F.hour("wall_ts") <= C.NIGHT_END_HOUR)).cast("int"),
         "Human_Behavior_Score": F.lit(None),
         "Connection_Interval": F.col("connection_interval"), "Session_Duration": F.round("dur_s", 4),
-        "Active_Flow_Count": F.lit(None),
+        "Active_Flow_Count": F.col("active_flows"),
         "Flow_Start_Time": F.date_format(F.timestamp_micros("start_us"), "yyyy-MM-dd HH:mm:ss"),
         "Last_Packet_Time": F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd HH:mm:ss"),
         "Packet_Direction": F.lit("Inbound"), "Traffic_Type": F.when(t, "Malicious").otherwise("Benign"),
@@ -345,7 +356,8 @@ def event_row(v: DataFrame) -> DataFrame:
         "Event_ID": F.concat(F.lit("EVT-"), F.col("packet_id").cast("string")), "Log_Status": F.lit("Logged"),
         "CSV_Log_Row": F.col("packet_id"), "Dashboard_Event": F.lit("Pushed"), "Dashboard_Connection": F.lit("Active"),
         "Live_Alert": F.when(t, "Yes").otherwise("No"), "Security_Report_Status": F.lit("Monitoring"),
-        "Threat_Count": F.lit(None), "Attack_Count": F.lit(None), "Safe_Traffic_Count": F.lit(None),
+        "Threat_Count": F.col("threat_sources"), "Attack_Count": F.col("threat_sources"),
+        "Safe_Traffic_Count": F.greatest(F.col("active_flows") - F.col("threat_sources"), F.lit(0)),
         # The reference never increments its counters; quality is computed from labels by A20
         "Detection_Accuracy": F.lit(0.0), "False_Positive_Rate": F.lit(0.0), "False_Negative_Rate": F.lit(0.0),
         "Precision_Score": F.lit(0.0), "Recall_Score": F.lit(0.0), "F1_Score": F.lit(0.0),

@@ -108,6 +108,12 @@ def w8_rate(spark, sf):
     return respond.block_rate(_blocks(spark, sf))
 
 
+@job("W8_trailing_block_rate", BLOCK_SQL + """SELECT event_id, ip, from_us, CAST(count(*) OVER w AS BIGINT) AS recent_blocks,
+  count(*) OVER w > 50 AS over_limit FROM blocks WINDOW w AS (ORDER BY from_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)""")
+def w8_trailing(spark, sf):
+    return respond.trailing_block_rate(_blocks(spark, sf))
+
+
 @job("A24_active_blocks", BLOCK_SQL + f"""SELECT ip, action, greatest(0, (until_us - {AS_OF_US}) / 1000000) AS remaining_s
 FROM blocks WHERE from_us <= {AS_OF_US} AND until_us > {AS_OF_US}""")
 def a24_active(spark, sf):
