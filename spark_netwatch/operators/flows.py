@@ -39,7 +39,7 @@ ORDER = ["ts_us", "packet_id"]
 
 
 #: Rows of a source before a stretch that the bounded frames (99 and 50 rows) of its first rows reach back to.
-_TAILS = {"_tail": (C.MAX_TIMESTAMPS_PER_FLOW, F.lit(True)), "_sized": (C.SIZE_WINDOW, F.col("packet_size") > 0)}
+_TAILS = {"_tail": (C.MAX_TIMESTAMPS_PER_FLOW, "true"), "_sized": (C.SIZE_WINDOW, "coalesce(packet_size > 0, false)")}
 
 
 def _halo(dealt: Dealt) -> DataFrame:
@@ -48,7 +48,7 @@ def _halo(dealt: Dealt) -> DataFrame:
     fields = [*ORDER, "dst_port", "packet_size"]
     rows = dealt.of_heavy(dealt.rows).select("src_ip", PART, *fields)
     newest = Window.partitionBy("src_ip", PART).orderBy(F.desc("ts_us"), F.desc("packet_id")).rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.withColumns({n: cond & (F.sum(cond.cast("int")).over(newest) <= size) for n, (size, cond) in _TAILS.items()})
+    kept = rows.withColumns({n: F.expr(cond) & (F.sum(F.expr(cond).cast("int")).over(newest) <= size) for n, (size, cond) in _TAILS.items()})
     row = F.struct(*fields)
     lists = kept.groupBy("src_ip", PART).agg(*[F.array_sort(F.collect_list(F.when(F.col(n), row))).alias(n) for n in _TAILS])
     # a list of ``size`` rows reaches back over ``size`` stretches that have rows of its kind at most

@@ -110,8 +110,11 @@ def _features(df: DataFrame, cols) -> list[Column]:
 
 def train_isolation(df: DataFrame, order_col: str, n_trees: int = 100, psi: int = 256,
                     contamination: float = 0.05, seed: int = 42, max_rows: int | None = None,
-                    cols=tuple(C.MODEL_FEATURES), id_col: str = "packet_id") -> IsolationModel:
-    """M4: fit on all rows of ``df``, or (T7) on the newest ``max_rows``; each tree draws its ``psi`` rows over all of them."""
+                    cols=tuple(C.MODEL_FEATURES), id_col: str | None = None) -> IsolationModel:
+    """M4: fit on all rows of ``df``, or (T7) on the newest ``max_rows``; each tree draws its ``psi`` rows over all of them.
+
+    ``id_col`` tells rows apart; ``order_col`` if not given."""
+    id_col = id_col or order_col
     recent = df if max_rows is None else df.orderBy(F.desc(order_col), F.desc(id_col)).limit(max_rows)
     recent = recent.select(F.col(id_col).alias("_rid"), *_features(df, cols))
     from ..session import checkpoint

@@ -70,16 +70,16 @@ def with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
 def deal(df: DataFrame, key: str, ts: str, parts: int | None = None) -> Dealt:
     """Add ``_part``, the number of the row's stretch within its ``key`` in the order of ``ts``."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = staged(df.groupBy(F.col(key).alias("_heavy")).agg(F.count(F.lit(1)).alias("_n")), "counts")
-    total, most = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    counts = staged(df.groupBy(F.col(key).alias("_heavy")).agg(F.count(F.lit(1)).alias("_dealt_n")), "counts")
+    total, most = counts.agg(F.coalesce(F.sum("_dealt_n"), F.lit(0)), F.coalesce(F.max("_dealt_n"), F.lit(0))).first()
     if most * parts <= total:
         return Dealt(df.withColumn(PART, F.lit(0)), counts.limit(0), key, False)
-    heavy = counts.filter(F.col("_n") * parts > total).select("_heavy", F.ceil(F.col("_n") * parts / total).cast("int").alias("_k"))
+    heavy = counts.filter(F.col("_dealt_n") * parts > total).select("_heavy", F.ceil(F.col("_dealt_n") * parts / total).cast("int").alias("_dealt_k"))
     grid = F.array(*[F.lit((i + 1) / parts) for i in range(parts)])
     rows = df.select(key, ts).join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("_heavy")))
-    quantiles = rows.groupBy("_heavy").agg(F.max("_k").alias("_k"), F.percentile_approx(ts, grid, F.lit(ACCURACY)).alias("_q"))
-    step = F.lit(float(parts)) / F.col("_k")
-    chosen = F.transform(F.sequence(F.lit(1), F.col("_k")), lambda i: F.element_at("_q", F.greatest(F.lit(1), F.round(i * step)).cast("int")))
+    quantiles = rows.groupBy("_heavy").agg(F.max("_dealt_k").alias("_dealt_k"), F.percentile_approx(ts, grid, F.lit(ACCURACY)).alias("_dealt_q"))
+    step = F.lit(float(parts)) / F.col("_dealt_k")
+    chosen = F.transform(F.sequence(F.lit(1), F.col("_dealt_k")), lambda i: F.element_at("_dealt_q", F.greatest(F.lit(1), F.round(i * step)).cast("int")))
     heavy = staged(quantiles.select("_heavy", F.array_distinct(chosen).alias("_cuts")), "cuts")
     part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(ts))), F.lit(0))
     dealt = df.join(F.broadcast(heavy), F.col(key).eqNullSafe(F.col("_heavy")), "left").withColumn(PART, part)

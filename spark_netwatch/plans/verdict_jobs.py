@@ -213,6 +213,20 @@ def p14_ui(spark, sf):
     return verdict.ui_event(run_verdicts(spark, sf))
 
 
+@job("P15_counters", VERDICT_BASE + """, fs AS (SELECT src_ip, sess, min(ts_us) AS f, max(ts_us) + 300000000 AS t FROM rk GROUP BY 1, 2),
+ft AS (SELECT src_ip, min(ts_us) AS f FROM vd JOIN net_packets USING (packet_id, src_ip) WHERE is_threat GROUP BY 1),
+marks AS (SELECT ts_us AS mark_us, packet_id, 0 AS flow, 0 AS threat FROM net_packets WHERE packet_id IN (SELECT packet_id FROM vd)
+  UNION ALL SELECT f, NULL, 1, 0 FROM fs UNION ALL SELECT t + 1, NULL, -1, 0 FROM fs UNION ALL SELECT f, NULL, 0, 1 FROM ft)
+SELECT packet_id, CAST(active AS BIGINT) AS active_flows, CAST(threats AS BIGINT) AS threat_sources,
+  CAST(greatest(active - threats, 0) AS BIGINT) AS safe_flows
+FROM (SELECT packet_id, sum(flow) OVER w AS active, sum(threat) OVER w AS threats FROM marks
+      WINDOW w AS (ORDER BY mark_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE packet_id IS NOT NULL""")
+def p15_counters(spark, sf):
+    rows = verdict.event_row(run_verdicts(spark, sf))
+    return rows.select(F.col("Dataset_Row_ID").cast("bigint").alias("packet_id"), F.col("Active_Flow_Count").cast("bigint").alias("active_flows"),
+                       F.col("Threat_Count").cast("bigint").alias("threat_sources"), F.col("Safe_Traffic_Count").cast("bigint").alias("safe_flows"))
+
+
 @job("P15_event_row")
 def p15_row(spark, sf):
     return verdict.event_row(run_verdicts(spark, sf))

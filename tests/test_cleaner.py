@@ -78,22 +78,14 @@ def test_required_id_and_uniqueness(spark):
     assert (s.total_rows, s.duplicate_rows_removed) == (5, 1)
 
 
-def test_chunked_id_suffixes_equal_window(spark):
+def test_id_suffixes_over_many_stretches_equal_one(spark):
     rows = [(i, "EVT-HOT" if i % 3 else f"EVT-{i}", f"m{i}") for i in range(2500)]
     df = spark.createDataFrame(rows, "row_id long, Event_ID string, Detection_Method string")
-    import spark_netwatch.operators.clean as cl
-    old = cl.ID_CHUNK_ROWS
-    cl.ID_CHUNK_ROWS = 100          # many chunks for the hot id
-    try:
-        a = {(r.row_id, r.Event_ID) for r in clean_event_log(df, AS_OF).collect()}
-        b = {(r.row_id, r.Event_ID) for r in clean_event_log(df, AS_OF, id_strategy="chunked").collect()}
-    finally:
-        cl.ID_CHUNK_ROWS = old
+    a, b = ({(r.row_id, r.Event_ID) for r in clean_event_log(df, AS_OF, parts=n).collect()} for n in (1, 40))
     assert a == b and len([1 for _, e in a if "_dup" in e]) == 1665
 
 
 def test_id_suffixes_pass_over_many_taken_numbers(spark):
-    import spark_netwatch.operators.clean as cl
     # every third row the hot id, every third one of its numbers; odd numbers, repeats and look-alikes besides
     ids = [("H", f"H_dup{i // 2 + 1}", f"E{i}")[i % 3] for i in range(6000)]
     ids += ["H_dup03", "H_dup0", "H_dup1_dup1", "H_dup2", "H_dup2", "_dup1", "_dup1", "H_dup9999999999", "H_dup99999999999999999999", "H_dupx", "E0", "E2"]
@@ -109,13 +101,8 @@ def test_id_suffixes_pass_over_many_taken_numbers(spark):
         seen.add(v)
         want.append(out)
     assert len(set(want)) == len(want)
-    old = cl.ID_CHUNK_ROWS
-    cl.ID_CHUNK_ROWS = 100
-    try:
-        for strategy in ("window", "chunked"):
-            rows = clean_event_log(df, AS_OF, id_strategy=strategy)
-            plan = rows._jdf.queryExecution().toString()
-            assert "collect_set" not in plan and "sequence(" not in plan
-            assert [r.Event_ID for r in sorted(rows.collect(), key=lambda r: r.row_id)] == want
-    finally:
-        cl.ID_CHUNK_ROWS = old
+    for parts in (1, 30):
+        rows = clean_event_log(df, AS_OF, parts=parts)
+        plan = rows._jdf.queryExecution().toString()
+        assert "collect_set" not in plan and "sequence(" not in plan
+        assert [r.Event_ID for r in sorted(rows.collect(), key=lambda r: r.row_id)] == want

@@ -6,8 +6,6 @@ from conftest import SF001
 from spark_netwatch.functions.text import base64_unwrap, byte_entropy
 from spark_netwatch.operators import clean, dpi
 from spark_netwatch.operators.correlate import correlate
-from spark_netwatch.operators.flows_chunked import correlation_tactics_chunked
-from spark_netwatch.operators.verdict import correlation_tactics
 from spark_netwatch.sources.fixtures import view
 from spark_netwatch.streaming import twins
 
@@ -21,18 +19,15 @@ def test_base64_is_unwrapped_with_white_space_around_it(spark):
 def test_events_of_one_instant_are_peers(spark):
     rows = [("9.9.9.9", 10**9, f"e{i}", t, 5.0, 50.0) for i, t in enumerate(["Discovery", "Execution", "Impact"])]
     df = spark.createDataFrame(rows, "source_ip string, ts_us long, event_id string, mitre_tactic string, severity double, confidence double")
-    assert [r.stages for r in correlate(df).collect()] == [3, 3, 3]
-    vocab, mask = ["Discovery", "Execution", "Impact"], F.col("severity") > 0
-    plain = df.select(correlation_tactics("source_ip", "ts_us", "event_id", F.col("mitre_tactic"), mask, vocab).alias("t"))
-    chunked = correlation_tactics_chunked(df, "source_ip", "ts_us", "event_id", F.col("mitre_tactic"), mask, vocab, out="t")
-    assert [r.t for r in plain.collect()] == [r.t for r in chunked.select("t").collect()] == [vocab] * 3
+    for parts in (1, 9):
+        assert [(r.stages, r.tactics) for r in correlate(df, parts=parts).collect()] == [(3, ["Discovery", "Execution", "Impact"])] * 3
 
 
 def test_suffixed_ids_pass_over_ids_in_the_log(spark):
     ids = ["X_dup1", "X", "X", "X", "X_dup1", "Y", "Y"]
     df = spark.createDataFrame(list(enumerate(ids)), "row_id long, Event_ID string")
-    for strategy in ("window", "chunked"):
-        out = [r.Event_ID for r in clean._suffix_ids(df, "row_id", strategy=strategy).orderBy("row_id").collect()]
+    for parts in (1, 5):
+        out = [r.Event_ID for r in clean._suffix_ids(df, "row_id", parts=parts).orderBy("row_id").collect()]
         assert out == ["X_dup1", "X", "X_dup2", "X_dup3", "X_dup1_dup1", "Y", "Y_dup1"]
 
 
