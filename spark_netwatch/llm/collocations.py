@@ -174,6 +174,8 @@ def _pair_filter(docs: DataFrame, bitmap: np.ndarray, least: int, chunk: int) ->
     def sums(batches):
         for counter in _chunks(batches, chunk):
             slots, count = np.unique(counter.pair_slots(bitmap), return_counts=True)
+            if not len(slots):
+                continue
             low, count = (slots % BLOCK).astype(np.uint16), np.minimum(count, least).astype(kind)      # a count that reaches ``least`` says enough
             blocks, first = np.unique(slots // BLOCK, return_index=True)
             ends = [*first[1:], len(slots)]

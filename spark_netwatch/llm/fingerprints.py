@@ -36,8 +36,8 @@ def root(text: Column) -> Column:
 
 
 def leaves(text: Column) -> Column:
-    """Distinct hashes of the leaves: up to LEAF code points of one paragraph each."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"[^\n]{{1,{LEAF}}}\n?|\n"), F.lit(0)), lambda x: F.hash(x)))
+    """Distinct 64-bit hashes of the leaves: up to LEAF code points of one paragraph each."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"[^\n]{{1,{LEAF}}}\n?|\n"), F.lit(0)), lambda x: F.xxhash64(x)))
 
 
 def likeness(a: Column, b: Column) -> Column:

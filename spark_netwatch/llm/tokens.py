@@ -37,7 +37,8 @@ class Ids:
     The vocabulary of the ``tokenizers`` file is read into the faster ``tiktoken``, whose ids are
     the same (a test compares the two). In the byte-level pattern a space between two visible
     characters always starts a new pre-token, so a text's ids are those of its space-led words in
-    turn. Texts with other white space beside a space are encoded whole.
+    turn. Texts with other white space beside a space, or with a special token written out (which is
+    that token's id, as in the library), are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,7 +50,9 @@ class Ids:
         byte_of = byte_characters()
         ranks = {bytes(byte_of[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
         assert max(ranks.values()) < 1 << 16
-        self.ids = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={x["content"]: x["id"] for x in model["added_tokens"]})
+        self.ids, self.special = encoding.encode_ordinary, sorted(special)
+        self.whole_ids = lambda text: encoding.encode(text, allowed_special="all")
         self.kept: dict[str, bytes] = {}
 
     def _of(self, words: list[str]) -> list[bytes]:
@@ -75,6 +78,8 @@ class Ids:
         odd_word = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(words), words), pc.equal(pc.binary_length(words), 0)).to_numpy(zero_copy_only=False)
         odd = np.zeros(len(n), bool)
         odd[row[odd_word[at]]] = True
+        for content in self.special:
+            odd |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         used = ~odd[row]
         key = at + np.where(first, 0, len(words))
         seen = np.zeros(2 * len(words), bool)
@@ -83,7 +88,7 @@ class Ids:
         led = words.take(pa.array(unit[unit >= len(words)] - len(words))).to_pylist()
         ids = self._of(words.take(pa.array(unit[unit < len(words)])).to_pylist() + [" " + w for w in led])
         whole = np.flatnonzero(odd)
-        ids += [np.array(self.ids(texts[int(i)].as_py()), np.uint16).tobytes() for i in whole]
+        ids += [np.array(self.whole_ids(texts[int(i)].as_py()), np.uint16).tobytes() for i in whole]
         place = np.cumsum(seen) - 1
         # one entry a word, or one for a whole odd text, in the order of the texts
         keys = np.concatenate([place[key[used]], len(unit) + np.arange(len(whole))])

@@ -56,6 +56,8 @@ def eigenvectors(a: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarra
             break
         before = change
         x = _clusters_solved(a, x, values, change)
+    for _ in range(2):              # within a cluster the last turn is exact to first order only: make the columns orthogonal again
+        x = x + x @ (np.eye(d) - x.T @ x) / 2
     order = np.argsort(-values)
     x = x[:, order] / np.sqrt(np.sum(x[:, order] ** 2, axis=0))
     return values[order] * scale, x
