@@ -7,10 +7,10 @@ folding each key's events in one task breaks when one key holds a large share
 of the rows. The job here is exact and spreads every key over many tasks:
 
 1. successor: ``nxt(e)`` = first event of the key at or after ``t(e) + gap``.
-   With epochs of width ``gap`` that target always lies in epoch ``b(e) + 1``,
-   so the search is a window over ``(key, epoch)`` groups (time-salted) plus a
-   fallback to the first event of the next non-empty epoch, found on the
-   per-(key, epoch) summary whose size is bounded by time span / gap.
+   Events and probes (each event's ``t + gap``) are put in one order, from the
+   latest down; the successor is the running minimum of (time, id) there, over
+   the stretches of the key (``stretches``), so that no task holds all of a
+   key's events, nor all of one gap's.
 2. chain: accepted = the chain ``head, nxt(head), nxt(nxt(head)) ...`` from
    each key's first event, marked by pointer doubling: round k joins the
    marked set with the 2^k-jump table and squares the table. Joins are on
@@ -24,44 +24,30 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stretches import deal, running
+
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     from ..session import checkpoint
     return checkpoint(df)
 
 
-def successors(events: DataFrame, key: str, ts: str, eid: str, gap: int) -> DataFrame:
-    """(eid, key, ts, nxt): next event id at or after ts + gap within the key, null if none."""
+def successors(events: DataFrame, key: str, ts: str, eid: str, gap: int, parts: int | None = None) -> DataFrame:
+    """(id, k, t, nxt): next event id at or after ts + gap within the key, null if none."""
     ev = events.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(eid).alias("id"))
-    ev = ev.withColumn("b", F.floor(F.col("t") / F.lit(gap)).cast("bigint"))
-    # (1) inside the next epoch: probes at t + gap sorted with that epoch's events
-    probes = ev.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + gap).alias("t"),
-                       F.lit(0).alias("kind"), F.col("id").alias("src"), F.lit(None).cast(ev.schema["id"].dataType).alias("id"))
-    points = ev.select("k", "b", "t", F.lit(1).alias("kind"), F.lit(None).cast(ev.schema["id"].dataType).alias("src"), "id")
-    w = (Window.partitionBy("k", "b").orderBy(F.desc("t"), F.desc("kind"), F.desc("id"))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    found = (probes.unionByName(points)
-             .withColumn("hit", F.last(F.when(F.col("kind") == 1, F.col("id")), ignorenulls=True).over(w))
-             .filter(F.col("kind") == 0).select(F.col("src").alias("id"), F.col("hit")))
-    # (2) fallback: first event of the first non-empty epoch after b + 1
-    firsts = ev.groupBy("k", "b").agg(F.min_by("id", F.struct("t", "id")).alias("first_id"))
-    wk = Window.partitionBy("k").orderBy("b")
-    fb = firsts.select(
-        "k", "b",
-        F.when(F.lead("b", 1).over(wk) == F.col("b") + 1, F.lead("first_id", 2).over(wk))
-         .otherwise(F.lead("first_id", 1).over(wk)).alias("fallback"),
-    )
-    out = (ev.join(found, "id", "left").join(fb, ["k", "b"], "left")
-           .select("id", "k", "t", F.coalesce("hit", "fallback").alias("nxt")))
-    return out
+    marks = ev.select("k", F.explode(F.array(F.lit(False), F.lit(True))).alias("probe"), "t", "id")
+    marks = marks.withColumn("at", -F.when(F.col("probe"), F.col("t") + gap).otherwise(F.col("t")))
+    first = F.when(~F.col("probe"), F.struct("t", "id"))
+    rows = running(deal(marks, "k", "at", parts), {"nxt": (F.min, first)}, ["at"], peers=True)
+    return rows.filter("probe").select("id", "k", "t", F.col("nxt.id").alias("nxt"))
 
 
-def greedy_accept(events: DataFrame, key: str, ts: str, eid: str, gap: int) -> DataFrame:
-    """``events`` plus boolean ``accepted`` (event ids must be unique)."""
-    succ = _checkpoint(successors(events, key, ts, eid, gap))
+def accepted_ids(events: DataFrame, key: str, ts: str, eid: str, gap: int, parts: int | None = None) -> DataFrame:
+    """(id) of each accepted event (event ids must be unique)."""
+    succ = _checkpoint(successors(events, key, ts, eid, gap, parts))
     # accepted events are at least ``gap`` apart, so no chain is longer than span / gap + 1:
     # that bounds the doubling rounds up front (one small aggregate instead of a check per round)
     span = succ.groupBy("k").agg((F.max("t") - F.min("t")).alias("s")).agg(F.max("s")).first()[0] or 0
@@ -80,6 +66,10 @@ def greedy_accept(events: DataFrame, key: str, ts: str, eid: str, gap: int) -> D
             jump = j2.select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt"))
         if (r + 1) % 3 == 0:
             marked, jump = _checkpoint(marked), _checkpoint(jump)
-    marked = marked.withColumn("accepted", F.lit(True))
-    return (events.join(marked.withColumnRenamed("id", eid), eid, "left")
-            .withColumn("accepted", F.coalesce(F.col("accepted"), F.lit(False))))
+    return marked
+
+
+def greedy_accept(events: DataFrame, key: str, ts: str, eid: str, gap: int, parts: int | None = None) -> DataFrame:
+    """``events`` plus boolean ``accepted``."""
+    ids = accepted_ids(events, key, ts, eid, gap, parts).select(F.col("id").alias(eid), F.lit(True).alias("accepted"))
+    return events.join(ids, eid, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.net import is_internal_prefix, subnet24
-from .greedy import greedy_accept
+from .greedy import accepted_ids
 from .threats import severity_label
 
 US = 1_000_000
@@ -26,11 +26,11 @@ def alert_gate(threats: DataFrame, key: str = "source_ip", ts: str = "ts_us", ei
                threshold: float | None = C.ALERT_SEVERITY_THRESHOLD) -> DataFrame:
     """``alert_status`` = below_threshold | sent | suppressed for every row."""
     gated = threats if threshold is None else threats.filter(F.col(severity) >= threshold)
-    acc = greedy_accept(gated.select(key, ts, eid), key, ts, eid, cooldown_s * US).select(eid, "accepted")
-    out = threats.join(acc, eid, "left")
-    status = (F.when(F.col("accepted").isNull(), "below_threshold")
-              .when(F.col("accepted"), "sent").otherwise("suppressed"))
-    return out.withColumn("alert_status", status).drop("accepted")
+    sent = accepted_ids(gated.select(key, ts, eid), key, ts, eid, cooldown_s * US)
+    out = threats.join(sent.select(F.col("id").alias(eid), F.lit(True).alias("_sent")), eid, "left")
+    reached = F.lit(True) if threshold is None else F.coalesce(F.col(severity) >= threshold, F.lit(False))
+    status = F.when(~reached, "below_threshold").when(F.col("_sent"), "sent").otherwise("suppressed")
+    return out.withColumn("alert_status", status).drop("_sent")
 
 
 def alert_counters(gated: DataFrame) -> DataFrame:
@@ -69,8 +69,7 @@ def block_intervals(threats: DataFrame, key: str = "source_ip", ts: str = "ts_us
     One row per block: ip, from_us, until_us, action (BLOCK or QUARANTINE for
     internal prefixes), reason, event_id that opened it.
     """
-    acc = greedy_accept(threats.select(key, ts, eid), key, ts, eid, ttl_s * US).filter("accepted")
-    opened = threats.join(acc.select(eid), eid)
+    opened = threats.join(accepted_ids(threats.select(key, ts, eid), key, ts, eid, ttl_s * US).withColumnRenamed("id", eid), eid)
     lab = F.when(F.col("severity") >= 9.0, "CRITICAL").otherwise("HIGH")
     return opened.select(
         F.col(key).alias("ip"), F.col(ts).alias("from_us"), (F.col(ts) + ttl_s * US).alias("until_us"),

@@ -32,5 +32,14 @@ def test_greedy_one_hot_key_long_chain(spark):
     # one key holding every row, evenly spaced: the chain visits every 3rd event
     rows = [("hot", t * 100, t) for t in range(600)]
     df = spark.createDataFrame(rows, "k string, ts long, id long")
-    got = {r.id for r in greedy_accept(df, "k", "ts", "id", 300).filter("accepted").collect()}
-    assert got == brute(rows, 300)
+    for parts in (1, 7, 300):               # whole key, a few stretches, stretches shorter than the gap
+        got = {r.id for r in greedy_accept(df, "k", "ts", "id", 300, parts).filter("accepted").collect()}
+        assert got == brute(rows, 300)
+
+
+def test_greedy_events_of_one_instant(spark):
+    rows = [("a", t, i) for i, t in enumerate([5, 5, 5, 300, 305, 305, 305, 9000])]
+    df = spark.createDataFrame(rows, "k string, ts long, id long")
+    for parts in (1, 5):
+        got = {r.id for r in greedy_accept(df, "k", "ts", "id", 300, parts).filter("accepted").collect()}
+        assert got == brute(rows, 300)
