@@ -17,25 +17,28 @@ from .source_jobs import S4_SQL
 from .sqlgen import dpi_sql
 
 
-def _stream_of(spark, df, name, order_col, files_per_trigger=8):
+DAY_US = 86_400_000_000
+
+
+def _stream_of(spark, df, name, order_col, files_per_trigger=8, closing=None):
     path = twins.scratch(spark, name)
-    twins.stage_files(df, path, order_col)
+    twins.stage_files(df, path, order_col, closing=closing)
     return twins.source(spark, path, df.schema, files_per_trigger)
 
 
 @job("X1_session_flows", f"SELECT src_ip, start_us, last_us, packets, unique_ports FROM ({A1_SQL})")
 def x1_flows(spark, sf):
     p = v(spark, sf, "net_packets")
-    s = twins.session_flows(_stream_of(spark, p, "x1", "ts_us"))
-    out = twins.run_to_table(spark, s, "x1", mode="complete")
+    s = twins.session_flows(_stream_of(spark, p, "x1", "ts_us", closing=DAY_US))
+    out = twins.run_to_table(spark, s, "x1")
     return out.select("src_ip", "start_us", "last_us", "packets", F.col("unique_ports").cast("bigint").alias("unique_ports"))
 
 
 @job("X7_minute_metrics", ORACLE["A26_minute_activity"])
 def x7_minutes(spark, sf):
-    t = v(spark, sf, "threat_events")
-    s = twins.minute_metrics(_stream_of(spark, t, "x7", "ts_us"))
-    out = twins.run_to_table(spark, s, "x7", mode="update", key="minute")
+    t = v(spark, sf, "threat_events").select(F.unix_micros("timestamp").alias("event_us"), "source_ip", "label", "severity")
+    s = twins.minute_metrics(_stream_of(spark, t, "x7", "event_us", closing=DAY_US), "event_us")
+    out = twins.run_to_table(spark, s, "x7")
     return out.select("minute", "events", "threats", F.col("active_flows").cast("bigint").alias("active_flows"),
                       F.col("blocked_ips").cast("bigint").alias("blocked_ips"))
 
@@ -49,22 +52,19 @@ def x5_flush(spark, sf):
 @job("X3_alert_cooldown_stream", GATE_SQL + "SELECT source_ip, event_id, ts_us FROM gate WHERE alert_status = 'sent'")
 def x3_cooldown(spark, sf):
     t = v(spark, sf, "threat_events").filter("severity >= 7.0").select("source_ip", "event_id", "ts_us")
-    s = twins.greedy_stream(_stream_of(spark, t, "x3", "ts_us"), "source_ip", "ts_us", "event_id", 300)
-    return twins.run_to_table(spark, s, "x3")
+    return twins.greedy_stream(_stream_of(spark, t, "x3", "ts_us", 1), "source_ip", "ts_us", "event_id", 300, "x3")
 
 
 @job("X4_block_ttl_stream", BLOCK_SQL + "SELECT ip AS source_ip, event_id, from_us AS ts_us FROM blocks")
 def x4_blocks(spark, sf):
     t = v(spark, sf, "threat_events").filter("label = 1 AND severity >= 7.0").select("source_ip", "event_id", "ts_us")
-    s = twins.greedy_stream(_stream_of(spark, t, "x4", "ts_us"), "source_ip", "ts_us", "event_id", 3600)
-    return twins.run_to_table(spark, s, "x4")
+    return twins.greedy_stream(_stream_of(spark, t, "x4", "ts_us", 1), "source_ip", "ts_us", "event_id", 3600, "x4")
 
 
 @job("X2_correlation_stream", f"SELECT event_id, source_ip, tactics, stages FROM ({CORR_SQL})")
 def x2_correlation(spark, sf):
     t = v(spark, sf, "threat_events").select("source_ip", "event_id", "ts_us", "mitre_tactic", "severity")
-    s = twins.correlation_stream(_stream_of(spark, t, "x2", "ts_us"))
-    return twins.run_to_table(spark, s, "x2").select("event_id", "source_ip", "tactics", "stages")
+    return twins.correlation_stream(_stream_of(spark, t, "x2", "ts_us", 1), name="x2").select("event_id", "source_ip", "tactics", "stages")
 
 
 @job("X6_incremental_clean", CELLS + f"SELECT min(row_id) AS row_id, {COLS_SQL} FROM cells GROUP BY {COLS_SQL}")

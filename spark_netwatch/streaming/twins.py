@@ -1,24 +1,26 @@
 """Structured Streaming forms of the stateful operators.
 
-Event time + watermark everywhere (the reference is processing-time only).
-Keyed state is small and bounded per key: a last-accepted time (cooldown,
-block TTL) or one last-seen time per tactic (correlation). Each stream has a
-batch twin that must give the same rows.
+Flows and minutes (X1, X7) are aggregated in append mode: the watermark closes
+a session or minute, and its state goes. Cooldown, block TTL and correlation
+(X2-X4) run the batch operator over each micro-batch, with a carry from the
+epochs before: a last accepted time per source, or a last time per source and
+tactic, while it can still matter. A source that fills a micro-batch is cut
+into stretches as in batch. Stores (X5, X6) pass over what is already stored by
+keyed state. Each stream has a batch twin that must give the same rows.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import constants as C
+from ..operators.correlate import correlate
+from ..operators.greedy import accepted_ids
+from ..operators.threats import analysable
 from ..session import ensure_checkpoint_dir
 
 US = 1_000_000
@@ -28,9 +30,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/netwatch-stream-{name}-{uuid.uuid4().hex}"
 
 
-def stage_files(df: DataFrame, path: str, order_col: str, slices: int = 4) -> None:
+def stage_files(df: DataFrame, path: str, order_col: str, slices: int = 4, closing: int | None = None) -> None:
     """Write ``df`` as ``slices`` parquet commits in ``order_col`` order, so a file
-    stream sees time-ordered micro-batches (each commit is one new set of files)."""
+    stream sees time-ordered micro-batches (each commit is one new set of files).
+
+    ``closing``: a last row of nulls but for ``order_col``, so much later than the others. It moves
+    the watermark past them, which closes their windows, and is never given out itself.
+    """
     bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
@@ -40,6 +46,9 @@ def stage_files(df: DataFrame, path: str, order_col: str, slices: int = 4) -> No
     for i in range(slices):
         part = df.filter((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
         part.coalesce(1).write.mode("append").parquet(path)     # one file a commit, so file order is row order
+    if closing:
+        end = [(F.lit(hi + closing) if f.name == order_col else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]
+        df.sparkSession.range(1).coalesce(1).select(*end).write.mode("append").parquet(path)
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -95,88 +104,101 @@ def session_flows(packets: DataFrame, idle_s: int = C.FLOW_IDLE_SECONDS, waterma
         F.min("ts_us").alias("start_us"), F.max("ts_us").alias("last_us"))
 
 
-def minute_metrics(events: DataFrame, watermark: str = "2 minutes") -> DataFrame:
-    """Tumbling 1-minute activity (the streaming form of A26)."""
-    ev = events.withWatermark("timestamp", watermark)
-    return ev.groupBy(F.window("timestamp", "1 minute").alias("w")).agg(
-        F.count(F.lit(1)).alias("events"), F.count_if(F.col("label") == 1).alias("threats"),
-        F.size(F.collect_set("source_ip")).alias("active_flows"),
-        F.size(F.collect_set(F.when((F.col("label") == 1) & (F.col("severity") >= 7.0), F.col("source_ip")))).alias("blocked_ips"),
+def minute_metrics(events: DataFrame, ts: str = "ts_us", watermark: str = "2 minutes") -> DataFrame:
+    """Tumbling 1-minute activity (the streaming form of A26).
+
+    Counts per (minute, source) first, then per minute: a minute's sources are keys of their own, no set of
+    them is kept in one row, and both states go when the watermark passes the minute.
+    """
+    ev = events.withColumn("event_time", F.timestamp_micros(ts)).withWatermark("event_time", watermark)
+    threat = F.col("label") == 1
+    by_source = ev.groupBy(F.window("event_time", "1 minute").alias("w"), "source_ip").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(threat).alias("threats"),
+        F.count_if(threat & (F.col("severity") >= 7.0)).alias("blocking"))
+    return by_source.groupBy(F.window("w", "1 minute").alias("w")).agg(
+        F.sum("events").alias("events"), F.sum("threats").alias("threats"), F.count("source_ip").alias("active_flows"),
+        F.count(F.when(F.col("blocking") > 0, F.col("source_ip"))).alias("blocked_ips"),
     ).select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("minute"), "events", "threats",
              "active_flows", "blocked_ips")
 
 
-# ------------------------------------------------------------------ X3, X4
-def _gap_processor(gap_us: int, key: str, ts: str, eid: str):
-    cols = [key, eid, ts]
-
-    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:                      # block / cooldown expired: drop the key's state
-            state.remove()
-            yield pd.DataFrame([], columns=cols)
-            return
-        frames = list(pdfs)
-        batch = pd.concat(frames, ignore_index=True).sort_values([ts, eid]) if frames else pd.DataFrame(columns=cols)
-        last = state.get[0] if state.exists else None
-        keep = []
-        for t, e in zip(batch[ts].tolist(), batch[eid].tolist()):
-            if last is None or t - last >= gap_us:
-                keep.append((k[0], e, t))
-                last = t
-        if last is not None:
-            expiry_ms = int(last // 1000 + gap_us // 1000)
-            if expiry_ms > state.getCurrentWatermarkMs():
-                state.update((int(last),))
-                state.setTimeoutTimestamp(expiry_ms)
-            else:
-                state.remove()
-        yield pd.DataFrame(keep, columns=cols)
-    return fn
-
-
-def greedy_stream(events: DataFrame, key: str, ts: str, eid: str, gap_s: int) -> DataFrame:
-    """Accepted events per key with a last-accepted-time state."""
-    ev = events.withColumn("event_time", F.timestamp_micros(ts)).withWatermark("event_time", f"{gap_s} seconds")
-    out_schema = f"{key} string, {eid} {dict(events.dtypes)[eid]}, {ts} bigint"
-    return ev.groupBy(key).applyInPandasWithState(
-        _gap_processor(gap_s * US, key, ts, eid), out_schema, "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-# ------------------------------------------------------------------ X2
-def _correlation_processor(window_us: int):
-    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = [] if state.hasTimedOut else list(pdfs)
-        if not frames:                              # the source's tactics have left the window
-            state.remove()
-            yield pd.DataFrame([], columns=["source_ip", "event_id", "tactics", "stages"])
-            return
-        batch = pd.concat(frames, ignore_index=True).sort_values(["ts_us", "event_id"])
-        seen = json.loads(state.get[0]) if state.exists else {}
-        rows = []
-        for t, peers in batch.groupby("ts_us", sort=True):      # events of one instant count for one another
-            seen |= {tac: int(t) for tac in peers["tactic"] if tac != "Unknown"}
-            present = sorted(x for x, when in seen.items() if when >= t - window_us)
-            rows += [(k[0], e, present, len(present)) for e in peers["event_id"]]
-        seen = {x: when for x, when in seen.items() if when >= (batch["ts_us"].max() - window_us)}
-        expiry_ms = int((batch["ts_us"].max() + window_us) // 1000)
-        if expiry_ms > state.getCurrentWatermarkMs():
-            state.update((json.dumps(seen),))
-            state.setTimeoutTimestamp(expiry_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(rows, columns=["source_ip", "event_id", "tactics", "stages"])
-    return fn
-
-
-def correlation_stream(events: DataFrame, window_s: int = C.CORRELATION_WINDOW_SECONDS) -> DataFrame:
-    """Per-source tactic history as one last-seen time per tactic (bounded state)."""
-    ev = (events.filter(F.col("source_ip").isNotNull() & (F.col("source_ip") != "") & (F.col("source_ip") != "127.0.0.1")
-                        & (F.col("severity") != 0))
-          .select("source_ip", "event_id", "ts_us", F.coalesce(F.col("mitre_tactic"), F.lit("Unknown")).alias("tactic"))
-          .withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", f"{window_s} seconds"))
-    return ev.groupBy("source_ip").applyInPandasWithState(
-        _correlation_processor(window_s * US), "source_ip string, event_id string, tactics array<string>, stages int",
-        "seen string", "append", GroupStateTimeout.EventTimeTimeout)
+# ------------------------------------------------------------------ X2, X3, X4
+def run_carried(stream: DataFrame, name: str, rows_schema: str, carry_schema: str, step) -> DataFrame:
+    """Each micro-batch with the carry of the epochs before it: ``step(batch, carry)`` gives its rows and the next carry.
+
+    Both are written as folders of the epoch, the carry last, and a retried epoch replaces its own. An epoch reads one
+    earlier carry; the one before that is deleted, since no retry can need it. The rows are read back.
+    """
+    spark = stream.sparkSession
+    out, at = scratch(spark, f"sink-{name}"), scratch(spark, f"carry-{name}")
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        before = session.createDataFrame([], carry_schema) if epoch == 0 else session.read.schema(carry_schema).parquet(f"{at}/{epoch - 1}")
+        batch.persist()                 # read by the step's several jobs
+        rows, carry = step(batch, before)
+        rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        carry.write.mode("overwrite").parquet(f"{at}/{epoch}")
+        rows.unpersist()
+        batch.unpersist()
+        old = session._jvm.org.apache.hadoop.fs.Path(f"{at}/{epoch - 2}")
+        old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
+
+    run_batches(stream, name, store)
+    return stored(spark, out, spark.createDataFrame([], rows_schema).schema).drop("epoch")
+
+
+def live(carry: DataFrame, batch: DataFrame, ts: str, seen: str, keep_us: int) -> DataFrame:
+    """Carried rows whose time ``seen`` is at most ``keep_us`` before the latest one met (one value, read first)."""
+    latest = [df.agg(F.max(c)).first()[0] for df, c in ((batch, ts), (carry, seen))]
+    latest = max((t for t in latest if t is not None), default=0)
+    return carry.filter(F.col(seen) >= latest - keep_us)
+
+
+def greedy_stream(events: DataFrame, key: str, ts: str, eid: str, gap_s: int, name: str = "greedy") -> DataFrame:
+    """Accepted events per key; the carry is the key's last accepted time.
+
+    An event less than ``gap_s`` after it, or before it, is absorbed; the first of the others starts the chain of the
+    micro-batch, which ``accepted_ids`` spreads over tasks. A key is forgotten after twice the gap, which leaves
+    events that come up to one gap late absorbed as well.
+    """
+    gap = gap_s * US
+    kind = dict(events.dtypes)
+
+    def step(batch: DataFrame, carry: DataFrame) -> tuple[DataFrame, DataFrame]:
+        last = carry.select(F.col(key).alias("_key"), "last_us")
+        fresh = batch.join(last, batch[key].eqNullSafe(F.col("_key")), "left").filter(
+            F.col("last_us").isNull() | (F.col(ts) >= F.col("last_us") + gap)).select(key, eid, ts)
+        ids = accepted_ids(fresh, key, ts, eid, gap).withColumnRenamed("id", eid)
+        rows = fresh.join(ids, eid).select(key, eid, ts).persist()
+        after = rows.select(key, F.col(ts).alias("last_us")).unionByName(carry).groupBy(key).agg(F.max("last_us").alias("last_us"))
+        return rows, live(after, batch, ts, "last_us", 2 * gap)
+
+    return run_carried(events, name, f"{key} {kind[key]}, {eid} {kind[eid]}, {ts} bigint", f"{key} {kind[key]}, last_us bigint", step)
+
+
+def correlation_stream(events: DataFrame, window_s: int = C.CORRELATION_WINDOW_SECONDS, name: str = "correlation") -> DataFrame:
+    """Tactics of the trailing window; the carry is the last time of each (source, tactic).
+
+    The carried times join the micro-batch as rows without an event id, so ``correlate`` sees them in order,
+    cuts hot sources into stretches as in batch, and the rows are dropped again. A time is carried for two windows,
+    so an event that comes up to one window late still meets it.
+    """
+    width = window_s * US
+    carry_schema = "source_ip string, mitre_tactic string, ts_us bigint"
+
+    def step(batch: DataFrame, carry: DataFrame) -> tuple[DataFrame, DataFrame]:
+        met = analysable(batch, "source_ip", "severity").select(
+            "source_ip", "event_id", "ts_us", "mitre_tactic", F.lit(1.0).alias("severity"), F.lit(0.0).alias("confidence"), F.lit(False).alias("_carried"))
+        before = carry.select(
+            "source_ip", F.lit(None).cast("string").alias("event_id"), "ts_us", "mitre_tactic", F.lit(1.0).alias("severity"),
+            F.lit(0.0).alias("confidence"), F.lit(True).alias("_carried"))
+        rows = correlate(met.unionByName(before), window_s=window_s).filter(~F.col("_carried"))
+        tactics = met.filter("mitre_tactic IS NOT NULL AND mitre_tactic <> 'Unknown'").select("source_ip", "mitre_tactic", "ts_us")
+        after = tactics.unionByName(carry).groupBy("source_ip", "mitre_tactic").agg(F.max("ts_us").alias("ts_us"))
+        return rows.select("source_ip", "event_id", "tactics", "stages"), live(after, batch, "ts_us", "ts_us", 2 * width)
+
+    return run_carried(events, name, "source_ip string, event_id string, tactics array<string>, stages int", carry_schema, step)
 
 
 # ------------------------------------------------------------------ X5, X6
