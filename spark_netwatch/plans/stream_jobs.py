@@ -73,6 +73,12 @@ def x6_clean(spark, sf):
     return twins.incremental_clean(_stream_of(spark, raw, "x6", "row_id", 1), AS_OF).select("row_id", *COLS)
 
 
+@job("X6_incremental_clean_ids", ORACLE["D10_clean_event_log"])
+def x6_clean_ids(spark, sf):
+    raw = v(spark, sf, "raw_event_log")
+    return twins.incremental_clean(_stream_of(spark, raw, "x6i", "row_id", 1), AS_OF, "x6i", unique_ids=True).select("row_id", *COLS)
+
+
 @job("X8_packet_handoff", PKT + dpi_sql("pk", "payload_text", "packet_id"))
 def x8_handoff(spark, sf):
     p = packets_with_payload(spark, sf).select("packet_id", "ts_us", "src_ip", "payload")

@@ -15,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import constants as C
 from ..operators.correlate import correlate
@@ -70,20 +70,11 @@ def run_batches(stream: DataFrame, name: str, store, mode: str = "append", proce
         raise RuntimeError(str(q.exception()))
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", key: str | None = None) -> DataFrame:
-    """Run ``stream`` into Parquet, one folder an epoch (a retried epoch replaces its own), and read it back.
-
-    ``update`` mode keeps the latest row of each ``key``, ``complete`` mode the latest epoch.
-    """
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run ``stream`` in append mode into Parquet, one folder an epoch (a retried epoch replaces its own), and read it back."""
     path = scratch(spark, f"sink-{name}")
-    run_batches(stream, name, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"), mode)
-    rows = stored(spark, path, stream.schema)
-    if mode == "complete":
-        last = rows.agg(F.max("epoch")).first()[0]
-        rows = rows.filter(F.col("epoch") == F.lit(last))
-    elif mode == "update":
-        rows = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("row")).select("row.*")
-    return rows.select(*stream.columns)
+    run_batches(stream, name, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
+    return stored(spark, path, stream.schema).select(*stream.columns)
 
 
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -202,45 +193,51 @@ def correlation_stream(events: DataFrame, window_s: int = C.CORRELATION_WINDOW_S
 
 
 # ------------------------------------------------------------------ X5, X6
-def append_new(path: str, keys: list[str], prepare):
-    """foreachBatch step: ``prepare(batch)`` without rows whose ``keys`` an earlier epoch stored, written as this epoch.
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The log's own times play no part, so no row can be late, and the stored rows are the only memory.
-    """
 
-    def store(batch: DataFrame, epoch: int) -> None:
-        rows = prepare(batch)
-        old = stored(rows.sparkSession, path, rows.schema).filter(F.col("epoch") < epoch).select(*keys)
-        same = [rows[k].eqNullSafe(old[k]) for k in keys]
-        rows.join(old, same, "left_anti").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """A stream's rows that no earlier epoch, nor an earlier row of the same epoch by ``order``, equals in ``keys``.
 
-    return store
+    The state is one row per digest of the keys; an epoch looks up the digests it meets and rereads nothing that
+    is stored. For ``update`` mode: a group is given out in the epoch that first meets it (``_at``, the epoch's own
+    time, which a retry repeats). The log's own times play no part, so no row can be late.
+    """
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    now = F.current_timestamp()
+    met = rows.select("*", digest.alias("_digest"), now.alias("_at")).groupBy("_digest").agg(
+        F.min_by(F.struct(*rows.columns), F.struct("_at", order)).alias("_row"), F.min("_at").alias("_at"))
+    return met.filter(F.col("_at") == now).select("_row.*")
 
 
-def incremental_clean(raw: DataFrame, as_of: str, name: str = "x6") -> DataFrame:
-    """Cleaning as a stream: per-row rules, exact duplicates dropped against all earlier rows, appended and read back."""
-    from ..operators.clean import _dedupe, clean_cells
-    cols = [c for c in raw.columns if c != "row_id"]
-    path = scratch(raw.sparkSession, f"sink-{name}")
+def run_to_store(stream: DataFrame, name: str, processing_time: str | None = None) -> DataFrame:
+    """Run a ``first_of`` stream into Parquet, one folder an epoch, its state in RocksDB; read back."""
+    spark = stream.sparkSession
+    path = scratch(spark, f"sink-{name}")
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, ROCKS_DB)          # the query takes its settings when it starts
+    try:
+        run_batches(stream, name, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"), "update", processing_time)
+    finally:
+        spark.conf.set(conf, before)
+    return stored(spark, path, stream.schema).select(*stream.columns)
+
 
-    def clean(batch: DataFrame) -> DataFrame:
-        return _dedupe(clean_cells(batch, as_of), cols, "row_id").select("row_id", *cols)
+def incremental_clean(raw: DataFrame, as_of: str, name: str = "x6", unique_ids: bool = False) -> DataFrame:
+    """Cleaning as a stream: per-row rules, exact duplicates dropped against all earlier rows, stored and read back.
 
-    run_batches(raw, name, append_new(path, cols, clean))
-    schema = StructType([raw.schema["row_id"], *[StructField(c, StringType()) for c in cols]])
-    return stored(raw.sparkSession, path, schema).select("row_id", *cols)
+    ``unique_ids``: the rows read back get the id suffixes of W9. A suffix passes over ids that stand anywhere in
+    the log, later rows included, so it is given at reading and not stored; the result is that of D10.
+    """
+    from ..operators.clean import _suffix_ids, clean_cells
+    cols = [c for c in raw.columns if c != "row_id"]
+    rows = run_to_store(first_of(clean_cells(raw, as_of).select("row_id", *cols), cols, "row_id"), name)
+    return (_suffix_ids(rows, "row_id") if unique_ids else rows).select("row_id", *cols)
 
 
 def flush_threats(raw: DataFrame, name: str = "x5") -> DataFrame:
     """Threats of each micro-batch go to the store, one row an event id, ids stored before passed over; read back."""
-    from ..sources.logs import sink_threats
-    path = scratch(raw.sparkSession, f"sink-{name}")
-    seen = []
-
-    def threats(batch: DataFrame) -> DataFrame:
-        rows = sink_threats(batch, order_col="row_id")
-        seen[:] = [rows.schema]
-        return rows
-
-    run_batches(raw, name, append_new(path, ["event_id"], threats), processing_time="1 second")
-    return stored(raw.sparkSession, path, seen[0] if seen else sink_threats(raw.sparkSession.createDataFrame([], raw.schema), order_col="row_id").schema)
+    from ..sources.logs import threat_rows
+    rows = first_of(threat_rows(raw, keep=["row_id"]), ["event_id"], "row_id")
+    return run_to_store(rows, name, processing_time="1 second").drop("row_id")
