@@ -46,10 +46,20 @@ def s1_read(spark, sf):
 def s2_write(spark, sf):
     path = scratch(spark, "s2")
     logs.write_event_log(_raw_text(spark, sf), path, max_records_per_file=2000)
-    back = spark.read.option("header", True).option("basePath", path).schema(
-        "row_id string, Timestamp string, Event_ID string, Source_IP string, Destination_Port string, Protocol string, "
-        "AI_Confidence string, Base64_Detected string, Label string, Duration string, Detection_Method string, date string").csv(path)
-    return back.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+    return _written_log(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _written_log(spark, path):
+    schema = ", ".join(f"{c} string" for c in [*RAW_COLS, "date"])
+    return (spark.read.option("header", True).option("basePath", path).option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).schema(schema).csv(path))
+
+
+@job("S2_written_rows", RAW_CSV_SQL.replace(" FROM raw_event_log", ", COALESCE(substr(Timestamp, 1, 10), 'unknown') AS date FROM raw_event_log"))
+def s2_rows(spark, sf):
+    path = scratch(spark, "s2r")
+    logs.write_event_log(_raw_text(spark, sf), path, max_records_per_file=2000)
+    return _written_log(spark, path)
 
 
 @job("S3_write_jsonl", w("threat_events") + "SELECT event_id, source_ip, severity FROM threat_events")
@@ -77,6 +87,17 @@ def s4_sink(spark, sf):
                       "confidence", "duration")
 
 
+@job("S4_store_threats", S4_SQL)
+def s4_store(spark, sf):
+    """The log in two batches, the second against what the first stored."""
+    raw, path = v(spark, sf, "raw_event_log"), scratch(spark, "s4")
+    middle = F.lit(raw.agg(F.percentile_approx("row_id", 0.5)).first()[0])
+    logs.store_threats(raw.filter(F.col("row_id") < middle), path, "row_id")
+    out = logs.store_threats(raw.filter(F.col("row_id") >= middle), path, "row_id")
+    return out.select("event_id", "timestamp", "source_ip", "destination_port", "protocol", "detection_method",
+                      "confidence", "duration")
+
+
 @job("U4_event_id_dedupe", S4_SQL.replace("SELECT event_id, arg_min(timestamp", "SELECT event_id, CAST(count(*) AS BIGINT) AS copies, arg_min(timestamp")
      .replace(" AS timestamp, arg_min(source_ip, row_id) AS source_ip,\n  arg_min(destination_port, row_id) AS destination_port, arg_min(protocol, row_id) AS protocol,\n  arg_min(detection_method, row_id) AS detection_method, arg_min(confidence, row_id) AS confidence,\n  arg_min(duration, row_id) AS duration", " AS timestamp"))
 def u4_dedupe(spark, sf):
@@ -90,7 +111,9 @@ def u4_dedupe(spark, sf):
 FROM threat_events ORDER BY timestamp_epoch DESC, event_id DESC LIMIT 10000""")
 def s5_export(spark, sf):
     path = scratch(spark, "s5")
-    out = logs.export_threats(v(spark, sf, "threat_events"), path, "json")
+    events = v(spark, sf, "threat_events")
+    logs.export_threats(events, path, "json")
+    out = spark.read.schema(events.schema).json(path)
     return out.select("event_id", ts_text("timestamp").alias("ts"), "source_ip", "severity")
 
 
@@ -122,3 +145,12 @@ def s14_honeypot(spark, sf):
 def s15_json(spark, sf):
     t = v(spark, sf, "threat_events").select("event_id", "source_ip", "severity", "mitre_tactic")
     return logs.with_raw_json(t).select("event_id", "raw_json")
+
+
+@job("S15_raw_json_parsed", w("threat_events") + """SELECT event_id, source_ip, destination_port, label, severity, confidence,
+  mitre_tactic, detection_method FROM threat_events""")
+def s15_parsed(spark, sf):
+    t = v(spark, sf, "threat_events")
+    kinds = dict(t.dtypes)
+    cols = ["event_id", "source_ip", "destination_port", "label", "severity", "confidence", "mitre_tactic", "detection_method"]
+    return logs.from_raw_json(logs.with_raw_json(t), ", ".join(f"{c} {kinds[c]}" for c in cols))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import report, threats
-from .registry import duck_ts, job, ts_text, v, w
+from .registry import ORACLE, duck_ts, job, ts_text, v, w
 
 AS_OF = "2024-01-20 12:00:00"
 TE = w("threat_events")
@@ -331,3 +331,23 @@ def d8_kpis(spark, sf):
 @job("D8_report_recent", RT + f"SELECT {ROWS} FROM rt ORDER BY timestamp_epoch DESC, event_id DESC LIMIT 20")
 def d8_recent(spark, sf):
     return _rows(report.security_report(te(spark, sf))["recent"])
+
+
+@job("D8_report_attackers", ORACLE["A11_top_attackers"])
+def d8_attackers(spark, sf):
+    return report.security_report(te(spark, sf))["top_attackers"]
+
+
+@job("D8_report_tactics", ORACLE["A12_tactic_distribution"])
+def d8_tactics(spark, sf):
+    return report.security_report(te(spark, sf))["tactics"]
+
+
+@job("D8_report_timeline", ORACLE["A13_minute_timeline"])
+def d8_timeline(spark, sf):
+    return report.security_report(te(spark, sf))["timeline"]
+
+
+@job("D8_report_ports", ORACLE["A14_top_ports"])
+def d8_ports(spark, sf):
+    return report.security_report(te(spark, sf))["top_ports"]

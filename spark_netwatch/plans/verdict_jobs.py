@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.net import service_flags
 from ..operators import intel, verdict
-from ..sources.packets import packets_with_payload
+from ..sources.packets import evidence, packets_with_payload
 from .flow_jobs import STATE_SQL
 from .intel_jobs import FUSE_SQL, IOC_SQL, VENDOR_SQL
 from .registry import job, v, w
+from .source_jobs import scratch
 from .sqlgen import dpi_sql
 
 
@@ -231,3 +232,12 @@ def p15_counters(spark, sf):
 def p15_row(spark, sf):
     return verdict.event_row(run_verdicts(spark, sf))
 
+
+@job("S13_evidence_rows", VERDICT_BASE + """SELECT packet_id, vd.src_ip, vd.dst_port, method, CAST(octet_length(encode(payload_text)) AS INTEGER) AS payload_bytes,
+  strftime(vd.wall_ts, '%Y-%m-%d') AS date FROM vd LEFT JOIN payloads USING (payload_id) WHERE is_threat""")
+def s13_rows(spark, sf):
+    """The evidence written by date and read back."""
+    threats = run_verdicts(spark, sf).select("packet_id", "is_threat", "method", F.col("dpi_rule_id").alias("rule_id"))
+    rows = evidence(packets_with_payload(spark, sf), threats, scratch(spark, "s13r"))
+    return rows.select("packet_id", "src_ip", "dst_port", "method", F.octet_length("payload").alias("payload_bytes"),
+                       F.date_format("date", "yyyy-MM-dd").alias("date"))

@@ -105,11 +105,26 @@ def sink_threats(batch: DataFrame, existing: DataFrame | None = None, order_col:
     return rows
 
 
+def store_threats(batch: DataFrame, path: str, order_col: str | None = None) -> DataFrame:
+    """Append the batch's threats to the Parquet store at ``path``, without ids that it holds; the store is read back.
+
+    Only the id column of the store is read for that. The append commits as a whole, so a batch that is tried again
+    after a failure finds either none or all of its ids.
+    """
+    spark = batch.sparkSession
+    rows = sink_threats(batch, order_col=order_col)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        rows = sink_threats(batch, spark.read.schema(rows.schema).parquet(path), order_col)
+    rows.write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def export_threats(df: DataFrame, path: str | None = None, fmt: str = "csv", limit: int = C.EXPORT_LIMIT) -> DataFrame:
-    """Newest ``limit`` threats (top-k), written as CSV or JSON when a path is given."""
+    """Newest ``limit`` threats (top-k, so one partition and one file), written as CSV or JSON when a path is given."""
     out = df.orderBy(F.desc("timestamp_epoch"), F.desc("event_id")).limit(limit)
     if path:
-        w = out.coalesce(1).write.mode("overwrite")
+        w = out.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         (w.option("header", True).csv(path) if fmt == "csv" else w.json(path))
     return out
 
@@ -129,6 +144,11 @@ def honeypot_to_threats(captures: DataFrame) -> DataFrame:
     )
 
 
+def from_raw_json(df: DataFrame, schema: str, col: str = "raw_json") -> DataFrame:
+    """The fields of ``schema`` parsed back from the JSON text column."""
+    return df.select(F.from_json(col, schema).alias("_row")).select("_row.*")
+
+
 def with_raw_json(df: DataFrame, col: str = "raw_json") -> DataFrame:
     """The whole row as a JSON text column."""
     return df.withColumn(col, F.to_json(F.struct(*[F.col(c) for c in df.columns])))
