@@ -13,7 +13,7 @@ PICK = ["A1_flow_summary", "W1_running_flow_state", "W2_interval_frame", "W4_ris
         "D2_dpi_packets", "D2_dpi_pages", "D3_classify_conversations", "J4_osint_fusion", "J6_geo_lookup",
         "J3_cidr_blocked", "W5_correlation", "W6_alert_gate", "W7_block_intervals", "D5_playbook",
         "D10_clean_event_log", "A21_cleaning_stats", "D11_ml_dataset", "D4_verdicts", "P9_keyword_evidence",
-        "S1_read_event_log", "S14_honeypot_threats", "X3_alert_cooldown_stream", "X1_session_flows", "A20_model_quality"]
+        "S1_read_event_log", "S14_honeypot_threats", "S4_store_threats", "S15_raw_json_parsed", "X3_alert_cooldown_stream", "X1_session_flows", "A20_model_quality"]
 
 
 @pytest.fixture(scope="module")

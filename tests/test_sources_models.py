@@ -1,10 +1,7 @@
 """Sources (S1, S6, S7) and model invariants (M1, M4/M5)."""
 
 import json
-import os
-import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
