@@ -84,7 +84,7 @@ def test_line_dedup_against_all_pairs(spark):
     texts = [base, base.upper() + "!", base.replace("fox", "fax"), base.replace("lazy", "hazy") + "\nown line\n\n---", "own line\nanother one here",
              None, "", "\n", "Own   LINE", "something else entirely, with nothing in common"]
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, line int")
-    docs = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40").select(
+    docs = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 12").select(
         (F.col("doc_id") + 100).alias("doc_id"), "text", F.lit(7).alias("line")))
     keyed = L._keyed(docs)
     lines = L._lines(keyed)
