@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.net import is_internal_prefix, subnet24
+from ..session import staged
 from .greedy import accepted_ids
+from .stretches import deal, running
 from .threats import severity_label
 
 US = 1_000_000
@@ -86,18 +88,19 @@ def block_rate(blocks: DataFrame, limit: int = C.MAX_BLOCKS_PER_MINUTE) -> DataF
             .withColumn("over_limit", F.col("blocks") > limit))
 
 
-def trailing_block_rate(blocks: DataFrame, limit: int = C.MAX_BLOCKS_PER_MINUTE, window_s: int = 60) -> DataFrame:
+def trailing_block_rate(blocks: DataFrame, limit: int = C.MAX_BLOCKS_PER_MINUTE, window_s: int = 60, parts: int | None = None) -> DataFrame:
     """With each block, the blocks of all sources in the ``window_s`` up to it (its own instant included).
 
-    A block is counted in the slice of ``window_s`` that it lies in and, as a row from before, in the
-    next one; each slice is a window of its own, so no task orders the blocks of all time.
+    A block is a mark of +1 at its time and one of -1 just after its window; the count is their running sum in the
+    order of time, over stretches (``stretches``). A sliding frame would go through its whole window for each row.
+    Blocks without a time count for one another alone.
     """
-    width = window_s * US
-    own = blocks.select("event_id", "ip", "from_us", F.floor(F.col("from_us") / F.lit(width)).alias("_slice"), F.lit(True).alias("_own"))
-    before = own.select("event_id", "ip", "from_us", (F.col("_slice") + 1).alias("_slice"), F.lit(False).alias("_own"))
-    w = Window.partitionBy("_slice").orderBy("from_us").rangeBetween(-width, 0)
-    rows = own.unionByName(before).withColumn("recent_blocks", F.count(F.lit(1)).over(w)).filter("_own")
-    return rows.select("event_id", "ip", "from_us", "recent_blocks", (F.col("recent_blocks") > limit).alias("over_limit"))
+    own = staged(blocks.select("event_id", "ip", "from_us"), "blocks")
+    begin = F.struct(F.col("from_us").alias("_at"), F.lit(1).cast("long").alias("_by"))
+    end = F.struct((F.col("from_us") + window_s * US + 1).alias("_at"), F.lit(-1).cast("long").alias("_by"))
+    marks = own.select("*", F.col("from_us").isNull().alias("_undated"), F.inline(F.array(begin, end))).filter("_by > 0 OR NOT _undated")
+    counts = running(deal(marks, "_undated", "_at", parts), {"recent_blocks": (F.sum, F.col("_by"))}, ["_at"], peers=True).filter("_by > 0")
+    return counts.select("event_id", "ip", "from_us", "recent_blocks", (F.col("recent_blocks") > limit).alias("over_limit"))
 
 
 def active_blocks(blocks: DataFrame, as_of_us: int) -> DataFrame:
