@@ -138,12 +138,22 @@ def dpi_scan(df: DataFrame, payload_col: str = "payload", sigs: DataFrame | None
 
 
 def all_matches(df: DataFrame, payload_col: str = "payload", sigs: DataFrame | None = None) -> DataFrame:
-    """Every matching rule id per row (array, in rule order)."""
+    """Every matching rule id per row (array, in rule order).
+
+    The inspected text is a column of its own, so that it is made once a row and not once a rule."""
     rules = compile_rules(sigs)
     is_binary = isinstance(df.schema[payload_col].dataType, T.BinaryType)
     text, _ = inspect_text(F.col(payload_col), is_binary)
-    ids = F.array(*[F.when(text.rlike(r["pattern"]), F.lit(r["id"])) for r in rules])
-    return df.withColumn("matched_rules", F.array_compact(ids))
+    none = F.array().cast("array<string>")
+    ids = [F.when(F.col("_text").rlike(r["pattern"]), F.array(F.lit(r["id"]))).otherwise(none) for r in rules]
+    return df.withColumn("_text", text).withColumn("matched_rules", F.flatten(F.array(*ids))).drop("_text")
+
+
+def all_hits(df: DataFrame, payload_col: str = "payload", sigs: DataFrame | None = None) -> DataFrame:
+    """Rows per matching rule."""
+    # not ``explode``: it puts a test of the array's size below itself, and the rules are matched again for that
+    hits = all_matches(df, payload_col, sigs).select(F.explode_outer("matched_rules").alias("rule_id")).filter("rule_id IS NOT NULL")
+    return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def rule_hit_counts(scanned: DataFrame, prefix: str = "dpi_") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import classify, dpi
+from ..session import spread
 from ..sources.packets import packets_with_payload
 from .registry import job, w
 from .sqlgen import classify_sql, dpi_sql, first_rule_case, q, white_trim
@@ -68,8 +69,7 @@ ALL_RULES = "(VALUES " + ", ".join(f"({q(sid)}, {q(pat)})" for sid, *_, pat in C
 @job("J9_all_matches_pages", f"""SELECT r.rule_id, CAST(count(*) AS BIGINT) AS hits FROM pages
 JOIN {ALL_RULES} ON regexp_matches(pages.html, r.pattern) GROUP BY r.rule_id""")
 def j9_all_matches(spark, sf):
-    m = dpi.all_matches(_table(spark, sf, "pages"), "html")
-    return m.select(F.explode("matched_rules").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+    return dpi.all_hits(spread(_table(spark, sf, "pages"), "page_id"), "html")
 
 
 @job("J9_all_matches_packets", PKT + f"""SELECT r.rule_id, CAST(count(*) AS BIGINT) AS hits FROM pk
@@ -77,8 +77,7 @@ JOIN {ALL_RULES} ON regexp_matches(CASE WHEN length({TRIMMED}) >= 16 AND regexp_
       AND length({TRIMMED}) % 4 = 0 AND regexp_matches(try(decode(from_base64({TRIMMED}))), '\\p{{L}}')
       THEN try(decode(from_base64({TRIMMED}))) ELSE payload_text END, r.pattern) GROUP BY r.rule_id""")
 def j9_all_packets(spark, sf):
-    m = dpi.all_matches(packets_with_payload(spark, sf), "payload")
-    return m.select(F.explode("matched_rules").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+    return dpi.all_hits(packets_with_payload(spark, sf), "payload")
 
 
 @job("A27_rule_hit_counts", PKT + f"""SELECT dpi_rule_id AS rule_id, dpi_severity AS severity, dpi_cwe AS cwe,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.net import split_endpoint
 from ..operators import dpi, flows, respond
 from ..operators.features import flow_rate_features
+from ..session import spread
 from .flow_jobs import A1_SQL
 from .registry import ORACLE, job, v, w
 from .source_jobs import RAW_COLS, RAW_CSV_SQL, _raw_text, scratch
@@ -78,7 +79,7 @@ TRACKER = {"id": "CUSTOM-TRACK", "name": "Tracking call", "pattern": r"track\(\d
 def u2_union_scan(spark, sf):
     """Custom rules beside the built-in ones; one of them stands in about half of the pages."""
     sigs = dpi.load_signatures(spark, _auto_signature_file(spark, sf, TRACKER))
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf}/pages.parquet"), "page_id")
     m = dpi.all_matches(pages, "html", sigs)
     return m.select("page_id", F.size(F.filter("matched_rules", lambda r: r.startswith("AUTO-SIG") | r.startswith("CUSTOM-"))).alias("custom_hits"))
 

@@ -78,3 +78,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, a table as read, dealt out over the shuffle partitions if its files give fewer tasks (a file of one
+    row group is one task), so that costly work on its rows runs on all cores."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts, key)
