@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.dpi import dpi_scan
+from ..sources.fixtures import view
 from ..sources.packets import packets_with_payload
 from ..streaming import twins
 from .clean_jobs import AS_OF, CELLS, COLS, COLS_SQL
@@ -20,9 +21,9 @@ from .sqlgen import dpi_sql
 DAY_US = 86_400_000_000
 
 
-def _stream_of(spark, df, name, order_col, files_per_trigger=8, closing=None):
+def _stream_of(spark, df, name, order_col, files_per_trigger=8, closing=None, files=1):
     path = twins.scratch(spark, name)
-    twins.stage_files(df, path, order_col, closing=closing)
+    twins.stage_files(df, path, order_col, closing=closing, files=files)
     return twins.source(spark, path, df.schema, files_per_trigger)
 
 
@@ -67,16 +68,20 @@ def x2_correlation(spark, sf):
     return twins.correlation_stream(_stream_of(spark, t, "x2", "ts_us", 1), name="x2").select("event_id", "source_ip", "tactics", "stages")
 
 
+def _log_stream(spark, sf, name):
+    """The raw log by row id, a commit a micro-batch, in as many files as there are shuffle partitions."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _stream_of(spark, view(spark, sf, "raw_event_log", "event_id"), name, "row_id", files, files=files)
+
+
 @job("X6_incremental_clean", CELLS + f"SELECT min(row_id) AS row_id, {COLS_SQL} FROM cells GROUP BY {COLS_SQL}")
 def x6_clean(spark, sf):
-    raw = v(spark, sf, "raw_event_log")
-    return twins.incremental_clean(_stream_of(spark, raw, "x6", "row_id", 1), AS_OF).select("row_id", *COLS)
+    return twins.incremental_clean(_log_stream(spark, sf, "x6"), AS_OF).select("row_id", *COLS)
 
 
 @job("X6_incremental_clean_ids", ORACLE["D10_clean_event_log"])
 def x6_clean_ids(spark, sf):
-    raw = v(spark, sf, "raw_event_log")
-    return twins.incremental_clean(_stream_of(spark, raw, "x6i", "row_id", 1), AS_OF, "x6i", unique_ids=True).select("row_id", *COLS)
+    return twins.incremental_clean(_log_stream(spark, sf, "x6i"), AS_OF, "x6i", unique_ids=True).select("row_id", *COLS)
 
 
 @job("X8_packet_handoff", PKT + dpi_sql("pk", "payload_text", "packet_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import table_path
+from ..session import spread, table_path
 
 FRAGMENTS = {
     "spark": {
@@ -172,11 +172,15 @@ def render(view: str, engine: str) -> str:
     return sql
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Spark DataFrame of an adapter view, read from the parquet tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """Spark DataFrame of an adapter view, read from the parquet tables in ``sf_dir``.
+
+    ``spread_by``: column of the event table by which its rows are dealt out first, for a view whose columns cost much."""
     if name == "payloads":
         return payload_pool(spark)
     args = {t: spark.read.parquet(table_path(sf_dir, t)) for t in BASE_TABLES[name]}
+    if spread_by:
+        args["events"] = spread(args["events"], spread_by)
     return spark.sql(render(name, "spark"), **args)
 
 

@@ -30,10 +30,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/netwatch-stream-{name}-{uuid.uuid4().hex}"
 
 
-def stage_files(df: DataFrame, path: str, order_col: str, slices: int = 4, closing: int | None = None) -> None:
+def stage_files(df: DataFrame, path: str, order_col: str, slices: int = 4, closing: int | None = None,
+                files: int = 1) -> None:
     """Write ``df`` as ``slices`` parquet commits in ``order_col`` order, so a file
     stream sees time-ordered micro-batches (each commit is one new set of files).
 
+    ``files``: files of a commit, written and read side by side. There are always so many, empty ones if need
+    be, so that a stream that takes ``files`` files at a time takes one commit, whose rows have no order.
+
     ``closing``: a last row of nulls but for ``order_col``, so much later than the others. It moves
     the watermark past them, which closes their windows, and is never given out itself.
     """
@@ -45,7 +49,12 @@ def stage_files(df: DataFrame, path: str, order_col: str, slices: int = 4, closi
     step = (hi - lo) // slices + 1
     for i in range(slices):
         part = df.filter((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)     # one file a commit, so file order is row order
+        if files == 1:
+            part.coalesce(1).write.mode("append").parquet(path)     # one file a commit, so file order is row order
+            continue
+        part.repartition(files, order_col).write.mode("append").parquet(path)     # a task without rows writes no file
+        for _ in range((i + 1) * files - len(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles())):
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
     if closing:
         end = [(F.lit(hi + closing) if f.name == order_col else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]
         df.sparkSession.range(1).coalesce(1).select(*end).write.mode("append").parquet(path)
