@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..session import checkpoint, staged
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree", T.LongType()), T.StructField("node", T.IntegerType()),
@@ -80,22 +81,24 @@ class IsolationModel:
     columns: tuple = tuple(C.MODEL_FEATURES)
 
     def path_lengths(self, X: np.ndarray) -> np.ndarray:
-        n_trees = self.feature.shape[0]
+        n_trees, width = self.feature.shape
+        flat = np.ascontiguousarray(X).ravel()
+        at = np.arange(len(X)) * X.shape[1]
+        own = np.arange(width)
         total = np.zeros(len(X))
-        rows = np.arange(len(X))
         for t in range(n_trees):
+            inner = self.feature[t] >= 0
+            feature = np.where(inner, self.feature[t], 0)
+            # a leaf is its own child, so rows that have come to one stay there while others go on
+            child = np.where(inner, [self.left[t], self.right[t]], own).T.ravel()
+            depth = np.zeros(width)
+            for i in np.flatnonzero(inner):         # a child's number is above its parent's
+                depth[[self.left[t, i], self.right[t, i]]] = depth[i] + 1
+            length = depth + c_factor(self.size[t])
             node = np.zeros(len(X), dtype=np.int64)
-            depth = np.zeros(len(X))
-            while True:
-                f = self.feature[t, node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go_left = X[rows, np.where(inner, f, 0)] < self.threshold[t, node]
-                nxt = np.where(go_left, self.left[t, node], self.right[t, node])
-                node = np.where(inner, nxt, node)
-                depth = depth + inner
-            total += depth + c_factor(self.size[t, node])
+            for _ in range(int(depth.max())):
+                node = child[2 * node + ~(flat[at + feature[node]] < self.threshold[t, node])]
+            total += length[node]
         return total / n_trees
 
     def score_samples(self, X: np.ndarray) -> np.ndarray:
@@ -117,7 +120,6 @@ def train_isolation(df: DataFrame, order_col: str, n_trees: int = 100, psi: int
     id_col = id_col or order_col
     recent = df if max_rows is None else df.orderBy(F.desc(order_col), F.desc(id_col)).limit(max_rows)
     recent = recent.select(F.col(id_col).alias("_rid"), *_features(df, cols))
-    from ..session import checkpoint
     recent = checkpoint(recent)
     n = recent.count()
     sample = min(psi, n)
@@ -144,11 +146,30 @@ def train_isolation(df: DataFrame, order_col: str, n_trees: int = 100, psi: int
         arrays[k][nodes["tree"].to_numpy(), nodes["node"].to_numpy()] = nodes[k].to_numpy()
     model = IsolationModel(arrays["feature"], arrays["threshold"], arrays["left"], arrays["right"],
                            np.maximum(arrays["size"], 0), sample, 0.0, tuple(names))
-    scored = recent.select(_score_udf(df.sparkSession, model)(F.array(*[F.col(c) for c in names])).alias("s"))
-    model.offset = float(scored.agg(F.percentile("s", contamination)).first()[0])
+    scored = staged(recent.select(_score_udf(df.sparkSession, model)(F.array(*[F.col(c) for c in names])).alias("s")), "scores")
+    model.offset = quantile(scored, "s", contamination, n)
     return model
 
 
+def quantile(df: DataFrame, col: str, share: float, n: int) -> float:
+    """The exact ``share`` quantile (linear interpolation) of ``n`` values, from those next to an approximate one.
+
+    ``percentile`` alone keeps every distinct value in one task."""
+    at = share * (n - 1)
+    low, high = (max(0, int(np.floor(at))), min(n - 1, int(np.ceil(at))))
+    slack = 4 / 10_000
+    bounds = df.agg(F.percentile_approx(col, [max(0.0, share - slack), min(1.0, share + slack)], F.lit(10_000)).alias("b")).first()["b"]
+    near = df.filter(F.col(col).between(*bounds))
+    before, met = df.agg(F.count_if(F.col(col) < bounds[0]), F.count_if(F.col(col).between(*bounds))).first()
+    if not before <= low <= high < before + met:
+        return float(df.agg(F.percentile(col, share)).first()[0])
+    # few distinct values next to the quantile, each with its count
+    values = near.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    run = values.withColumn("_upto", F.sum("_n").over(Window.orderBy(col)) + before)
+    a, b = (run.filter(F.col("_upto") > i).agg(F.min(col)).first()[0] for i in (low, high))
+    return float(a if low == high else (high - at) * a + (at - low) * b)
+
+
 def _score_udf(spark, model: IsolationModel):
     bc = spark.sparkContext.broadcast(model)
 
