@@ -3,8 +3,8 @@
 Shingles are ordered by how frequent they are in the whole corpus, rarest first (counted in
 ``2**WEIGHT_BITS`` hash cells, so that the table's size is fixed; any order is right, a good one
 keeps frequent shingles out of the prefixes). Texts of equal sets form one class. Classes meet
-when their prefixes, the first ``n - ceil(t * n) + 1`` shingles, share one and lengths and
-positions allow the threshold. Candidates of a probe are stored in a trie of their whole ordered
+when their prefixes, the first ``n - ceil(t * n) + 1`` shingles, share one and lengths, positions
+and parity bits (a lower bound of the shingles in which sets differ) allow the threshold. Candidates of a probe are stored in a trie of their whole ordered
 sets; one walk shares the overlap of common beginnings and leaves a subtree when the lengths that
 remain cannot reach the threshold. Members of one component are not paired further, so a group of
 copies or near copies costs about one link a member.
@@ -32,6 +32,9 @@ WIDTH = 3
 #: Two sets link when HUNDRED * intersection >= PERCENT * union.
 PERCENT = 90
 WEIGHT_BITS = 18
+#: Longs of a set's parity bits.
+N_PARITY = 4
+_PARITY = [f"p{k}" for k in range(N_PARITY)]
 #: Shingles in a trie, about.
 TRIE_SIZE = 200_000
 SLICE = 4 << 20
@@ -85,8 +88,23 @@ def _signature(value: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return [(t[ends] - t[ends - n]).view(np.int64) for t in totals]
 
 
+def _parity(value: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Bits that tell whether a hash cell holds an odd number of a set's shingles.
+
+    A shingle that only one of two sets has flips one bit, so sets differ in as many shingles as in bits, at least.
+    """
+    bit, word = np.uint64(1) << (value & np.uint64(63)), (value >> np.uint64(6)) % np.uint64(N_PARITY)
+    some = n > 0
+    starts = (np.cumsum(n) - n)[some]
+    found = np.zeros((N_PARITY, len(n)), np.uint64)
+    if len(starts):
+        for k in range(N_PARITY):
+            found[k, some] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), starts)
+    return list(found.view(np.int64))
+
+
 def _prefix_rows(docs: DataFrame, weight: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (the set's signature), items (the ordered set's prefix)."""
+    """doc_id, n, s1, s2 (the set's signature), p0 to p3 (its parity bits), items (the ordered set's prefix)."""
 
     def run(batches):
         for batch in batches:
@@ -95,10 +113,12 @@ def _prefix_rows(docs: DataFrame, weight: np.ndarray, width: int, percent: int)
                 s1, s2 = _signature(value, n)
                 size = np.minimum(n, np.where(n > 0, n - (-(-percent * n // 100)) + _spare(n), 0))
                 keep = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(size, n)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), _list(value[keep], size)],
-                                                 ["doc_id", "n", "s1", "s2", "items"])
+                parity = [pa.array(p) for p in _parity(value, n)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2), *parity, _list(value[keep], size)],
+                                                 ["doc_id", "n", "s1", "s2", *_PARITY, "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, s1 long, s2 long, items array<long>")
+    parity = "".join(f"{p} long, " for p in _PARITY)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, s1 long, s2 long, {parity}items array<long>")
 
 
 def _class_sets(found: DataFrame, weight: np.ndarray, width: int) -> DataFrame:
@@ -192,8 +212,10 @@ def _verified(sets: DataFrame, percent: int):
 def _possible(percent: int):
     def possible(a: Column, b: Column) -> Column:
         shared = F.least(a["at"], b["at"]) + 1 + F.least(a["n"] - a["at"], b["n"] - b["at"]) - 1
+        unlike = sum((F.bit_count(a[p].bitwiseXOR(b[p])) for p in _PARITY), F.lit(0))
         return ((100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"]))
-                & ((100 + percent) * shared >= percent * (a["n"] + b["n"])))
+                & ((100 + percent) * shared >= percent * (a["n"] + b["n"]))
+                & ((100 + percent) * unlike <= (100 - percent) * (a["n"] + b["n"])))
     return possible
 
 
@@ -231,8 +253,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
                .withColumn("id", F.monotonically_increasing_id()))
     classes = written(classes, "classes")
     key = (F.col("r.s1") == F.col("c.s1")) & (F.col("r.s2") == F.col("c.s2")) & F.col("r.doc_id").eqNullSafe(F.col("c.least"))
-    one = rows.filter("n > 0").alias("r").join(classes.alias("c"), key).select("c.id", "c.n", "r.items")
-    members = one.select(F.posexplode("items").alias("at", "bucket"), "id", F.col("n").cast("int").alias("n"))
+    one = rows.filter("n > 0").alias("r").join(classes.alias("c"), key).select("c.id", "c.n", "r.items", *[f"r.{p}" for p in _PARITY])
+    members = one.select(F.posexplode("items").alias("at", "bucket"), "id", F.col("n").cast("int").alias("n"), *_PARITY)
     members = _candidates(members, percent)
     sets = written(_class_sets(_texts(docs, members, classes), weight, width), "sets")
     links = bucket_links(members, _possible(percent), _verified(sets, percent), lambda a, b: _shared(a, b, percent))
