@@ -40,9 +40,27 @@ BYTE_COST = 12.0
 SLICE = 2 << 20
 #: No Gumbel draw from 53 random bits is greater above its location.
 MOST_DRAW = 37.0
+#: Nodes of the matcher, shallow ones first, whose children stand in a plain table (1 KB each).
+TABLE_NODES = 1 << 16
 _SPACE = 32
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers from 0 on; 16 bits at a time, which numpy sorts by counting."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    shift, most = 16, int(x.max()) if len(x) else 0
+    while most >> shift:
+        order = order[np.argsort((x[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
+    return order
+
+
+def _without(options: np.ndarray, taken: tuple[int, ...]) -> np.ndarray:
+    for t in taken:
+        options = options[options != t]
+    return options
+
+
 class Pieces:
     """The model file's pieces as byte strings (their space mark is a space), and a matcher over byte buffers."""
 
@@ -79,23 +97,26 @@ class Pieces:
                 order.append(child)
         self.piece = self.piece[order]
         pairs = sorted((number[node] * 256 + b, number[child]) for node, kids in enumerate(children) for b, child in kids.items())
-        self.keys, self.child = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-        self.shallow = (1 + len(children[0])) * 256          # root and its children: a plain table
-        self.table = np.full(self.shallow, -1)
+        self.keys, self.child = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int32)
+        self.shallow = min(len(children), TABLE_NODES) * 256
+        self.table = np.full(self.shallow, -1, np.int32)
         near = self.keys < self.shallow
         self.table[self.keys[near]] = self.child[near]
 
-    def matches(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of every piece that stands in ``data``, within units (``ends``: the end of each byte's unit)."""
-        at = np.flatnonzero((data & 0xC0) != 0x80)
-        node, start, found = np.zeros(len(at), np.int64), at, []
+    def matches(self, data: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, end, piece) of every piece that stands in ``data``, within units (``ends``: the end of each byte's unit).
+
+        One entry for each length in bytes, shortest first; a start stands at most once in each.
+        """
+        at = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
+        node, start, found = np.zeros(len(at), np.int32), at, []
         while len(at):
-            key = node * 256 + data[at]
+            key = node * np.int64(256) + data[at]
             if key.max() < self.shallow:
                 node = self.table[key]
             else:
                 i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                node = np.where(self.keys[i] == key, self.child[i], -1)
+                node = np.where(self.keys[i] == key, self.child[i], np.int32(-1))
             hit = node >= 0
             at, start, node = at[hit] + 1, start[hit], node[hit]
             piece = self.piece[node]
@@ -103,7 +124,7 @@ class Pieces:
             found.append((start[whole], at[whole], piece[whole]))
             more = at < ends[start]
             at, start, node = at[more], start[more], node[more]
-        return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        return found
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the rows' pieces (a row ends at ``ends``), and where each row's bytes end."""
@@ -120,33 +141,38 @@ class Lattice:
         self.pieces, self.data = pieces, data
         sizes = np.diff(np.concatenate([[0], unit_ends]))
         ends = np.repeat(unit_ends, sizes)
-        start, end, piece = pieces.matches(data, ends)
-        weight = pieces.weight[piece]
+        found = pieces.matches(data, ends)
         heads = np.flatnonzero((data & 0xC0) != 0x80)
-        width = np.diff(np.append(heads, len(data)))
-        alone = np.zeros(len(data), bool)
         size_at = np.zeros(len(data), np.int64)
-        size_at[heads] = width
-        alone[start[end - start == size_at[start]]] = True
+        size_at[heads] = np.diff(np.append(heads, len(data)))
+        alone = np.zeros(len(data), bool)
+        for start, end, _ in found:
+            alone[start[end - start == size_at[start]]] = True
         bare = heads[~alone[heads]]                          # characters that are no piece: their bytes
-        start, end = np.concatenate([start, bare]), np.concatenate([end, bare + size_at[bare]])
-        piece = np.concatenate([piece, np.full(len(bare), -1)])[::-1]
-        start, end = start[::-1], end[::-1]
-        weight = np.concatenate([weight, pieces.byte_weight * size_at[bare]])[::-1]
-        far = ends[start] - start
+        found = [(bare, bare + size_at[bare], np.full(len(bare), -1)), *found[::-1]]
+        n_at = np.zeros(len(data), np.int64)
+        for start, _, _ in found:
+            n_at[start] += 1
         # by distance from the unit's end, then state; a state's longest piece first, as it is the likeliest
-        order = np.argsort(far * len(data) + start, kind="stable")
-        self.start, self.end, self.piece, weight, far = start[order], end[order], piece[order], weight[order], far[order]
-        first = np.ones(len(order), bool)
-        first[1:] = self.start[1:] != self.start[:-1]
-        self.first = np.flatnonzero(first)                   # edges of a state lie together
+        states = np.flatnonzero(n_at)
+        states = states[_order(ends[states] - states)]
+        n = n_at[states]
+        self.first = np.cumsum(n) - n                        # edges of a state lie together
+        self.start, group = np.repeat(states, n), np.repeat(np.arange(len(states)), n)
+        self.end, self.piece, weight = np.empty(len(group), np.int64), np.empty(len(group), np.int64), np.empty(len(group))
+        place = n_at
+        place[states] = self.first
+        for start, end, piece in found:
+            at = place[start]
+            self.end[at], self.piece[at] = end, piece
+            weight[at] = pieces.weight[piece] if piece is not found[0][2] else pieces.byte_weight * (end - start)
+            place[start] += 1
         self.state = np.full(len(data) + 1, -1)
-        self.state[self.start[self.first]] = np.arange(len(self.first))
+        self.state[states] = np.arange(len(states))
         rest = np.zeros(len(data) + 1)                       # log mass from a state to its unit's end
-        closing = self.end == ends[self.start] if len(self.start) else np.zeros(0, bool)
-        chance = np.empty(len(order))
-        levels = np.concatenate([[0], np.flatnonzero(np.diff(far)) + 1, [len(far)]]) if len(far) else np.zeros(1, int)
-        group = np.cumsum(first) - 1
+        closing = self.end == np.repeat(ends[states], n)
+        chance = np.empty(len(group))
+        levels = np.append(self.first[np.append(True, np.diff(ends[states] - states) > 0)], len(group)) if len(states) else np.zeros(1, int)
         for a, b in zip(levels, levels[1:]):
             value = weight[a:b] + np.where(closing[a:b], 0.0, rest[np.minimum(self.end[a:b], len(data))])
             g = group[a:b] - group[a]
@@ -156,11 +182,11 @@ class Lattice:
             rest[self.start[a:b][heads_at]] = top + np.log(mass)
             chance[a:b] = np.exp(value - top[g]) / mass[g]
         self.chance, self.closing = chance, closing
-        self.log_chance = np.minimum(weight + np.where(closing, 0.0, rest[np.minimum(self.end, len(data))]) - rest[self.start], 0.0)
+        self.log_chance = np.minimum(weight + np.where(closing, 0.0, rest[np.minimum(self.end, len(data))]) - np.repeat(rest[states], n), 0.0)
         self.log_left = self._others(group) if len(group) else np.zeros(0)
         running = np.cumsum(chance, dtype=np.longdouble)        # long, so that other units' edges leave no trace
-        self.running = (running - (running - chance)[self.first][group]).astype(float) if len(group) else chance
-        self.last = np.append(self.first[1:], len(order))[:len(self.first)] - 1
+        self.running = (running - np.repeat(running[self.first] - chance[self.first], n)).astype(float)
+        self.last = np.append(self.first[1:], len(group))[:len(self.first)] - 1
         self.running[self.last] = 2.0
 
     def _others(self, group: np.ndarray) -> np.ndarray:
@@ -196,7 +222,7 @@ class Lattice:
         if not who:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         who, edges = np.concatenate(who), np.concatenate(edges)
-        order = np.argsort(who, kind="stable")
+        order = _order(who)
         return who[order], edges[order]
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +309,7 @@ def sample(pieces: Pieces, texts: pa.Array, keys: np.ndarray, k: int):
             own = p_edge[p_ends[r] - p_count[r]:p_ends[r]]
             state = net.state[net.start[own[place]]]
             options = np.arange(net.first[state], net.last[state] + 1)
-            options = options[~np.isin(options, taken)]
+            options = _without(options, taken)
             chance = np.cumsum(np.exp(net.log_chance[options] - net.log_chance[options].max()))
             u = _uniform(mix(keys[r:r + 1] + np.uint64(j + 1)) + np.uint64(1 << 40))[0]
             chosen = options[min(np.searchsorted(chance, u * chance[-1]), len(options) - 1)]
@@ -302,7 +328,7 @@ def sample(pieces: Pieces, texts: pa.Array, keys: np.ndarray, k: int):
         who, tail_edges = net.walk(at2, seed_of(row2, j + 1, no2))
         all_rows = np.concatenate([np.repeat(alive, begin_rows), alive, row2[who]])
         all_edges = np.concatenate([*begin_edges, np.array(other, np.int64), tail_edges])
-        order = np.argsort(all_rows, kind="stable")
+        order = _order(all_rows)
         rows, edge = all_rows[order], all_edges[order]
     threshold = np.array([max((x[0] for x in rs), default=-np.inf) for rs in regions])
     for j, (alive, rows, edge, total, gumbel) in enumerate(emitted):
@@ -314,6 +340,19 @@ def sample(pieces: Pieces, texts: pa.Array, keys: np.ndarray, k: int):
         yield j, alive, ids, per, total[alive], gumbel[alive], inclusion, (data, text_ends)
 
 
+def _greatest(best: np.ndarray, keep: int) -> np.ndarray:
+    """Places of each row's ``keep`` greatest values, the first of equal ones first."""
+    if keep > 4:
+        return np.argsort(-best, 1, kind="stable")[:, :keep]
+    # what is taken falls below all others, -inf included, so that places stay distinct
+    rest = np.maximum(best, -np.finfo(float).max)
+    row, top = np.arange(len(best)), np.zeros((len(best), min(keep, best.shape[1])), np.int64)
+    for k in range(top.shape[1]):
+        top[:, k] = rest.argmax(1)
+        rest[row, top[:, k]] = -np.inf
+    return top
+
+
 def _split(net: Lattice, edge: np.ndarray, begin: np.ndarray, end: np.ndarray, number: int, parent: list, value: np.ndarray,
            keys: np.ndarray, keep: int, regions: list, width: int = 96) -> None:
     """Add the regions left when each row's path (edges ``begin`` to ``end``) is taken out of its own region.
@@ -334,12 +373,12 @@ def _split(net: Lattice, edge: np.ndarray, begin: np.ndarray, end: np.ndarray, n
         if p and size[i]:
             state = net.state[net.start[p[1][0]]]
             options = np.arange(net.first[state], net.last[state] + 1)
-            left[i, 0] = np.logaddexp.reduce(net.log_chance[options[~np.isin(options, p[1])]], initial=-np.inf)
+            left[i, 0] = np.logaddexp.reduce(net.log_chance[_without(options, p[1])], initial=-np.inf)
     some = there & ~np.isneginf(left)
     mass = before[:, :-1] + np.where(some, left, 0.0)
     draw = _uniform(mix(keys + np.uint64(number << 44))[:, None] + (place[:, None] + column).astype(np.uint64))
     best = np.where(some, -np.logaddexp(-value[:, None], np.log(-np.log(draw)) - mass), -np.inf)
-    top = np.argsort(-best, 1, kind="stable")[:, :keep]
+    top = _greatest(best, keep)
     floor = np.take_along_axis(best, top[:, -1:], 1)[:, 0] if top.shape[1] == keep else np.full(len(begin), -np.inf)
     # what lies beyond has less mass and no draw above MOST_DRAW
     further = (end - begin - place > width) & (before[:, -1] + MOST_DRAW >= floor)
