@@ -1,4 +1,4 @@
-"""Model operators on Spark ML: random forest train (M1), cross-validation
+"""Model operators: random forest train (M1, ``forest.py``), cross-validation
 (M2), scoring (M3), feature assembly (M6), importance and versioned save (M7),
 plus drift (A18), retrain trigger (A19), quality (A20) and dataset profile
 (A23).
@@ -8,15 +8,13 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import byte_entropy
+from .forest import ForestModel, train
 
 FEATURES = list(C.MODEL_FEATURES)
 
@@ -43,14 +41,12 @@ def assemble(df: DataFrame, cols=FEATURES, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol=out).transform(filled).drop(*[f"_f_{c}" for c in cols])
 
 
-def with_class_weights(df: DataFrame, label: str = "Label") -> DataFrame:
+def class_weights(df: DataFrame, label: str = "Label") -> dict[float, float]:
     """Balanced class weights n / (classes * n_class), from one small aggregate."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}     # one row a class
-    total = sum(counts.values())
-    weight = F.lit(None).cast("double")
-    for value, n in counts.items():
-        weight = F.when(F.col(label).eqNullSafe(F.lit(value)), total / (len(counts) * n)).otherwise(weight)
-    return df.withColumn("weight", weight)
+    if None in counts:
+        raise ValueError("a label is null")
+    return {value: sum(counts.values()) / (len(counts) * n) for value, n in counts.items()}
 
 
 #: Row groups by key hash in which a label's rows are dealt out; a label is never one task's work.
@@ -65,20 +61,10 @@ def stratified_split(df: DataFrame, key: str, train_fraction: float = 0.75, seed
     return placed.filter("_train").drop("_train"), placed.filter("NOT _train").drop("_train")
 
 
-def forest(num_trees: int = 200, max_depth: int = 20, seed: int = 42) -> RandomForestClassifier:
-    """M1 settings: 200 trees, depth 20, min 2 rows per leaf, balanced weights, seed 42."""
-    return RandomForestClassifier(featuresCol="features", labelCol="Label", weightCol="weight", numTrees=num_trees,
-                                  maxDepth=max_depth, minInstancesPerNode=2, seed=seed,
-                                  # execution settings only: node-id caching and larger node batches per pass
-                                  cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
-
-
-def train_forest(train: DataFrame, **kw) -> PipelineModel:
-    """M1: assemble + forest as one pipeline model."""
-    data = with_class_weights(train.withColumn("Label", F.col("Label").cast("double")))
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_f_{c}" for c in FEATURES], outputCol="features"), forest(**kw)])
-    filled = data.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f_{c}") for c in FEATURES])
-    return pipe.fit(filled)
+def train_forest(train_rows: DataFrame, **kw) -> ForestModel:
+    """M1: 200 trees, depth 20, min 2 rows per leaf, balanced weights, seed 42."""
+    data = _filled(train_rows.withColumn("Label", F.col("Label").cast("double")))
+    return train(data, [f"_f_{c}" for c in FEATURES], class_weights(data), **kw)
 
 
 def _filled(df: DataFrame) -> DataFrame:
@@ -86,10 +72,12 @@ def _filled(df: DataFrame) -> DataFrame:
                             for c in FEATURES])
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: ForestModel, df: DataFrame) -> DataFrame:
     """M3 core: prediction and threat probability x 100."""
-    out = model.transform(_filled(df))
-    return out.withColumn("threat_prob", vector_to_array("probability")[1] * 100).drop(*[f"_f_{c}" for c in FEATURES])
+    out = model.with_votes(_filled(df), "probability")
+    likeliest = F.array_position("probability", F.array_max("probability")) - 1
+    return (out.withColumn("prediction", likeliest.cast("double")).withColumn("threat_prob", F.col("probability")[1] * 100)
+            .drop(*[f"_f_{c}" for c in FEATURES]))
 
 
 def threat_type(is_threat: Column) -> Column:
@@ -99,7 +87,7 @@ def threat_type(is_threat: Column) -> Column:
             .otherwise("High-Frequency Anomalous Traffic"))
 
 
-def forest_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
+def forest_scores(model: ForestModel, df: DataFrame) -> DataFrame:
     """Verdict step 3 columns (``_ml_threat``, ``_ml_conf``, ``_ml_type``) on flow-state rows."""
     cols = model_features(df)
     staged = df.select("*", *[c.alias(n) for n, c in cols.items() if n not in df.columns])
@@ -107,7 +95,7 @@ def forest_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
     t = F.col("prediction") == 1.0
     return (p.withColumn("_ml_threat", t).withColumn("_ml_conf", F.col("threat_prob"))
             .withColumn("_ml_type", threat_type(t))
-            .drop("rawPrediction", "probability", "prediction", "features", "threat_prob"))
+            .drop("probability", "prediction", "threat_prob"))
 
 
 def quality(pred: DataFrame, label: str = "Label", prediction: str = "prediction") -> DataFrame:
@@ -147,16 +135,15 @@ def cross_validate(data: DataFrame, folds: int = 5, seed: int = 42, key: str = "
     return data.sparkSession.range(1).select(F.lit(mean).alias("cv_accuracy_mean"), F.lit(std).alias("cv_accuracy_std"), F.lit(folds).alias("folds"))
 
 
-def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
-    """M7: ranked importances of the forest stage."""
-    imp = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(FEATURES, (float(x) for x in imp)), key=lambda t: -t[1])
+def feature_importance(model: ForestModel) -> list[tuple[str, float]]:
+    """M7: ranked importances of the forest."""
+    return sorted(zip(FEATURES, model.importances()), key=lambda t: -t[1])
 
 
-def save_versioned(model: PipelineModel, base_path: str, version: str) -> str:
+def save_versioned(model: ForestModel, base_path: str, version: str) -> str:
     """M7: each training run writes a new version folder; earlier versions stay."""
     path = f"{base_path.rstrip('/')}/{version}"
-    model.write().save(path)
+    model.save(path)
     return path
 
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..operators import classify, isoforest, ml
+from ..operators.forest import ForestModel
 from ..session import checkpoint, ensure_checkpoint_dir
 from .dpi_jobs import CLS_COLS  # noqa: F401
 from .flow_jobs import d1_feature_vector
@@ -32,14 +32,14 @@ def _fit(spark, sf):
     name = f"{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()}"
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/netwatch-forest-{name}"
     try:
-        model = PipelineModel.load(f"{base}/model/v1")
+        model = ForestModel.load(spark, f"{base}/model/v1")
     except Exception as e:      # not saved yet; whatever else is wrong comes up again below
-        if "does not exist" not in str(e) and "Input path" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
             raise
         training_set(spark, sf).write.mode("overwrite").parquet(f"{base}/data")
         train, _ = ml.stratified_split(spark.read.parquet(f"{base}/data"), "packet_id")
         ml.save_versioned(ml.train_forest(train), f"{base}/model", "v1")
-        model = PipelineModel.load(f"{base}/model/v1")
+        model = ForestModel.load(spark, f"{base}/model/v1")
     data = spark.read.parquet(f"{base}/data")
     return data, *ml.stratified_split(data, "packet_id"), model
 
