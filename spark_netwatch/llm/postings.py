@@ -1,8 +1,8 @@
 """Operator 13, benchmark decontamination: a distributed positional inverted index.
 
 ``build_index`` stores one posting per word of every training text: (doc, pos, term), dealt by
-document into bucketed segments, each sorted by term, so that a term's postings lie together in a
-segment. Texts are shuffled once, postings never: what is looked up later meets the segments where
+document into bucketed segments, each in the order of the terms' hashes, so that a term's postings lie
+together in a segment, by document and place. Texts are shuffled once, postings never: what is looked up later meets the segments where
 they are.
 
 ``phrase_matches`` takes a phrase's terms from the rarest one (fewest postings) on. The postings of
@@ -41,7 +41,7 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def build_index(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Store the postings of ``docs`` (doc_id, text): doc, doc_id, n_words, pos, term.
 
-    ``doc`` numbers the rows. The table is bucketed by ``doc`` and sorted by term in each bucket.
+    ``doc`` numbers the rows. The table is bucketed by ``doc``; a term's postings lie together in each bucket.
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -49,8 +49,9 @@ def build_index(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     split = numbered.repartition(buckets, "doc").select("doc", "doc_id", words(F.col("text")).alias("words"))
     rows = split.select("doc", "doc_id", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("pos", "term"))
-    (rows.write.format("parquet").option("path", path).option("compression", "zstd")
-     .bucketBy(buckets, "doc").sortBy("term", "doc", "pos").saveAsTable(name))
+    # one whole number as the order is sorted by radix, stably; the observed count keeps the writer's own sort, by bucket, from replacing it
+    ordered = rows.sortWithinPartitions(F.xxhash64("term")).observe("postings", F.count(F.lit(1)).alias("n"))
+    ordered.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "doc").saveAsTable(name)
     fs, at = _file_system(spark, path)
     fs.deleteOnExit(at)
     return spark.table(name)
