@@ -36,6 +36,13 @@ def test_a_split_is_the_best_of_all():
     assert got[3][0].tolist() == of(everything).tolist()
 
 
+def test_cuts_after_a_heavy_value():
+    even = forest._strides(np.arange(320.0), np.ones(320))
+    assert len(even) == 31 and np.allclose(np.diff(even), 10)
+    heavy = forest._strides(np.arange(101.0), np.array([900.0] + [1.0] * 100))       # nine tenths are one value
+    assert len(heavy) >= 28 and heavy[0] == 0.5
+
+
 def test_a_tree_in_slices_is_the_same(monkeypatch):
     x, y, count = _rows(4000)
     grow = lambda: forest._grow(x[count > 0], y[count > 0], count[count > 0], 3, 1, np.ones(2), 20, 42)
