@@ -27,7 +27,9 @@ from ..session import checkpoint, staged
 
 BINS = 32
 #: A node of at most so many rows (repeats of the bootstrap counted) is grown in one group.
-LOCAL_ROWS = 100_000
+LOCAL_ROWS = 1_000_000
+#: Rows that a task routes or deals out at once.
+GROUP_ROWS = 500_000
 #: Nodes whose histograms are in memory at once.
 HELD_NODES = 4096
 #: Nodes split by one pass over all rows.
@@ -59,6 +61,29 @@ def _draws(block: int, n: int, tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(_POISSON, _uniform(np.arange(n, dtype=np.uint64) + _seed(seed, 1, block, tree))).astype(np.uint8)
 
 
+def _groups(batches, features: int):
+    """Blocks (number, rows), x and y of about GROUP_ROWS rows at a time."""
+    held, n = [], 0
+
+    def group():
+        y = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
+        return [(block, len(ys)) for block, _, ys in held], np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(len(y), features), y
+
+    for batch in batches:
+        for block in zip(*(batch.column(c).to_pylist() for c in ("block", "x", "y"))):
+            if held and n + len(block[2]) > GROUP_ROWS:
+                yield group()
+                held, n = [], 0
+            held.append(block)
+            n += len(block[2])
+    if held:
+        yield group()
+
+
+def _group_draws(blocks: list[tuple[int, int]], tree: int, seed: int) -> np.ndarray:
+    return np.concatenate([_draws(block, n, tree, seed) for block, n in blocks])
+
+
 def _options(nodes: np.ndarray, tree: int, features: int, seed: int) -> np.ndarray:
     """The features each node may split by."""
     place = nodes.astype(np.uint64)[:, None] * np.uint64(features) + np.arange(features, dtype=np.uint64)
@@ -69,26 +94,35 @@ def _histograms(x: np.ndarray, y: np.ndarray, count: np.ndarray, at: np.ndarray,
     """[node, option, bin, class]: rows of each node (``at``: a row's node)."""
     nodes, own = options.shape
     out = np.empty((nodes, own, BINS, classes))
-    row = np.arange(len(x))
+    flat, base = x.ravel(), np.arange(len(x)) * x.shape[1]
+    place = at * (BINS * classes) + y
     for j in range(own):
-        code = (at * BINS + x[row, options[at, j]]) * classes + y
-        out[:, j] = np.bincount(code, count, nodes * BINS * classes).reshape(nodes, BINS, classes)
+        code = flat.take(base + options[:, j].take(at)).astype(np.int64)
+        out[:, j] = np.bincount(code * classes + place, count, nodes * BINS * classes).reshape(nodes, BINS, classes)
     return out
 
 
+def _sum(c: np.ndarray) -> np.ndarray:
+    """Over the last axis, the classes: a few long additions in turn, as numpy is slow along a short axis."""
+    total = c[..., 0].copy()
+    for k in range(1, c.shape[-1]):
+        total += c[..., k]
+    return total
+
+
 def _best(hist: np.ndarray, options: np.ndarray, weight: np.ndarray):
     """(feature or -1, bin, gain times weight) of each node, and its class counts."""
     left = np.cumsum(hist, 2)
     total = left[:, :1, -1:]
     right = total - left
-    apart = (left.sum(3) >= 2) & (right.sum(3) >= 2)            # at least two rows on either side
+    apart = (_sum(left) >= 2) & (_sum(right) >= 2)            # at least two rows on either side
 
     def purity(c):
         w = c * weight
-        s = w.sum(-1)
-        return np.divide((w * w).sum(-1), s, out=np.zeros_like(s), where=s > 0)
+        s = _sum(w)
+        return np.divide(_sum(w * w), s, out=np.zeros_like(s), where=s > 0)
 
-    all_weight = (total * weight).sum(-1)
+    all_weight = _sum(total * weight)
     gain = np.where(apart, purity(left) + purity(right) - purity(total), -1.0)
     flat = gain.reshape(len(gain), -1)
     pick = flat.argmax(1)
@@ -98,29 +132,37 @@ def _best(hist: np.ndarray, options: np.ndarray, weight: np.ndarray):
     return np.where(good, options[node, pick // BINS], -1), np.where(good, pick % BINS, 0), np.where(good, gain, 0.0), total[:, 0, 0]
 
 
+def _kept(on: np.ndarray, *arrays: np.ndarray):
+    return arrays if on.all() else tuple(a[on] for a in arrays)
+
+
 def _grow(x: np.ndarray, y: np.ndarray, count: np.ndarray, tree: int, node: int, weight: np.ndarray, max_depth: int, seed: int):
     """Arrays of the tree below ``node``, level by level: feature (-1: leaf), bin, left child, class counts, gain."""
-    classes, depth = len(weight), int(node).bit_length() - 1
+    classes, depth, count = len(weight), int(node).bit_length() - 1, count.astype(np.float64)
     place, at = np.array([node], np.int64), np.zeros(len(x), np.int64)
     parts, made = [], 1
     while len(place):
-        if depth < max_depth:
-            options = _options(place, tree, x.shape[1], seed)
-            found = []
-            for a in range(0, len(place), HELD_NODES):
-                of, rows = options[a:a + HELD_NODES], slice(None) if len(place) <= HELD_NODES else np.flatnonzero(at // HELD_NODES == a // HELD_NODES)
-                found.append(_best(_histograms(x[rows], y[rows], count[rows], at[rows] - a, of, classes), of, weight))
-            feature, cut, gain, total = (np.concatenate(f) for f in zip(*found))
-        else:
-            total = np.bincount(at * classes + y, count, len(place) * classes).reshape(-1, classes)
-            feature, cut, gain = np.full(len(place), -1), np.zeros(len(place), np.int64), np.zeros(len(place))
+        total = np.bincount(at * classes + y, count, len(place) * classes).reshape(-1, classes)
+        feature, cut, gain = np.full(len(place), -1), np.zeros(len(place), np.int64), np.zeros(len(place))
+        # a node of one class gains nothing, and one of less than four rows has no two on either side
+        apart = np.flatnonzero((total.sum(1) >= 4) & ((total > 0).sum(1) > 1)) if depth < max_depth else np.zeros(0, np.int64)
+        if len(apart):
+            number = np.full(len(place), -1)
+            number[apart] = np.arange(len(apart))
+            at = number[at]
+            x, y, count, at = _kept(at >= 0, x, y, count, at)
+            options, found = _options(place[apart], tree, x.shape[1], seed), []
+            for a in range(0, len(apart), HELD_NODES):
+                of, rows = options[a:a + HELD_NODES], slice(None) if len(apart) <= HELD_NODES else np.flatnonzero((at >= a) & (at < a + HELD_NODES))
+                found.append(_best(_histograms(x[rows], y[rows], count[rows], at[rows] - a, of, classes), of, weight)[:3])
+            feature[apart], cut[apart], gain[apart] = (np.concatenate(f) for f in zip(*found))
+            at = apart[at]
         inner = feature >= 0
         child = np.cumsum(inner) - 1
         parts.append((feature, cut, np.where(inner, made + 2 * child, -1), total, gain))
         made += 2 * int(inner.sum())
-        on = inner[at]
-        x, y, count, at = x[on], y[on], count[on], at[on]
-        at = 2 * child[at] + (x[np.arange(len(x)), feature[at]] > cut[at])
+        x, y, count, at = _kept(inner[at], x, y, count, at)
+        at = 2 * child[at] + (x.ravel().take(np.arange(len(x)) * x.shape[1] + feature[at]) > cut[at])
         place, depth = (2 * place[inner][:, None] + np.arange(2)).ravel(), depth + 1
     return tuple(np.concatenate(p) for p in zip(*parts))
 
@@ -315,22 +357,21 @@ def train(data: DataFrame, columns: list[str], weights: dict[float, float], num_
     held = spark.sparkContext.broadcast(open_trees)
 
     def deal(batches):
-        for batch in batches:
-            for block, xs, ys in zip(*(batch.column(c).to_pylist() for c in ("block", "x", "y"))):
-                y = np.frombuffer(ys, np.uint8)
-                x = np.frombuffer(xs, np.uint8).reshape(len(y), features)
-                for tree in range(num_trees):
-                    count = _draws(block, len(y), tree, seed)
-                    (feature, cut, left), place = held.value[tree]
-                    at = _route(x, feature, cut, left)
-                    mine = np.flatnonzero((count > 0) & (place[at] > 0))
-                    mine = mine[np.argsort(at[mine], kind="stable")]
-                    ends = np.append(np.flatnonzero(np.diff(at[mine])) + 1, len(mine))
-                    of = [mine[a:b] for a, b in zip(np.append(0, ends), ends) if b > a]
-                    if of:
-                        yield pa.RecordBatch.from_pydict({
-                            "tree": pa.array([tree] * len(of), pa.int32()), "node": pa.array([int(place[at[p[0]]]) for p in of], pa.int64()),
-                            "x": [x[p].tobytes() for p in of], "y": [y[p].tobytes() for p in of], "count": [count[p].tobytes() for p in of]})
+        for numbers, x, y in _groups(batches, features):
+            for tree in range(num_trees):
+                count = _group_draws(numbers, tree, seed)
+                (feature, cut, left), place = held.value[tree]
+                at = _route(x, feature, cut, left)
+                mine = np.flatnonzero((count > 0) & (place[at] > 0))
+                node = at[mine].astype(np.uint16 if len(place) <= 1 << 16 else np.int64)        # short numbers are sorted by radix
+                order = np.argsort(node, kind="stable")
+                mine, node = mine[order], node[order]
+                ends = np.append(np.flatnonzero(node[1:] != node[:-1]) + 1, len(mine))
+                of = [mine[a:b] for a, b in zip(np.append(0, ends), ends) if b > a]
+                if of:
+                    yield pa.RecordBatch.from_pydict({
+                        "tree": pa.array([tree] * len(of), pa.int32()), "node": pa.array([int(place[at[p[0]]]) for p in of], pa.int64()),
+                        "x": [x[p].tobytes() for p in of], "y": [y[p].tobytes() for p in of], "count": [count[p].tobytes() for p in of]})
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree, node = (int(k) for k in key)
@@ -365,18 +406,15 @@ def _split_large(rows: DataFrame, num_trees: int, total: int, features: int, wei
 
         def histograms(batches):
             sums = np.zeros((len(now), own, BINS, classes))
-            for batch in batches:
-                for block, xs, ys in zip(*(batch.column(c).to_pylist() for c in ("block", "x", "y"))):
-                    y = np.frombuffer(ys, np.uint8)
-                    x = np.frombuffer(xs, np.uint8).reshape(len(y), features)
-                    for t, (feature, cut, left), wanted in shared.value:
-                        count = _draws(block, len(y), t, seed)
-                        number = np.full(len(feature), -1)
-                        number[[w[1] for w in wanted]] = np.arange(len(wanted))
-                        at = number[_route(x, feature, cut, left)]
-                        mine = np.flatnonzero((at >= 0) & (count > 0))
-                        options = _options(np.array([w[2] for w in wanted]), t, features, seed)
-                        sums[[w[0] for w in wanted]] += _histograms(x[mine], y[mine], count[mine], at[mine], options, classes)
+            for numbers, x, y in _groups(batches, features):
+                for t, (feature, cut, left), wanted in shared.value:
+                    count = _group_draws(numbers, t, seed)
+                    number = np.full(len(feature), -1)
+                    number[[w[1] for w in wanted]] = np.arange(len(wanted))
+                    at = number[_route(x, feature, cut, left)]
+                    mine = np.flatnonzero((at >= 0) & (count > 0))
+                    options = _options(np.array([w[2] for w in wanted]), t, features, seed)
+                    sums[[w[0] for w in wanted]] += _histograms(x[mine], y[mine], count[mine], at[mine], options, classes)
             slot = np.flatnonzero(sums.ravel())
             yield pa.RecordBatch.from_pydict({"slot": pa.array(slot), "n": pa.array(sums.ravel()[slot].astype(np.int64))})
 
